@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import pii, quality_rules, sharding
+from millrace.llm import bpe, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
 
+def op3_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive.digests(progressive.store(table(spark, sf_dir, "documents")))
+
+
+def op4_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -26,6 +34,8 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_media_progressive_jpeg,
+        op4_bpe_segment_tree,
         op5_quality_rules,
         op6_pii_pseudonyms,
         op9_extendible_sharding,
