@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, pii, progressive, quality_rules, sharding
+from millrace.llm import bpe, nbsvm, nnpu, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
 
@@ -27,6 +27,16 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.classify(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nnpu.classify(docs, nnpu.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bpe_segment_tree,
         op5_quality_rules,
         op6_pii_pseudonyms,
+        op7_quality_nbsvm,
+        op8_toxicity_nnpu,
         op9_extendible_sharding,
     )
 }
