@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, nbsvm, nnpu, pii, progressive, quality_rules, sharding
+from millrace.llm import bpe, minhash, nbsvm, nnpu, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 def op3_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive.digests(progressive.store(table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_minhash_near_dedup,
         op3_media_progressive_jpeg,
         op4_bpe_segment_tree,
         op5_quality_rules,
