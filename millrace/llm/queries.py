@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, minhash, nbsvm, nnpu, pii, progressive, quality_rules, sharding
+from millrace.llm import bpe, minhash, nbsvm, nnpu, packing, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
 
@@ -45,6 +45,10 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_nbsvm,
         op8_toxicity_nnpu,
         op9_extendible_sharding,
+        op10_bm25_packing,
     )
 }
 
