@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, minhash, nbsvm, nnpu, packing, pii, progressive, quality_rules, sharding
+from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
 
@@ -14,6 +14,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op3_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive.digests(progressive.store(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_stupid_backoff,
         op3_media_progressive_jpeg,
         op4_bpe_segment_tree,
         op5_quality_rules,
@@ -64,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_extendible_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_stupid_backoff": backoff.ORACLE_SQL, "op9_extendible_sharding": sharding.ORACLE_SQL}
