@@ -321,6 +321,24 @@ def components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows that repeat an id count once.
+
+    Only ids move: the few that go, or that occur more than once, meet the texts by a broadcast up to
+    ``SMALL`` of them, beyond that by a shuffle.
+    """
+    verdict = cut(components(docs).groupBy("doc_id").agg(F.sum(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")))
+    odd = cut(verdict.where("NOT kept OR (n > 1 AND doc_id IS NOT NULL)"))
+    small = odd.count() <= SMALL
+    gone, again = odd.where("NOT kept").select("doc_id"), odd.where("kept").select("doc_id")
+    by = lambda ids: F.broadcast(ids) if small else ids
+    left = docs.join(by(gone), "doc_id", "left_anti")
+    if again.isEmpty():
+        return left
+    once = docs.join(by(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(by(again), "doc_id", "left_anti").unionByName(once)
+
+
 def _link(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(node, comp) of the nodes in shared buckets, once no pair in a bucket could join two components."""
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
