@@ -77,7 +77,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
     """Rows (part, block, kind, blob): kind k = 1 .. order holds sorted distinct k-gram hashes of a hash range
-    and their counts in the block; kind 0 holds the block's documents as places in its sorted vocabulary."""
+    and their counts in the block; kind 0 holds the block's documents as ranks in its vocabulary, most frequent words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, block = words.hash_memo(), TaskContext.get().partitionId() << 32
@@ -89,17 +89,26 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
         def done() -> pa.RecordBatch:
             off = words.offsets(map(len, hashes))
             h = np.concatenate(hashes)
+            hashes.clear()
             rows = []
             for k in range(1, order + 1):
-                g = h if k == 1 else words.windows(h, off, k)[0]
                 if k == 1:
-                    vocabulary, place, n = np.unique(g, return_inverse=True, return_counts=True)
+                    vocabulary, place, n = np.unique(h, return_inverse=True, return_counts=True)
                     known = np.array([x if x is not None else 0 for x in ids], np.int64)
                     null = np.array([x is None for x in ids], np.uint8)
-                    rows.append((block % parts, block, 0, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint64)), squeeze(np.diff(vocabulary, prepend=np.uint64(0))), squeeze(place.astype(np.uint32)))))
+                    # Places by falling frequency have mostly low bytes, which compress well.
+                    order_of = np.argsort(-n, kind="stable")
+                    rank = np.empty_like(order_of)
+                    rank[order_of] = np.arange(len(n))
+                    rows.append((block % parts, block, 0, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint32)), squeeze(rank[place].astype(np.uint32)))))
                     g = vocabulary
+                    del place, rank, order_of
                 else:
-                    g, n = np.unique(g, return_counts=True)
+                    g = words.windows(h, off, k)[0]
+                    g.sort()
+                    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+                    n = np.diff(first, append=len(g))
+                    g = g[first]
                 at = [0, *np.searchsorted(g, edges).tolist(), len(g)]
                 for p in range(parts):
                     own = g[at[p] : at[p + 1]]
@@ -114,7 +123,7 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                 held += len(t)
             if held >= BLOCK_BYTES:
                 yield done()
-                ids, hashes, held, block = [], [], 0, block + 1
+                ids, held, block = [], 0, block + 1
         if ids:
             yield done()
 
@@ -136,7 +145,9 @@ def _count(table: pa.Table) -> pa.Table:
         _, place = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts)).astype(np.uint64)[place] if len(place) else place.astype(np.uint64)
         for j, i in enumerate(own):
-            rows.append((table.column("part")[i].as_py(), table.column("block")[i].as_py(), int(k), squeeze(total[ends[j] : ends[j + 1]])))
+            # The words themselves go back too, with their counts in the block: they order its vocabulary.
+            extra = _split_fields(table.column("blob")[i].as_py()) if k == 1 else []
+            rows.append((table.column("part")[i].as_py(), table.column("block")[i].as_py(), int(k), _fields(squeeze(total[ends[j] : ends[j + 1]]), *extra)))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -146,18 +157,20 @@ _SCORED = "doc_id long, n_words long, n_seen long, n_unigram long, partial doubl
 def _score(table: pa.Table) -> pa.Table:
     """One block: the counts joined to its positions and summed per document, log N left out."""
     kind, part = table.column("kind").to_numpy(), table.column("part").to_numpy()
-    known, null, sizes, vocabulary, place = _split_fields(table.column("blob")[int(np.flatnonzero(kind == 0)[0])].as_py())
-    off = words.offsets(unsqueeze(sizes, np.uint64))
-    place = unsqueeze(place, np.uint32).astype(np.int64)
-    h = np.cumsum(unsqueeze(vocabulary, np.uint64))[place]
+    known, null, sizes, rank = _split_fields(table.column("blob")[int(np.flatnonzero(kind == 0)[0])].as_py())
+    off = words.offsets(unsqueeze(sizes, np.uint32))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     order = int(kind.max())
     counts: list[np.ndarray] = []  # at a position: of the k-gram that ends there, 0 where there is none
     for k in range(1, order + 1):
         own = np.flatnonzero(kind == k)
-        own = own[np.argsort(part[own])]
-        values = np.concatenate([unsqueeze(table.column("blob")[int(i)].as_py(), np.uint64) for i in own]).astype(float)
+        parts = [_split_fields(table.column("blob")[int(i)].as_py()) for i in own[np.argsort(part[own])]]
+        values = np.concatenate([unsqueeze(p[0], np.uint64) for p in parts]).astype(float)
         if k == 1:
+            vocabulary = np.concatenate([np.cumsum(unsqueeze(p[1], np.uint64)) for p in parts])
+            n = np.concatenate([unsqueeze(p[2], np.uint32) for p in parts]).astype(np.int64)
+            place = np.argsort(-n, kind="stable")[unsqueeze(rank, np.uint32).astype(np.int64)]
+            h = vocabulary[place]
             counts.append(values[place])
             continue
         g, at, _ = words.windows(h, off, k)
