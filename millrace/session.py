@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to Python at once: documents can be long, and the default of 10,000 of them need not fit.
+ARROW_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = Path(__file__).resolve().parent
 
 
@@ -39,7 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give this package to the executors' Python once per application."""
+    """Give this package to the executors' Python once per application, and bound the batches it gets."""
+    if int(spark.conf.get(_ROWS)) > ARROW_ROWS:
+        spark.conf.set(_ROWS, ARROW_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return spark
