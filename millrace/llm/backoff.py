@@ -4,7 +4,8 @@ The relational plan is: explode each document's n-grams, count them in tables pa
 counts back to the exploded n-grams, sum per document. To keep a row per n-gram out of the shuffle it runs on
 sorted arrays: a block of documents lists its distinct n-gram hashes of each order once, in order, cut by
 hash range into parts (``grams``); each part sums the counts of equal hashes over all blocks and sends them
-back in the same order (``_count``); the block joins them to its positions by place (``_score``). A frequent
+back in the same order (``_count``); they meet the block's word sequence, taken from a second pass over the
+texts, by place (``_score``). A frequent
 n-gram is one entry a block, so no part is hot, and nothing is gathered on the driver but one sum.
 
 A word scores log(c(w1 w2 w3) / c(w1 w2)) where the trigram occurs ``LEAST`` times or more in the corpus,
@@ -77,7 +78,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
     """Rows (part, block, kind, blob): kind k = 1 .. order holds sorted distinct k-gram hashes of a hash range
-    and their counts in the block; kind 0 holds the block's documents as ranks in its vocabulary, most frequent words first."""
+    and their counts in the block. ``order`` 0 gives one row of kind 0 a block instead: its documents as ranks
+    in its vocabulary, most frequent words first.
+
+    Both forms cut the same blocks from the same partitions, so ``docs`` must give the same rows in the same
+    partitions each time, as a table that is read does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, block = words.hash_memo(), TaskContext.get().partitionId() << 32
@@ -90,25 +96,22 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
             off = words.offsets(map(len, hashes))
             h = np.concatenate(hashes)
             hashes.clear()
+            if not order:
+                vocabulary, place, n = np.unique(h, return_inverse=True, return_counts=True)
+                known = np.array([x if x is not None else 0 for x in ids], np.int64)
+                null = np.array([x is None for x in ids], np.uint8)
+                # Places by falling frequency have mostly low bytes, which compress well.
+                by_count = np.argsort(-n, kind="stable")
+                rank = np.empty_like(by_count)
+                rank[by_count] = np.arange(len(n))
+                return _batch([(0, block, 0, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint32)), squeeze(rank[place].astype(np.uint32))))])
             rows = []
             for k in range(1, order + 1):
-                if k == 1:
-                    vocabulary, place, n = np.unique(h, return_inverse=True, return_counts=True)
-                    known = np.array([x if x is not None else 0 for x in ids], np.int64)
-                    null = np.array([x is None for x in ids], np.uint8)
-                    # Places by falling frequency have mostly low bytes, which compress well.
-                    order_of = np.argsort(-n, kind="stable")
-                    rank = np.empty_like(order_of)
-                    rank[order_of] = np.arange(len(n))
-                    rows.append((block % parts, block, 0, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint32)), squeeze(rank[place].astype(np.uint32)))))
-                    g = vocabulary
-                    del place, rank, order_of
-                else:
-                    g = words.windows(h, off, k)[0]
-                    g.sort()
-                    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-                    n = np.diff(first, append=len(g))
-                    g = g[first]
+                g = h.copy() if k == 1 else words.windows(h, off, k)[0]
+                g.sort()
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+                n = np.diff(first, append=len(g))
+                g = g[first]
                 at = [0, *np.searchsorted(g, edges).tolist(), len(g)]
                 for p in range(parts):
                     own = g[at[p] : at[p + 1]]
@@ -131,10 +134,9 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One part of the tables: each block's entries with the counts of the whole corpus; kind 0 passes through."""
-    kind = table.column("kind").to_numpy()
-    rows = [(table.column("part")[i].as_py(), table.column("block")[i].as_py(), 0, table.column("blob")[i].as_py()) for i in np.flatnonzero(kind == 0)]
-    for k in np.unique(kind[kind > 0]):
+    """One part of the tables: each block's entries with the counts of the whole corpus."""
+    kind, rows = table.column("kind").to_numpy(), []
+    for k in np.unique(kind):
         own = np.flatnonzero(kind == k)
         lists, counts = [], []
         for i in own:
@@ -154,10 +156,12 @@ def _count(table: pa.Table) -> pa.Table:
 _SCORED = "doc_id long, n_words long, n_seen long, n_unigram long, partial double"
 
 
-def _score(table: pa.Table) -> pa.Table:
+def _score(table: pa.Table, blocks: pa.Table) -> pa.Table:
     """One block: the counts joined to its positions and summed per document, log N left out."""
     kind, part = table.column("kind").to_numpy(), table.column("part").to_numpy()
-    known, null, sizes, rank = _split_fields(table.column("blob")[int(np.flatnonzero(kind == 0)[0])].as_py())
+    if len(blocks) != 1 or not len(kind):
+        raise ValueError("the documents came in other partitions when read again: write them as a table first")
+    known, null, sizes, rank = _split_fields(blocks.column("blob")[0].as_py())
     off = words.offsets(unsqueeze(sizes, np.uint32))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     order = int(kind.max())
@@ -169,6 +173,8 @@ def _score(table: pa.Table) -> pa.Table:
         if k == 1:
             vocabulary = np.concatenate([np.cumsum(unsqueeze(p[1], np.uint64)) for p in parts])
             n = np.concatenate([unsqueeze(p[2], np.uint32) for p in parts]).astype(np.int64)
+            if int(n.sum()) != int(off[-1]):
+                raise ValueError("the documents came in another order when read again: write them as a table first")
             place = np.argsort(-n, kind="stable")[unsqueeze(rank, np.uint32).astype(np.int64)]
             h = vocabulary[place]
             counts.append(values[place])
@@ -204,7 +210,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(1, min(20_000, -(-stored // PART_BYTES)))
     counted = grams(docs, parts, order).groupBy("part").applyInArrow(_count, _ROW)
-    rows = cut(counted.groupBy("block").applyInArrow(_score, _SCORED))
+    rows = cut(counted.groupBy("block").cogroup(grams(docs, parts, 0).groupBy("block")).applyInArrow(_score, _SCORED))
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     value = F.col("partial") - F.col("n_unigram") * F.lit(math.log(max(total, 1)))
     mean = F.when(F.col("n_words") > 0, F.round(value / F.col("n_words"), 6))
