@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import corpus, mixture, overlap
+from millrace.plans import corpus, metrics, mixture, overlap, tokens, windows
 
-_MODULES = (overlap, corpus, mixture)
+_MODULES = (overlap, corpus, mixture, windows, metrics, tokens)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
