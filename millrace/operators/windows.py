@@ -73,13 +73,16 @@ def split_on(tokens: Column, mark: int, most: int) -> Column:
 
     Tokens before the first mark are ignored, and marks are not part of a document.
     """
-    place = F.transform(tokens, lambda t, i: F.when(t == mark, i))
-    marks = F.filter(place, lambda i: i.isNotNull())
-    late = F.filter(marks, lambda i: i >= most)
-    end = F.when(F.size(late) > 0, late[0]).otherwise(F.size(tokens))
-    used = F.filter(marks, lambda i: i < end)
-    after = F.concat(F.slice(used, 2, F.greatest(F.size(used), F.lit(1))), F.array(end))
-    return F.when(F.size(used) > 0, F.zip_with(used, after, lambda a, b: F.slice(tokens, a + 2, b - a - 1))).otherwise(F.array().cast("array<array<int>>"))
+    marks = F.filter(F.transform(tokens, lambda t, i: F.when(t == mark, i)), lambda i: i.isNotNull())
+    end_of = lambda m: F.coalesce(F.try_element_at(F.filter(m, lambda i: i >= most), F.lit(1)), F.size(tokens))
+
+    def cut(edges: Column) -> Column:
+        """Documents between neighbouring edges: used marks, then the end."""
+        later = F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1)))
+        return F.zip_with(F.slice(edges, 1, F.size(edges) - 1), later, lambda a, b: F.slice(tokens, a + 2, b - a - 1))
+
+    edges = T.let(marks, lambda m: T.let(end_of(m), lambda end: F.concat(F.filter(m, lambda i: i < end), F.array(end))))
+    return F.when(F.size(marks) > 0, T.let(edges, cut)).otherwise(F.array().cast("array<array<int>>"))
 
 
 def caption_chunks(text: Column, most: int) -> Column:

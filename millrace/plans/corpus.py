@@ -11,7 +11,7 @@ from millrace.session import table
 
 SHARD_TOKENS, BUDGET_TOKENS, BUDGET_BYTES = 5000, 9000, 80_000
 SAMPLE_BYTES, BATCH_ROWS = 100_000, 8
-HQ_FILES, SPLIT_TARGET = 10, 12_000
+HQ_FILES, SPLIT_TARGET = 6, 12_000
 VAL_TOKENS = 60_000
 
 
