@@ -197,7 +197,7 @@ def _score(table: pa.Table, blocks: pa.Table) -> pa.Table:
     n = len(off) - 1
     seen, low = np.bincount(doc[used == order], minlength=n), np.bincount(doc[used == 1], minlength=n)
     ids = pa.array(unsqueeze(known, np.int64), mask=unsqueeze(null, np.uint8).astype(bool))
-    columns = [ids, pa.array(np.diff(off)), pa.array(seen), pa.array(low), pa.array(np.bincount(doc, value, n))]
+    columns = [ids, pa.array(np.diff(off)), pa.array(seen), pa.array(low), pa.array(np.bincount(doc, value, n).astype(float))]
     return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
 

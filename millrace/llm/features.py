@@ -26,6 +26,11 @@ class WordTable:
 
     def look_up(self, split: list[list[bytes]], total: int) -> np.ndarray:
         """The rows of all words in turn."""
+        place = self.find(split, total)  # may replace ``rows`` by a larger array
+        return self.rows[place]
+
+    def find(self, split: list[list[bytes]], total: int) -> np.ndarray:
+        """The places of all words in ``rows``, good until the next call."""
         if len(self.places) > self.size:
             self.places.clear()
         places = self.places
@@ -37,17 +42,18 @@ class WordTable:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[first : len(places)] = np.fromiter((x for w in fresh for x in self.of(w)), np.uint64, len(fresh) * self.width).reshape(-1, self.width)
         get = places.__getitem__
-        return self.rows[np.fromiter((get(w) for ws in split for w in ws), np.int64, total)]
+        return np.fromiter((get(w) for ws in split for w in ws), np.int64, total)
 
 
 def fold(hashes: np.ndarray, bits: int, family: int) -> np.ndarray:
     """Hashes to indices below 2 ** bits, apart for each family of features."""
-    return words.mix(hashes + np.uint64(family + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return words.mix(hashes + words.step(family + 1)) >> np.uint64(64 - bits)
 
 
 def once(doc: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each (document, index) pair once, in order."""
-    key = np.unique(doc.astype(np.uint64) << np.uint64(bits) | index)
+    key = np.sort(doc.astype(np.uint64) << np.uint64(bits) | index)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 

@@ -77,7 +77,7 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     for i in range(2 * bins):
         if not len(x):
             break
-        h = words.mix(x + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15))
+        h = words.mix(x + words.step(i + 1))
         bin_ = (h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32) if i < bins else np.full(len(x), i - bins, np.uint64)
         value = np.uint64(i) << np.uint64(56) | words.mix(h) >> np.uint64(8)
         np.minimum.at(flat, doc * bins + bin_.astype(np.int64), value)

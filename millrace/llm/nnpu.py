@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over hashed indicators (words, and their first 4 to 7 characters, so that inflected forms of
-one stem meet) is trained in numpy from confirmed toxic documents and unlabelled ones. The risk is
+A linear model over hashed indicators (words, their first 4 to 7 characters, so that inflected forms of one
+stem meet, and whether two or three words of a document share a stem) is trained in numpy from confirmed toxic documents and unlabelled ones. The risk is
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), with the logistic loss; where the
 second term turns negative the step goes the other way, as in the published non-negative estimator. The
 class prior is the share of toxic labels outside the held-out fold. The samples are bounded: ``POSITIVES``
@@ -33,15 +33,17 @@ CUT = 0.5
 EPOCHS = 150
 RATE = 0.05
 L2 = 1e-4
-LEAST, Z = 3, 4.0  # positive documents, and standard errors above chance, that an indicator needs
+LEAST, Z = 3, 6.0  # positive documents, and standard errors above chance, that an indicator needs
 HELD_OUT = (5, 0)
 MARKS = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\~`^@"
 STEMS = (4, 5, 6, 7)
+OFTEN = (2, 3)  # distinct words of a stem in one document that are indicators of their own
 
 
 def _hashes(word: bytes) -> tuple[int, ...]:
+    """The bare word's hash, and its stems' or 0 where it is no longer than the stem."""
     plain = word.strip(MARKS).decode("utf-8", "replace").lower()
-    return (features.word_hash(plain.encode()), *(features.word_hash(b"^" + plain[:k].encode()) if len(plain) > k else features.word_hash(plain.encode()) for k in STEMS))
+    return (features.word_hash(plain.encode()), *(features.word_hash(b"^" + plain[:k].encode()) if len(plain) > k else 0 for k in STEMS))
 
 
 def extractor() -> features.Extract:
@@ -50,9 +52,22 @@ def extractor() -> features.Extract:
     def extract(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split = [words.split(t) for t in texts]
         off = words.offsets(map(len, split))
-        rows = table.look_up(split, int(off[-1]))
-        doc = np.repeat(np.arange(len(texts)), np.diff(off))
-        return features.once(np.repeat(doc, rows.shape[1]), features.fold(rows.ravel(), BITS, 0), BITS)
+        place = table.find(split, int(off[-1])).astype(np.uint64)
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(off))
+        doc, place = features.once(doc, place, 32)
+        hashes = table.rows[place].ravel()
+        live = hashes != 0
+        key = np.repeat(doc, table.width)[live].astype(np.uint64) << np.uint64(BITS) | features.fold(hashes[live], BITS, 0)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(key))
+        key = key[first]
+        doc, index = key >> np.uint64(BITS), key & np.uint64((1 << BITS) - 1)
+        found = [(doc, index)]
+        for least in OFTEN:
+            some = n >= least
+            found.append((doc[some], features.fold(index[some], BITS, least)))
+        return features.once(np.concatenate([d for d, _ in found]), np.concatenate([i for _, i in found]), BITS)
 
     return extract
 

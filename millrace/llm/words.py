@@ -36,6 +36,11 @@ def hash_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
+def step(i: int) -> np.uint64:
+    """The i-th member of a family of seeds."""
+    return np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
