@@ -116,6 +116,14 @@ def val_shards(entries: DataFrame, mix: DataFrame, max_tokens: int | None) -> Da
     return out.where(F.col("_before") < max_tokens * F.col("weight") / total).drop("_before", "weight")
 
 
+def random_windows(entries: DataFrame, width: int, seed: int, each: int = 3) -> DataFrame:
+    """``each`` seeded windows per source: (source, k, path, start), the start anywhere that leaves room for one."""
+    draws = entries.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "n_tokens"))).alias("shards")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "source", "k"), n)
+    chosen = draws.withColumn("s", F.element_at("shards", (pick("shard", F.size("shards")) + 1).cast("int")))
+    return chosen.select("source", "k", "s.path", pick("start", F.greatest(F.lit(1).cast("long"), F.col("s.n_tokens") - width)).alias("start"))
+
+
 def last_n(files: DataFrame, n: int, by: list[str], name: str = "name") -> DataFrame:
     """The last n rows by name of each group: checkpoints to average or to retain."""
     return files.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(name).desc()))).where(F.col("_r") <= n).drop("_r")

@@ -85,7 +85,7 @@ def split_on(tokens: Column, mark: int, most: int) -> Column:
     return F.when(F.size(marks) > 0, T.let(edges, cut)).otherwise(F.array().cast("array<array<int>>"))
 
 
-def caption_chunks(text: Column, most: int) -> Column:
+def caption_chunks(text: Column, most: int | Column) -> Column:
     """Words packed greedily into lines of at most ``most`` characters; a longer word has its own line."""
     ws = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 

@@ -97,6 +97,11 @@ def val_quota(spark: SparkSession, d: str) -> DataFrame:
     return layout.val_shards(_entries(spark, d), mix, VAL_TOKENS).select("source", "ord", "n_tokens")
 
 
+def random_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Three windows of each source's train shards; the draw is by hash, so there is no SQL for it."""
+    return layout.random_windows(_entries(spark, d).where("split = 'train'"), 64, 1)
+
+
 _DOCS = "docs AS (SELECT doc_id, source, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents)"
 _PACK = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM docs),
 fold AS (
@@ -111,7 +116,7 @@ _ALL = f"WITH RECURSIVE {_DOCS}, {_PACK}, {_ENTRY}"
 
 QUERIES = {
     f.__name__: f
-    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota)
+    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota, random_windows)
 }
 ORACLE_SQL = {
     "select_scored_docs": "SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND length(text) > 0",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import captions
 from millrace.functions import text as T
 from millrace.operators import metrics, windows
+from millrace.operators.selection import prefix_sum
 from millrace.session import table
 
 WIDTH, ROWS = 64, 16
@@ -89,6 +91,14 @@ def caption_lines(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", F.col("place").cast("long").alias("place"), "line")
 
 
+def caption_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the benchmark as cues of about equal width, with the times that 15 characters a second give."""
+    said = table(spark, d, "benchmark").select("item_id", F.posexplode(captions.sentences(F.regexp_replace("text", "\n", " "))).alias("sentence", "text"))
+    cues = said.select("item_id", "sentence", F.posexplode(windows.caption_chunks(F.col("text"), captions.cue_width(F.col("text"), CAPTION))).alias("cue", "line"))
+    before = prefix_sum(F.char_length("line"), ["item_id"], ["sentence", "cue"])
+    return cues.select("item_id", "sentence", "cue", "line", captions.srt_time(before / 15).alias("start"))
+
+
 def whitespace_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.space_words("text").cast("long").alias("n_words"), F.octet_length("text").cast("long").alias("n_bytes"))
 
@@ -106,7 +116,7 @@ nats AS (SELECT doc_id, -sum(ln(c / n)) AS nats, count(*) AS n_tokens FROM tok J
 
 QUERIES = {
     f.__name__: f
-    for f in (title_keys, heading_titles, page_texts, validation_windows, validation_batches, scoring_spans, stream_documents, unigram_perplexity, validation_bpb, caption_lines, whitespace_words)
+    for f in (title_keys, heading_titles, page_texts, validation_windows, validation_batches, scoring_spans, stream_documents, unigram_perplexity, validation_bpb, caption_lines, caption_cues, whitespace_words)
 }
 ORACLE_SQL = {
     "title_keys": f"SELECT page_id, replace({_KEY.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, 'ß', 'ss') AS title_key FROM pages",
