@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from millrace.operators.selection import prefix_sum
 
 
-def pack_shards(docs: DataFrame, limit: int, by: str, order: str, size: str = "n_tokens") -> DataFrame:
+def pack_shards(docs: DataFrame, limit: int, by: list[str], order: str, size: str = "n_tokens") -> DataFrame:
     """Each row with ``part``: rows fill a shard in order, and a shard closes once it reaches ``limit``.
 
-    The sum restarts at each close, which no window can say, so each file is folded by itself; a row never
-    straddles shards. Only keys and sizes go to Python, texts do not.
+    The sum restarts at each close, which no window can say, so each file (``by``) is folded by itself; a row
+    never straddles shards. Only keys and sizes go to Python, texts do not.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,25 +30,25 @@ def pack_shards(docs: DataFrame, limit: int, by: str, order: str, size: str = "n
             frame["part"] = parts
             yield frame
 
-    slim = docs.select(by, order, size)
+    slim = docs.select(*by, order, size)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", part int"
 
     def by_group(frame: pd.DataFrame) -> pd.DataFrame:
         return next(fold(iter([frame.sort_values(order, kind="stable")])))
 
-    return slim.groupBy(by).applyInPandas(by_group, kind)
+    return slim.groupBy(*by).applyInPandas(by_group, kind)
 
 
-def shard_totals(packed: DataFrame, by: str, size: str = "n_tokens", dropped: DataFrame | None = None) -> DataFrame:
+def shard_totals(packed: DataFrame, by: list[str], size: str = "n_tokens", dropped: DataFrame | None = None) -> DataFrame:
     """Per shard: documents, tokens, bytes, drops. ``dropped``: (by, part, reason) of rows dropped while a part was
     filled; those after the last shard's close belong to the last shard."""
-    out = packed.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"))
+    out = packed.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"))
     if dropped is None:
         return out
-    last = out.groupBy(by).agg(F.max("part").alias("_last"))
+    last = out.groupBy(*by).agg(F.max("part").alias("_last"))
     count = lambda r: F.count_if(F.col("reason") == r).alias(f"n_docs_dropped_{r}")
-    drops = dropped.join(last, by).withColumn("part", F.least("part", "_last")).groupBy(by, "part").agg(count("title"), count("ngram"))
-    return out.join(drops, [by, "part"], "left").fillna(0, ["n_docs_dropped_title", "n_docs_dropped_ngram"])
+    drops = dropped.join(last, by).withColumn("part", F.least("part", "_last")).groupBy(*by, "part").agg(count("title"), count("ngram"))
+    return out.join(drops, [*by, "part"], "left").fillna(0, ["n_docs_dropped_title", "n_docs_dropped_ngram"])
 
 
 def manifest(results: DataFrame) -> DataFrame:

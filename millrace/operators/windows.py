@@ -29,14 +29,14 @@ def val_windows(shards: DataFrame, width: int, tokens: str = "tokens") -> DataFr
     return out.withColumn("x", F.concat(piece(0), fill(PAD))).withColumn("y", F.concat(piece(1), fill(IGNORE)))
 
 
-def val_batches(windows: DataFrame, order: list[str], rows: int, width: int) -> DataFrame:
-    """Windows with (batch, row); the last batch is filled up with rows that score nothing."""
-    at = F.row_number().over(Window.orderBy(*order)) - 1  # a validation set is small by design
+def val_batches(windows: DataFrame, by: list[str], order: list[str], rows: int, width: int) -> DataFrame:
+    """Windows with (by, batch, row): each group is cut into batches, its last filled with rows that score nothing."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     out = windows.withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / rows).cast("long")).withColumn("row", (F.col("_at") % rows).cast("int"))
-    out = out.select("batch", "row", "x", "y")
-    last = out.agg(F.max(F.struct("batch", "row")).alias("m")).where("m IS NOT NULL")
-    fill = last.where(F.col("m.row") < rows - 1).select(
-        F.col("m.batch").alias("batch"), F.explode(F.sequence(F.col("m.row") + 1, F.lit(rows - 1))).alias("row"),
+    out = out.select(*by, "batch", "row", "x", "y")
+    last = out.groupBy(*by).agg(F.max(F.struct("batch", "row")).alias("m")).where(F.col("m.row") < rows - 1)
+    fill = last.select(
+        *by, F.col("m.batch").alias("batch"), F.explode(F.sequence(F.col("m.row") + 1, F.lit(rows - 1))).alias("row"),
         F.array_repeat(F.lit(PAD), width).alias("x"), F.array_repeat(F.lit(IGNORE), width).alias("y"),
     )
     return out.unionByName(fill)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -13,13 +13,17 @@ SHARD_TOKENS, BUDGET_TOKENS, BUDGET_BYTES = 5000, 9000, 80_000
 SAMPLE_BYTES, BATCH_ROWS = 100_000, 8
 HQ_FILES, SPLIT_TARGET = 6, 12_000
 VAL_TOKENS = 60_000
+#: The tables have no files: so many ids of a source stand in for one, which bounds whatever runs file by file.
+FILE_IDS = 100_000
+FILE = ["source", "file_idx"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents with counts; a word of the overlap test stands in for a token."""
     docs = table(spark, d, "documents")
     words = F.size(T.words("text")).cast("long")
-    return docs.select("doc_id", "source", "text", (words + 1).alias("n_tokens"), F.octet_length("text").cast("long").alias("n_bytes"))
+    file = F.floor(F.col("doc_id") / FILE_IDS).cast("long").alias("file_idx")
+    return docs.select("doc_id", "source", file, "text", (words + 1).alias("n_tokens"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 def select_scored_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -39,33 +43,36 @@ def list_source_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_cut(spark: SparkSession, d: str) -> DataFrame:
-    return selection.cut_budget(_docs(spark, d), {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, ["source"], ["doc_id"]).select("doc_id", "source", "n_tokens", "n_bytes")
+    return selection.cut_budget(_docs(spark, d), {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, FILE, ["doc_id"]).select("doc_id", "source", "n_tokens", "n_bytes")
 
 
 def budget_exhausted(spark: SparkSession, d: str) -> DataFrame:
-    return selection.exhausted(_docs(spark, d), {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, ["source"])
+    return selection.exhausted(_docs(spark, d), {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, FILE)
 
 
 def byte_sample(spark: SparkSession, d: str) -> DataFrame:
-    return selection.sample_bytes(_docs(spark, d), SAMPLE_BYTES, ["source"], ["doc_id"], BATCH_ROWS).select("doc_id", "batch")
+    return selection.sample_bytes(_docs(spark, d), SAMPLE_BYTES, FILE, ["doc_id"], BATCH_ROWS).select("doc_id", "batch")
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("source", "doc_id", "n_tokens", "n_bytes")
-    return layout.pack_shards(docs, SHARD_TOKENS, "source", "doc_id").join(docs.select("doc_id", "n_bytes"), "doc_id")
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """(source, file_idx, doc_id, n_tokens, part, n_bytes) of every document."""
+    docs = _docs(spark, d).select(*FILE, "doc_id", "n_tokens", "n_bytes")
+    parts = layout.pack_shards(docs, SHARD_TOKENS, FILE, "doc_id").withColumn("part", F.col("part").cast("long"))
+    return parts.join(docs.select("doc_id", "n_bytes"), "doc_id")
 
 
 def packed_shards(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).select("doc_id", "source", F.col("part").cast("long").alias("part"))
+    return packed(spark, d).select("doc_id", *FILE, "part")
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     """A manifest of the packed shards: each source's last shard is its validation split."""
-    totals = layout.shard_totals(_packed(spark, d), "source")
-    last = totals.groupBy("source").agg(F.max("part").alias("last"))
-    split = F.when(F.col("part") == F.col("last"), "val").otherwise("train")
-    path = F.format_string("%s_%04d.bin", F.col("source"), F.col("part"))
-    return totals.join(last, "source").select("source", split.alias("split"), F.col("part").cast("long").alias("ord"), path.alias("path"), "n_tokens", "n_bytes", "n_docs")
+    totals = layout.shard_totals(packed(spark, d), FILE)
+    w = Window.partitionBy("source")
+    totals = totals.withColumn("ord", F.row_number().over(w.orderBy("file_idx", "part")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    split = F.when(F.col("ord") == F.col("n") - 1, "val").otherwise("train")
+    path = F.format_string("%s_%04d_%02d.bin", "source", "file_idx", "part")
+    return totals.select("source", split.alias("split"), F.col("ord").cast("long").alias("ord"), path.alias("path"), "n_tokens", "n_bytes", "n_docs")
 
 
 def manifest_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -102,16 +109,16 @@ def random_windows(spark: SparkSession, d: str) -> DataFrame:
     return layout.random_windows(_entries(spark, d).where("split = 'train'"), 64, 1)
 
 
-_DOCS = "docs AS (SELECT doc_id, source, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents)"
-_PACK = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM docs),
+_DOCS = f"docs AS (SELECT doc_id, source, doc_id // {FILE_IDS} AS file_idx, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents)"
+_PACK = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source, file_idx ORDER BY doc_id) AS r FROM docs),
 fold AS (
-  SELECT source, r, doc_id, n_tokens, n_bytes, CAST(0 AS BIGINT) AS part, CAST(n_tokens AS BIGINT) AS run FROM numbered WHERE r = 1
+  SELECT source, file_idx, r, doc_id, n_tokens, n_bytes, CAST(0 AS BIGINT) AS part, CAST(n_tokens AS BIGINT) AS run FROM numbered WHERE r = 1
   UNION ALL
-  SELECT n.source, n.r, n.doc_id, n.n_tokens, n.n_bytes, f.part + CASE WHEN f.run >= {SHARD_TOKENS} THEN 1 ELSE 0 END, CASE WHEN f.run >= {SHARD_TOKENS} THEN 0 ELSE f.run END + n.n_tokens
-  FROM fold f JOIN numbered n ON n.source = f.source AND n.r = f.r + 1)"""
-_ENTRY = """shards AS (SELECT source, part, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM fold GROUP BY ALL),
-entries AS (SELECT source, CASE WHEN part = max(part) OVER (PARTITION BY source) THEN 'val' ELSE 'train' END AS split, part AS ord,
-  format('{}_{:04d}.bin', source, part) AS path, n_tokens, n_bytes, n_docs FROM shards)"""
+  SELECT n.source, n.file_idx, n.r, n.doc_id, n.n_tokens, n.n_bytes, f.part + CASE WHEN f.run >= {SHARD_TOKENS} THEN 1 ELSE 0 END, CASE WHEN f.run >= {SHARD_TOKENS} THEN 0 ELSE f.run END + n.n_tokens
+  FROM fold f JOIN numbered n ON n.source = f.source AND n.file_idx = f.file_idx AND n.r = f.r + 1)"""
+_ENTRY = """shards AS (SELECT source, file_idx, part, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM fold GROUP BY ALL),
+entries AS (SELECT source, CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY source) THEN 'val' ELSE 'train' END AS split, row_number() OVER w - 1 AS ord,
+  format('{}_{:04d}_{:02d}.bin', source, file_idx, part) AS path, n_tokens, n_bytes, n_docs FROM shards WINDOW w AS (PARTITION BY source ORDER BY file_idx, part))"""
 _ALL = f"WITH RECURSIVE {_DOCS}, {_PACK}, {_ENTRY}"
 
 QUERIES = {
@@ -125,14 +132,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path DESC) AS k,
 SELECT source, path, CAST(c - k AS INT) AS file_idx, CASE WHEN k = 1 THEN 'val' WHEN k <= {HQ_FILES + 1} THEN 'hq' ELSE 'train' END AS split FROM n""",
     "list_source_files": "SELECT DISTINCT path FROM (SELECT regexp_extract(url, '^https?://(.*)$', 1) || '.parquet' AS path FROM pages) WHERE path GLOB '*/en/*.parquet'",
     "budget_cut": f"""WITH {_DOCS}, s AS (SELECT *, coalesce(sum(n_tokens) OVER w, 0) AS t, coalesce(sum(n_bytes) OVER w, 0) AS b FROM docs
-  WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WINDOW w AS (PARTITION BY source, file_idx ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT doc_id, source, n_tokens, n_bytes FROM s WHERE t < {BUDGET_TOKENS} AND b < {BUDGET_BYTES}""",
-    "budget_exhausted": f"WITH {_DOCS} SELECT source, NOT (sum(n_tokens) >= {BUDGET_TOKENS} OR sum(n_bytes) >= {BUDGET_BYTES}) AS exhausted FROM docs GROUP BY source",
-    "byte_sample": f"""WITH {_DOCS}, t AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {BATCH_ROWS} AS batch FROM docs),
-s AS (SELECT source, batch, sum(n_bytes) AS b FROM t GROUP BY ALL),
-p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-SELECT doc_id, batch FROM t JOIN p USING (source, batch) WHERE before < {SAMPLE_BYTES}""",
-    "packed_shards": f"WITH RECURSIVE {_DOCS}, {_PACK} SELECT doc_id, source, part FROM fold",
+    "budget_exhausted": f"WITH {_DOCS} SELECT source, file_idx, NOT (sum(n_tokens) >= {BUDGET_TOKENS} OR sum(n_bytes) >= {BUDGET_BYTES}) AS exhausted FROM docs GROUP BY source, file_idx",
+    "byte_sample": f"""WITH {_DOCS}, t AS (SELECT *, (row_number() OVER (PARTITION BY source, file_idx ORDER BY doc_id) - 1) // {BATCH_ROWS} AS batch FROM docs),
+s AS (SELECT source, file_idx, batch, sum(n_bytes) AS b FROM t GROUP BY ALL),
+p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source, file_idx ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT doc_id, batch FROM t JOIN p USING (source, file_idx, batch) WHERE before < {SAMPLE_BYTES}""",
+    "packed_shards": f"WITH RECURSIVE {_DOCS}, {_PACK} SELECT doc_id, source, file_idx, part FROM fold",
     "manifest_entries": f"{_ALL} SELECT * FROM entries",
     "manifest_check": f"""{_ALL}, t AS (SELECT source, split, count(*) AS n_shards, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM entries GROUP BY ALL)
 SELECT *, CAST(CASE WHEN split = 'train' THEN {SPLIT_TARGET} ELSE 0 END AS BIGINT) AS target, round(n_tokens / greatest(1, CASE WHEN split = 'train' THEN {SPLIT_TARGET} ELSE 0 END), 9) AS ratio,

@@ -9,6 +9,7 @@ from millrace.functions import captions
 from millrace.functions import text as T
 from millrace.operators import metrics, windows
 from millrace.operators.selection import prefix_sum
+from millrace.plans.corpus import _DOCS, _PACK, FILE, packed
 from millrace.session import table
 
 WIDTH, ROWS = 64, 16
@@ -39,23 +40,26 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("conv_id", "page", F.octet_length("text").cast("long").alias("n_bytes"), F.size(F.split("text", "[ \n]+")).cast("long").alias("n_words"), F.sha2("text", 256).alias("sha"))
 
 
+SHARD = [*FILE, "part"]
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Per source a stream of word lengths plus two, each document after a mark 0."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.concat(F.array(F.lit(0)), F.transform(T.words("text"), lambda w: F.length(w) + 2)).alias("t"))
-    whole = docs.groupBy("source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"])).alias("tokens"))
-    return whole
+    """Per packed shard a stream of word lengths plus two, each document after a mark 0."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit(0)), F.transform(T.words("text"), lambda w: F.length(w) + 2)).alias("t"))
+    placed = packed(spark, d).select(*SHARD, "doc_id").join(docs, "doc_id")
+    return placed.groupBy(*SHARD).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"])).alias("tokens"))
 
 
 def validation_windows(spark: SparkSession, d: str) -> DataFrame:
     out = windows.val_windows(_tokens(spark, d), WIDTH)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("source", "start", add("x").alias("x_sum"), add("y").alias("y_sum"), F.element_at("x", 1).cast("long").alias("x_first"), F.element_at("y", -1).cast("long").alias("y_last"))
+    return out.select(*SHARD, "start", add("x").alias("x_sum"), add("y").alias("y_sum"), F.element_at("x", 1).cast("long").alias("x_first"), F.element_at("y", -1).cast("long").alias("y_last"))
 
 
 def validation_batches(spark: SparkSession, d: str) -> DataFrame:
-    out = windows.val_batches(windows.val_windows(_tokens(spark, d), WIDTH), ["source", "start"], ROWS, WIDTH)
+    out = windows.val_batches(windows.val_windows(_tokens(spark, d), WIDTH), SHARD, ["start"], ROWS, WIDTH)
     scored = F.size(F.filter("y", lambda v: v != windows.IGNORE)).cast("long")
-    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(scored).alias("n_scored"))
+    return out.groupBy(*SHARD, "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(scored).alias("n_scored"))
 
 
 def scoring_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +68,9 @@ def scoring_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the first 2,000 tokens and more of each stream, by the marks."""
-    docs = _tokens(spark, d).select("source", F.posexplode(windows.split_on(F.col("tokens"), 0, 2000)).alias("place", "doc"))
-    return docs.select("source", F.col("place").cast("long").alias("place"), F.size("doc").cast("long").alias("n_tokens"))
+    """Documents of the first 2,000 tokens and more of each shard, by the marks."""
+    docs = _tokens(spark, d).select(*SHARD, F.posexplode(windows.split_on(F.col("tokens"), 0, 2000)).alias("place", "doc"))
+    return docs.select(*SHARD, F.col("place").cast("long").alias("place"), F.size("doc").cast("long").alias("n_tokens"))
 
 
 def unigram_perplexity(spark: SparkSession, d: str) -> DataFrame:
@@ -106,10 +110,10 @@ def whitespace_words(spark: SparkSession, d: str) -> DataFrame:
 _KEY = """lower(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')),
   ' @-@ ', '-'), ' @,@ ', ','), ' @.@ ', '.'), ' ([,.;:!?)\\]''])', '\\1', 'g'), '([(\\[]) ', '\\1', 'g'), ' ?([-–—]) ?', '\\1', 'g'))"""
 _LINES = """lines AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN ' = ' || regexp_extract(text, '^[^\\n=]*') || ' = ' || chr(10) ELSE ' ' || replace(text, chr(10), ' ') || chr(10) END AS line FROM conversations)"""
-_STREAM = """t AS (SELECT source, doc_id, list_concat([0], list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) + 2)) AS t FROM documents),
-s AS (SELECT source, flatten(list(t ORDER BY doc_id)) AS tokens FROM t GROUP BY source)"""
-_WIN = f"""w AS (SELECT source, tokens, unnest(range(0, len(tokens) - 1, {WIDTH})) AS start FROM s),
-v AS (SELECT source, start, tokens[start + 1 : start + least({WIDTH}, len(tokens) - 1 - start)] AS x, tokens[start + 2 : start + 1 + least({WIDTH}, len(tokens) - 1 - start)] AS y FROM w)"""
+_STREAM = f"""{_DOCS}, {_PACK}, t AS (SELECT doc_id, list_concat([0], list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) + 2)) AS t FROM documents),
+s AS (SELECT source, file_idx, part, flatten(list(t ORDER BY doc_id)) AS tokens FROM t JOIN fold USING (doc_id) GROUP BY ALL)"""
+_WIN = f"""w AS (SELECT source, file_idx, part, tokens, unnest(range(0, len(tokens) - 1, {WIDTH})) AS start FROM s),
+v AS (SELECT source, file_idx, part, start, tokens[start + 1 : start + least({WIDTH}, len(tokens) - 1 - start)] AS x, tokens[start + 2 : start + 1 + least({WIDTH}, len(tokens) - 1 - start)] AS y FROM w)"""
 _NATS = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 c AS (SELECT w, count(*) AS c FROM tok GROUP BY w), n AS (SELECT count(*) AS n FROM tok),
 nats AS (SELECT doc_id, -sum(ln(c / n)) AS nats, count(*) AS n_tokens FROM tok JOIN c USING (w), n GROUP BY doc_id)"""
@@ -124,16 +128,17 @@ ORACLE_SQL = {
     "page_texts": f"""WITH {_LINES}, p AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line, '^ = [^=][^\\n]* = \\n$') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS page FROM lines),
 g AS (SELECT conv_id, page, regexp_replace(string_agg(CASE WHEN line = '' THEN ' ' || chr(10) ELSE line END, '' ORDER BY turn), '\\n$', '') AS text FROM p GROUP BY ALL)
 SELECT conv_id, page, CAST(strlen(text) AS BIGINT) AS n_bytes, len(regexp_split_to_array(text, '[ \\n]+')) AS n_words, sha256(text) AS sha FROM g WHERE regexp_matches(text, '\\S')""",
-    "validation_windows": f"""WITH {_STREAM}, {_WIN} SELECT source, start, CAST(list_sum(x) + 2 * ({WIDTH} - len(x)) AS BIGINT) AS x_sum, CAST(list_sum(y) - 100 * ({WIDTH} - len(y)) AS BIGINT) AS y_sum,
+    "validation_windows": f"""WITH RECURSIVE {_STREAM}, {_WIN} SELECT source, file_idx, part, start, CAST(list_sum(x) + 2 * ({WIDTH} - len(x)) AS BIGINT) AS x_sum, CAST(list_sum(y) - 100 * ({WIDTH} - len(y)) AS BIGINT) AS y_sum,
   CAST(x[1] AS BIGINT) AS x_first, CAST(CASE WHEN len(y) < {WIDTH} THEN -100 ELSE y[-1] END AS BIGINT) AS y_last FROM v""",
-    "validation_batches": f"""WITH {_STREAM}, {_WIN}, r AS (SELECT (row_number() OVER (ORDER BY source, start) - 1) // {ROWS} AS batch, len(y) AS n FROM v)
-SELECT batch, CAST({ROWS} AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_scored FROM r GROUP BY batch""",
+    "validation_batches": f"""WITH RECURSIVE {_STREAM}, {_WIN}, r AS (SELECT source, file_idx, part, (row_number() OVER (PARTITION BY source, file_idx, part ORDER BY start) - 1) // {ROWS} AS batch, len(y) AS n FROM v)
+SELECT source, file_idx, part, batch, CAST({ROWS} AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_scored FROM r GROUP BY ALL""",
     "scoring_spans": f"""WITH d AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n FROM documents),
 j AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 1 THEN 0 WHEN n <= {CTX} THEN 1 ELSE 1 + CAST(ceil((n - {CTX}) / {STRIDE}) AS BIGINT) END)) AS j FROM d)
 SELECT doc_id, n AS n_tokens, j * {STRIDE} AS begin, least(j * {STRIDE} + {CTX}, n) AS "end", CASE WHEN j = 0 THEN 1 ELSE (j - 1) * {STRIDE} + {CTX} END AS first FROM j""",
-    "stream_documents": """WITH t AS (SELECT source, doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents),
-p AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, n AS n_tokens FROM p WHERE before < coalesce((SELECT min(q.before) FROM p q WHERE q.source = p.source AND q.before >= 2000), 1e18)""",
+    "stream_documents": f"""WITH RECURSIVE {_DOCS}, {_PACK},
+p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, file_idx, part ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fold),
+f AS (SELECT source, file_idx, part, min(before) FILTER (WHERE before >= 2000) AS stop FROM p GROUP BY ALL)
+SELECT source, file_idx, part, row_number() OVER (PARTITION BY source, file_idx, part ORDER BY doc_id) - 1 AS place, n_tokens - 1 AS n_tokens FROM p JOIN f USING (source, file_idx, part) WHERE before < coalesce(stop, 1e18)""",
     "unigram_perplexity": f"""WITH {_NATS} SELECT lang, count(*) AS n_docs, round(sum(nats), 4) AS total_nats, round(exp(sum(nats) / sum(n_tokens)), 4) AS token_ppl,
   round(exp(sum(nats) / sum(len(regexp_split_to_array(text, '\\s+')))), 4) AS word_ppl, round(sum(nats) / (ln(2) * sum(strlen(text))), 4) AS bits_per_byte FROM documents JOIN nats USING (doc_id) GROUP BY lang""",
     "validation_bpb": f"WITH {_NATS} SELECT source, round(sum(nats) / (ln(2) * sum(strlen(text))), 6) AS bpb FROM documents JOIN nats USING (doc_id) GROUP BY source",

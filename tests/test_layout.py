@@ -36,10 +36,10 @@ def test_budget(spark):
 
 def test_packing_closes_at_the_limit(spark):
     df = spark.createDataFrame([("f", i, n) for i, n in enumerate([4, 4, 5, 1, 9])], "file string, i int, n_tokens long")
-    assert [r.part for r in layout.pack_shards(df, 8, "file", "i").orderBy("i").collect()] == [0, 0, 1, 1, 1]
-    packed = layout.pack_shards(df, 8, "file", "i").withColumn("n_bytes", F.lit(1))
+    assert [r.part for r in layout.pack_shards(df, 8, ["file"], "i").orderBy("i").collect()] == [0, 0, 1, 1, 1]
+    packed = layout.pack_shards(df, 8, ["file"], "i").withColumn("n_bytes", F.lit(1))
     drops = spark.createDataFrame([("f", 0, "title"), ("f", 7, "ngram")], "file string, part int, reason string")
-    got = {r.part: (r.n_tokens, r.n_docs_dropped_title, r.n_docs_dropped_ngram) for r in layout.shard_totals(packed, "file", dropped=drops).collect()}
+    got = {r.part: (r.n_tokens, r.n_docs_dropped_title, r.n_docs_dropped_ngram) for r in layout.shard_totals(packed, ["file"], dropped=drops).collect()}
     assert got == {0: (8, 1, 0), 1: (15, 0, 1)}
 
 

@@ -20,7 +20,7 @@ def test_val_windows(spark):
     df = spark.createDataFrame([("a", list(range(10, 20))), ("b", [1]), ("c", [])], "s string, tokens array<int>")
     rows = windows.val_windows(df, 4).orderBy("start").collect()
     assert [(r.start, r.x, r.y) for r in rows] == [(0, [10, 11, 12, 13], [11, 12, 13, 14]), (4, [14, 15, 16, 17], [15, 16, 17, 18]), (8, [18, 2, 2, 2], [19, -100, -100, -100])]
-    batches = windows.val_batches(windows.val_windows(df, 4), ["start"], 2, 4).orderBy("batch", "row").collect()
+    batches = windows.val_batches(windows.val_windows(df, 4), ["s"], ["start"], 2, 4).orderBy("batch", "row").collect()
     assert [(r.batch, r.row) for r in batches] == [(0, 0), (0, 1), (1, 0), (1, 1)] and set(batches[-1].y) == {-100}
 
 
