@@ -87,7 +87,7 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, block = words.hash_memo(), TaskContext.get().partitionId() << 32
-        edges = (np.arange(1, parts) * ((1 << 64) // parts)).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
+        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
         ids: list[int | None] = []
         hashes: list[np.ndarray] = []
         held = 0

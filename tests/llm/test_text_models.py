@@ -126,5 +126,8 @@ def test_scores_as_brute_force(spark):
 def test_scores_over_many_blocks_and_parts(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(tuple(r) for r in backoff.score(docs).collect())
-    monkeypatch.setattr(backoff, "PART_BYTES", 20_000)
-    assert sorted(tuple(r) for r in backoff.score(docs).collect()) == want
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    for parts in (2, 3, 17):
+        monkeypatch.setattr(backoff, "PART_BYTES", -(-stored // parts))
+        monkeypatch.setattr(backoff, "BLOCK_BYTES", 100_000)
+        assert sorted(tuple(r) for r in backoff.score(docs).collect()) == want
