@@ -85,6 +85,8 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
     partitions each time, as a table that is read does.
     """
 
+    limit = BLOCK_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, block = words.hash_memo(), TaskContext.get().partitionId() << 32
         edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
@@ -118,13 +120,13 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                     rows.append((p, block, k, _fields(squeeze(np.diff(own, prepend=np.uint64(0))), squeeze(n[at[p] : at[p + 1]].astype(np.uint32)))))
             return _batch(rows)
 
-        for batch, texts in words.text_batches(batches):
+        for batch, texts in words.text_batches(batches, max_bytes=min(limit, 4 << 20)):
             ids += batch.column("doc_id").to_pylist()
             for t in texts:
                 ws = words.split(t.lower())
                 hashes.append(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)))
                 held += len(t)
-            if held >= BLOCK_BYTES:
+            if held >= limit:
                 yield done()
                 ids, held, block = [], 0, block + 1
         if ids:
