@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.session import cut
 
 #: Reference grams up to this many are broadcast: some 30 MB of hashes and strings.
 SMALL = 200_000
@@ -41,22 +42,24 @@ def matches(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str =
     """Distinct (key, gram) for every reference gram that a document contains."""
     wanted = grams.select("gram").distinct().withColumn("hash", F.xxhash64(F.split("gram", " ")))
     exploded = docs.select(key, F.explode(F.array_distinct(T.ngram_hashes(T.words(text)))).alias("hash"))
-    hits = exploded.join(small(wanted), "hash").select(key, "gram").distinct()
-    texts = docs.select(key, F.concat(F.lit(" "), F.array_join(T.words(text), " "), F.lit(" ")).alias("_words"))
+    hits = cut(exploded.join(small(wanted), "hash").select(key, "gram").distinct())
+    # Few documents have hits: only their texts are read again, and no text is shuffled for it.
+    again = docs.select(key, text).join(small(hits.select(key).distinct()), key, "left_semi")
+    texts = again.select(key, F.concat(F.lit(" "), F.array_join(T.words(text), " "), F.lit(" ")).alias("_words"))
     return hits.join(texts, key).where(F.contains("_words", F.concat(F.lit(" "), "gram", F.lit(" ")))).select(key, "gram").distinct()
 
 
 def flags(docs: DataFrame, grams: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each document with ``flagged``: whether it contains a reference gram."""
     hit = matches(docs, grams, key).select(key).distinct().withColumn("_hit", F.lit(True))
-    return docs.join(hit, key, "left").withColumn("flagged", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return docs.join(small(hit), key, "left").withColumn("flagged", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def scan_totals(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row: documents, matching documents, words, and tokens where each word and each document start is one."""
     n = F.size(T.words("text")).cast("long")
     hit = found.select(key).distinct().withColumn("_hit", F.lit(1))
-    joined = docs.select(key, n.alias("n")).join(hit, key, "left")
+    joined = docs.select(key, n.alias("n")).join(small(hit), key, "left")
     return joined.agg(
         F.count(F.lit(1)).alias("n_docs_scanned"), F.count("_hit").alias("n_docs_matching"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_words_scanned"),
         F.coalesce(F.sum(F.col("n") + 1), F.lit(0)).alias("n_tokens_scanned"),
@@ -103,7 +106,7 @@ def drop_reasons(docs: DataFrame, grams: DataFrame | None, titles: DataFrame | N
         out = out.withColumn("reason", F.when(F.col("_known"), F.lit("title"))).drop("_key", "_known")
     if grams is not None:
         hit = matches(out.where("reason IS NULL"), grams, key).select(key).distinct().withColumn("_hit", F.lit(True))
-        out = out.join(hit, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_hit"), F.lit("ngram")))).drop("_hit")
+        out = out.join(small(hit), key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_hit"), F.lit("ngram")))).drop("_hit")
     return out
 
 

@@ -13,7 +13,7 @@ class Source:
     """Where a source's parquet files lie, its text column, and the least score of its rows, if any."""
 
     name: str
-    path_glob: str
+    path_glob: str | list[str]
     text_col: str = "text"
     min_int_score: int | None = None
     title_col: str | None = None
@@ -32,7 +32,7 @@ def list_files(listing: DataFrame, pattern: str, path: str = "path") -> DataFram
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
     """The rows of a source's files with their order: (file, row, text, and score and title where known)."""
-    df = spark.read.parquet(source.path_glob)
+    df = spark.read.parquet(*([source.path_glob] if isinstance(source.path_glob, str) else source.path_glob))
     columns = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(source.text_col).alias("text")]
     if source.min_int_score is not None:
         columns.append(F.col("int_score"))

@@ -9,22 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import text as T
-from millrace.operators.overlap import small
+from millrace.operators.overlap import matches, small
 from millrace.operators.selection import select_docs
 
 
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, grams: DataFrame | None = None, files_per_batch: int = 64) -> None:
     """Append the kept documents of ``source`` to ``target`` with their byte counts, and stop."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    known = None if grams is None else grams.select(F.xxhash64(F.split("gram", " ")).alias("hash"), "gram").distinct()
 
     def batch(rows: DataFrame, number: int) -> None:
         docs = select_docs(rows).withColumn("n_bytes", F.octet_length("text").cast("long"))
-        if known is not None:
-            hit = docs.select("doc_id", F.explode(F.array_distinct(T.ngram_hashes(T.words("text")))).alias("hash")).join(small(known), "hash").select("doc_id", "gram").distinct()
-            inside = F.contains(F.concat(F.lit(" "), F.array_join(T.words("text"), " "), F.lit(" ")), F.concat(F.lit(" "), F.col("gram"), F.lit(" ")))
-            docs = docs.join(hit.join(docs.select("doc_id", "text"), "doc_id").where(inside).select("doc_id").distinct(), "doc_id", "left_anti")
+        if grams is not None:
+            docs = docs.join(small(matches(docs, grams).select("doc_id").distinct()), "doc_id", "left_anti")
         # A batch that is run again after a failure replaces its own folder.
         docs.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
