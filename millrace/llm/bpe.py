@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from millrace.llm import words
 
@@ -188,7 +189,7 @@ class Bpe:
                     break
                 tree[i] = best
 
-        while w > 1 and tree[1] is not none or tree[1] is not none:
+        while tree[1] is not none:
             _, j, new = tree[1]
             b = nxt[j]
             c = nxt[b]
@@ -270,8 +271,6 @@ def encode(docs: DataFrame, source: str) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(words.offsets(map(len, ids)), pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "ids"])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
 
 

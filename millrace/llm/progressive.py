@@ -164,7 +164,6 @@ class _Bits:
     """Bits of one stretch of entropy-coded data, one after another."""
 
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
         self.bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
         self.at = 0
 
