@@ -6,11 +6,11 @@
    later rounds only fill bins that are still empty, and rounds BINS to 2 BINS - 1 place every shingle in
    bin i - BINS, so every bin fills. A document stops after the first round that leaves no bin empty.
 2. Documents with equal sets (copies) are one node from here on, named by their least id.
-3. ``ROWS`` coordinates make a band; nodes that share a band's hash share a bucket. At 85 % similarity two
-   sets miss all ``BINS / ROWS`` bands with a probability of 4e-7.
+3. ``band_rows`` coordinates make a band; nodes that share a band's hash share a bucket. Two sets at the
+   threshold miss all bands with a probability of at most ``MISS``: 4e-7 at 85 %, 8e-8 at 80 %.
 4. Two seed pairs a node, with the first nodes that it shares buckets with, are confirmed on the full sets
-   and join most groups. Pairs whose sketches agree in fewer than ``AGREE`` of the bins (6 standard errors
-   below 85 %) need no confirmation.
+   and join most groups. Pairs whose sketches agree in fewer than ``least_agreement`` of the bins (6.5
+   standard errors below the threshold) need no confirmation.
 5. Buckets that then still hold several components are compared whole, inside tasks of bounded blocks: by
    sketch first, and members with a likely partner in another component by full sets. Only links enough to
    join the components leave a task, so no pairs are listed, and none that could join two is left out.
@@ -41,13 +41,23 @@ from millrace.llm import words
 from millrace.session import cut
 
 SHINGLE = 5
-BINS, ROWS = 125, 5
-BANDS = BINS // ROWS
-PERCENT = 85
-AGREE = 80
+BINS = 125
+PERCENT = 85  # the contract of op1; other callers name their threshold
+MISS = 1e-6
 SMALL = 1 << 20  # ids that may be broadcast: 8 MB
 
 
+def band_rows(percent: int) -> int:
+    """The most coordinates a band can have for two sets at the threshold to miss all bands at most ``MISS`` of the time."""
+    return max(r for r in range(1, BINS + 1) if r == 1 or (1 - (percent / 100) ** r) ** (BINS // r) <= MISS)
+
+
+def least_agreement(percent: int) -> int:
+    """The bins in which the sketches of two sets at the threshold agree, less 6.5 standard errors."""
+    p = percent / 100
+    return max(0, int(BINS * p - 6.5 * (BINS * p * (1 - p)) ** 0.5))
+
+
 def shingle_sets(texts: list[bytes], memo: words.Memo, k: int = SHINGLE) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, sorted."""
     split = [words.split(t.lower()) for t in texts]
@@ -90,22 +100,25 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit bucket key per band; bands never share keys but by chance."""
-    parts = words.mix(sketches).reshape(len(sketches), -1, rows)
+    bands = sketches.shape[1] // rows
+    parts = words.mix(sketches[:, : bands * rows]).reshape(len(sketches), bands, rows)
     total = np.zeros(parts.shape[:2], np.uint64)
     for j in range(rows):
         total = words.mix(total + parts[:, :, j])
     return words.mix(total + np.arange(parts.shape[1], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.int64)
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, percent: int) -> DataFrame:
+    band = band_rows(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = words.hash_memo()
         for batch, texts in words.text_batches(batches, max_bytes=2 << 20):
             sets = shingle_sets(texts, memo)
             rows = sketch(sets)
-            keys = band_keys(rows)
+            keys = band_keys(rows, band)
             prints = np.array([(words.mix(s).sum(), words.mix(s + np.uint64(0xA0761D6478BD642F)).sum()) for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
             short = words.mix(rows).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
@@ -127,11 +140,11 @@ def _hashed_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes binary")
 
 
-def _similar(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bool:
-    return 100 * common >= PERCENT * (n + m - common)
+def _similar(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return 100 * common >= percent * (n + m - common)
 
 
-def _confirmed(pairs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """The components of pairs whose full sets, in ``set_a`` and ``set_b``, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +152,21 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append(_similar(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q)))
+                ok.append(_similar(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q), percent))
             yield batch.select(["ca", "cb"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.select("ca", "cb", "set_a", "set_b").mapInArrow(run, "ca long, cb long")
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches agree in enough bins."""
+    agree = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p, q = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)]) for c in ("short_a", "short_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((p == q).sum(1) >= AGREE))
+                yield batch.select(["a", "b"]).filter(pa.array((p == q).sum(1) >= agree))
 
     return pairs.select("a", "b", "short_a", "short_b").mapInArrow(run, "a long, b long")
 
@@ -182,8 +196,9 @@ def _starts(table: pa.Table, keys: tuple[str, ...]) -> tuple[pa.Table, np.ndarra
     return table, np.concatenate([[0], np.flatnonzero(edge) + 1, [table.num_rows]])
 
 
-def _with_partner(blocks: DataFrame) -> DataFrame:
+def _with_partner(blocks: DataFrame, percent: int) -> DataFrame:
     """The members of buckets that have a likely partner of another component in their block."""
+    agree = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in _groups(batches):
@@ -195,16 +210,16 @@ def _with_partner(blocks: DataFrame) -> DataFrame:
             for gap in range(1, int(np.diff(start).max())):
                 x = np.flatnonzero(group[gap:] == group[:-gap])
                 y = x + gap
-                fit = (comp[x] != comp[y]) & (within_one[x] | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+                fit = (comp[x] != comp[y]) & (within_one[x] | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                 x, y = x[fit], y[fit]
-                ok = (short[x] == short[y]).sum(1) >= AGREE
+                ok = (short[x] == short[y]).sum(1) >= agree
                 hit[x[ok]] = hit[y[ok]] = True
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(hit)) for c in ("key", "node", "comp", "n_shingles")], names=["key", "node", "comp", "n_shingles"])
 
     return blocks.mapInArrow(run, "key long, node long, comp long, n_shingles long")
 
 
-def _spanning(blocks: DataFrame) -> DataFrame:
+def _spanning(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (ca, cb) enough to join all components with similar members in one block, from the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +230,13 @@ def _spanning(blocks: DataFrame) -> DataFrame:
             found = []
             for a, b in zip(start[:-1], start[1:], strict=True):
                 own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(a, b)]
-                found += _tree(own, comp[a:b], side[a:b], bool(one[a]))
+                found += _tree(own, comp[a:b], side[a:b], bool(one[a]), percent)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["ca", "cb"])
 
     return blocks.mapInArrow(run, "ca long, cb long")
 
 
-def _tree(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, one: bool, columns: int = 4096) -> list[tuple[int, int]]:
+def _tree(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, one: bool, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
     """A spanning forest, over components, of the similar pairs of a block; between its two sides if it has two."""
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), size)
@@ -237,7 +252,7 @@ def _tree(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, one: bool,
         part = np.zeros((len(sets), columns), np.float32)
         part[row[lo:hi], column[lo:hi] - c] = 1
         common += part @ part.T
-    similar = _similar(common, size[:, None], size[None, :]) & (comp[:, None] != comp[None, :])
+    similar = _similar(common, size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
     if not one:
         similar &= side[:, None] != side[None, :]
     up = {c: c for c in comp.tolist()}
@@ -302,13 +317,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(_hashed_sets(texts).dropDuplicates(["node"]))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows = cut(_sketched(docs))
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. Pairs of ``percent`` similarity or more are linked."""
+    rows = cut(_sketched(docs, percent))
     held = rows.where("n_shingles > 0")
     same = ["print_a", "print_b", "n_shingles"]
     nodes = cut(held.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("short").alias("short")))
-    comps = _link(docs, nodes)
+    comps = _link(docs, nodes, percent)
     named = nodes.select("node", *same)
     if comps is not None:
         least = comps.groupBy("comp").agg(F.min("node").alias("component_id"))
@@ -321,13 +336,13 @@ def components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; rows that repeat an id count once.
 
     Only ids move: the few that go, or that occur more than once, meet the texts by a broadcast up to
     ``SMALL`` of them, beyond that by a shuffle.
     """
-    verdict = cut(components(docs).groupBy("doc_id").agg(F.sum(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")))
+    verdict = cut(components(docs, percent).groupBy("doc_id").agg(F.sum(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")))
     odd = cut(verdict.where("NOT kept OR (n > 1 AND doc_id IS NOT NULL)"))
     small = odd.count() <= SMALL
     gone, again = odd.where("NOT kept").select("doc_id"), odd.where("kept").select("doc_id")
@@ -339,7 +354,7 @@ def keep(docs: DataFrame) -> DataFrame:
     return left.join(by(again), "doc_id", "left_anti").unionByName(once)
 
 
-def _link(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _link(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) of the nodes in shared buckets, once no pair in a bucket could join two components."""
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     by_hash = F.min_by("node", F.xxhash64("node"))
@@ -354,21 +369,21 @@ def _link(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     seeds = ahead.select(F.col("node").alias("b"), F.explode(F.array("first", "second")).alias("a")).where("a != b").distinct()
     left = short.select(F.col("node").alias("a"), F.col("short").alias("short_a"))
     right = short.select(F.col("node").alias("b"), F.col("short").alias("short_b"))
-    likely = cut(_likely(seeds.join(left, "a").join(right, "b")))
+    likely = cut(_likely(seeds.join(left, "a").join(right, "b"), percent))
     sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
     pairs = likely.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")).join(right, "b").join(left, "a")
     comps = rows.select("node").distinct().withColumn("comp", F.col("node"))
-    comps = _moved(comps, contract(_confirmed(pairs)))
+    comps = _moved(comps, contract(_confirmed(pairs, percent)))
 
     # The rest: buckets that still hold several components are compared whole, in bounded blocks.
     member = rows.select("key", "node", "n_shingles").join(comps, "node")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     member = cut(member.join(mixed, "key").join(short.select("node", "short"), "node"))
-    open_ = cut(_with_partner(_blocks(member, F.lit(1), 1024)).distinct())
+    open_ = cut(_with_partner(_blocks(member, F.lit(1), 1024), percent).distinct())
     more = _sets_of(docs, open_)
-    links = _spanning(_blocks(open_.join(more, "node"), F.col("n_shingles"), 1 << 20))
+    links = _spanning(_blocks(open_.join(more, "node"), F.col("n_shingles"), 1 << 20), percent)
     return _moved(comps, contract(links))
 
 

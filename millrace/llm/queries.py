@@ -11,7 +11,7 @@ from millrace.session import table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.components(table(spark, sf_dir, "documents"))
+    return minhash.components(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
