@@ -47,6 +47,20 @@ def test_invalid_values_stay(spark):
         assert row.text == text and all(f.kind is None for f in row._pii)
 
 
+def test_numbers_beside_a_card_do_not_hide_it(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    digits = texts(spark, card)[0].text
+    shaped = " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+    around = ["{} 12/27", "{} 123", "7 {}", "12 {} 345", "{} 2", "1234 {} 1234", "3 {} 12 {} 9", "{} {}", "{} 2024x", "no 5-{}", "qty 3 {}, 4"]
+    got = texts(spark, *[a.replace("{}", c) for a in around for c in (card, spaced)])
+    want = [a.replace("{}", c) for a in around for c in (digits, shaped)]
+    assert [got[i].text for i in range(len(got))] == want
+    beside = texts(spark, f"{spaced} 2024-01-02", f"{spaced} 123-45-6789 x", f"{card} 10.2.3.4", f"{card} 31/01/1999", "1 " * 1000 + card, "3782 822463 10005 99", "4111 1111 1111 1112 12 7")
+    kinds = [[f.kind for f in beside[i]._pii if f.kind] for i in range(len(beside))]
+    assert kinds[:4] == [["card", "date"], ["card", "us_ssn"], ["card", "ipv4"], ["card", "date"]] and kinds[5] == ["card"] and card not in beside[4].text
+    assert "4111 1111 1111 1112" in beside[6].text or kinds[6] == ["card"]
+
+
 def test_permutations_have_no_collisions(spark):
     df = spark.range(73049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     out = df.select(pii._date(F.col("d"), pii.KEY).alias("p"))
