@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,15 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    machine-local folder chosen.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a local session takes a folder of
+    its machine, and any other is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"file://{tempfile.gettempdir()}/millrace-checkpoints"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, to write tables under that several steps read; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, computed once."""
     spark = df.sparkSession
