@@ -171,37 +171,12 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "short_a", "short_b").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("key", "i", "j")) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of rows sorted by ``keys``: tables of some groups each, and where each group starts."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        edge = np.any([np.diff(batch.column(k).to_numpy()) != 0 for k in keys], axis=0)
-        same = held and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
-        last = int(np.flatnonzero(edge)[-1]) + 1 if edge.any() else 0
-        if last or held and not same:
-            done = [*held, batch.slice(0, last)] if last else held
-            yield _starts(pa.Table.from_batches(done), keys)
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield _starts(pa.Table.from_batches(held), keys)
-
-
-def _starts(table: pa.Table, keys: tuple[str, ...]) -> tuple[pa.Table, np.ndarray]:
-    table = table.combine_chunks()
-    edge = np.any([np.diff(table.column(k).to_numpy()) != 0 for k in keys], axis=0) if table.num_rows > 1 else np.zeros(0, bool)
-    return table, np.concatenate([[0], np.flatnonzero(edge) + 1, [table.num_rows]])
-
-
 def _with_partner(blocks: DataFrame, percent: int) -> DataFrame:
     """The members of buckets that have a likely partner of another component in their block."""
     agree = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in _groups(batches):
+        for t, start in words.groups(batches, ("key", "i", "j")):
             short = np.frombuffer(b"".join(x.as_buffer() for x in t.column("short").combine_chunks()), np.uint8).reshape(-1, BINS)
             comp, n, side = (t.column(c).to_numpy() for c in ("comp", "n_shingles", "side"))
             within_one = t.column("i").to_numpy() == t.column("j").to_numpy()
@@ -223,7 +198,7 @@ def _spanning(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (ca, cb) enough to join all components with similar members in one block, from the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in _groups(batches):
+        for t, start in words.groups(batches, ("key", "i", "j")):
             comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
             one = t.column("i").to_numpy() == t.column("j").to_numpy()
             sets = t.column("hashes").combine_chunks()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,62 @@ def split(data: bytes) -> list[bytes]:
     return data.split()
 
 
+_FACTOR = 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest array so far is kept."""
+    if len(known.get(base, ())) < n:
+        all_ = np.full(n, base, np.uint64)
+        all_[0] = 1
+        known[base] = np.cumprod(all_)
+    return known[base][:n]
+
+
+SEGMENT = 4 << 20
+
+
+def _segments(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        end = at + SEGMENT
+        if end < len(text):
+            last = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, SEGMENT, at)])
+            if len(last):
+                end = at + int(last[-1]) + 1
+            else:  # one word: it goes through whole
+                found = re.compile(rb"[ \t-\r]").search(text, end)
+                end = found.end() if found else len(text)
+        part = text[at:end]
+        at += len(part)
+        yield part
+
+
+def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in turn, without a step a word, and where each text's words start.
+
+    A word's hash is the polynomial of its bytes, mixed; one running sum over all bytes gives it for every word.
+    Long texts go through in segments that end between words.
+    """
+    if any(len(t) > SEGMENT for t in texts):
+        parts = [np.concatenate([_hashes([x])[0] for x in _segments(t)] or [np.zeros(0, np.uint64)]) for t in texts]
+        return np.concatenate(parts), offsets(map(len, parts))
+    return _hashes(texts)
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    white = _WHITE[data]
+    edge = np.flatnonzero(np.diff(white, prepend=True))  # where words start and end, by turns
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, len(data)))])
+    h = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start])
+    return h, np.searchsorted(start, offsets(len(t) + 1 for t in texts))
+
+
 def hash_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
@@ -83,3 +140,28 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", max_by
             held += int(n)
         if start < len(data):
             yield batch.slice(start), [x or b"" for x in data.slice(start).to_pylist()]
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by ``keys``: tables of some groups each, and where each group starts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = np.any([np.diff(batch.column(k).to_numpy()) != 0 for k in keys], axis=0)
+        same = held and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+        last = int(np.flatnonzero(edge)[-1]) + 1 if edge.any() else 0
+        if last or held and not same:
+            done = [*held, batch.slice(0, last)] if last else held
+            yield _starts(pa.Table.from_batches(done), keys)
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield _starts(pa.Table.from_batches(held), keys)
+
+
+def _starts(table: pa.Table, keys: tuple[str, ...]) -> tuple[pa.Table, np.ndarray]:
+    table = table.combine_chunks()
+    edge = np.any([np.diff(table.column(k).to_numpy()) != 0 for k in keys], axis=0) if table.num_rows > 1 else np.zeros(0, bool)
+    return table, np.concatenate([[0], np.flatnonzero(edge) + 1, [table.num_rows]])
