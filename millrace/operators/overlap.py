@@ -1,35 +1,49 @@
 """Overlap of a corpus with evaluation text by word 13-grams, and drop reasons.
 
-Documents are exploded into 64-bit hashes of their grams, narrow rows that meet the reference's hashes in a
-broadcast join while the reference is small (checked) and in a shuffled one beyond. Only documents with a
-hit are read again to confirm the grams as strings, so a hash collision cannot flag a document.
+One Arrow pass over the documents does the whole search: words are hashed in numpy, a window is looked at only if
+all its words occur in some reference gram, its hash is sought among the grams' sorted hashes, and a hit is
+confirmed on the words themselves, so a collision cannot flag a document. Only hits leave the pass, and nothing is
+shuffled. The grams are broadcast in slices of at most ``SLICE``, one pass each, so their memory is bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions import wordhash
 from millrace.session import cut
 
-#: Reference grams up to this many are broadcast: some 30 MB of hashes and strings.
+#: Reference grams in one broadcast: some 100 MB with their strings.
+SLICE = 500_000
+#: Rows up to which a narrow table is broadcast.
 SMALL = 200_000
+#: Bytes of reference text that are joined into one stream, in one task.
+STREAM = 1 << 30
+#: Bytes of text that are hashed at once.
+BATCH = 4 << 20
 
 
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df``, computed once, with a broadcast hint if it has at most ``limit`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def stream_grams(reference: DataFrame, order: str, text: str = "text") -> DataFrame:
     """Distinct grams of all reference texts joined in order, so they cross text boundaries.
 
-    The reference is evaluation text of bounded size; it becomes one row.
+    The reference becomes one row, so more than ``STREAM`` bytes of it are an error.
     """
-    whole = reference.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    fits = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) <= STREAM
+    whole = reference.agg(F.when(fits, joined).otherwise(F.raise_error(F.lit("the reference is too long for one stream"))).alias("text"))
     return whole.select(F.explode(F.array_distinct(T.ngrams(T.words("text")))).alias("gram"))
 
 
@@ -38,15 +52,93 @@ def item_grams(items: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return items.select(*keys, F.explode(F.array_distinct(T.ngrams(T.words(text)))).alias("gram")).distinct()
 
 
+#: Bytes that belong to words stay, all others become spaces; texts are lower-cased before.
+_LETTERS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+
+
+class _Search:
+    """The grams of one slice: sorted hashes of their words and of themselves, and the grams in the latter's order."""
+
+    def __init__(self, grams: list[bytes]):
+        h, off = wordhash.hashes(grams)
+        self.words = np.unique(h)
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[(self.words >> np.uint64(42)).astype(np.int64)] = True
+        whole = self._windows(h, off[:-1])
+        order = np.argsort(whole, kind="stable")
+        self.hashes, self.grams = whole[order], [grams[i] for i in order]
+
+    @staticmethod
+    def _windows(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A hash of the ``GRAM`` words from each place on, that depends on their order."""
+        total = np.zeros(len(first), np.uint64)
+        for j in range(T.GRAM):
+            total = wordhash.mix(total + h[first + j])
+        return total
+
+    def hits(self, texts: list[str]) -> tuple[list[int], list[bytes]]:
+        """Texts, by place, and the distinct grams that they hold."""
+        data = [t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts]
+        whole = b" ".join(data)
+        h, start, end = wordhash.located(whole)
+        known = self.marks[(h >> np.uint64(42)).astype(np.int64)]
+        some = np.flatnonzero(known)
+        if not len(some):
+            return [], []
+        at = np.minimum(np.searchsorted(self.words, h[some]), len(self.words) - 1)
+        known[some] = self.words[at] == h[some]
+        run = np.concatenate([[0], np.cumsum(known)])
+        first = np.flatnonzero(run[T.GRAM :] - run[: -T.GRAM] == T.GRAM)
+        doc = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), start, side="right")
+        first = first[doc[first] == doc[first + T.GRAM - 1]] if len(first) else first
+        found = self._windows(h, first)
+        place = np.searchsorted(self.hashes, found)
+        place[place == len(self.hashes)] = 0
+        right = self.hashes[place] == found
+        pairs = set()
+        for i, p in zip(first[right].tolist(), place[right].tolist(), strict=True):
+            gram = b" ".join(whole[a:b] for a, b in zip(start[i : i + T.GRAM].tolist(), end[i : i + T.GRAM].tolist(), strict=True))
+            same = self.hashes[p]
+            while p < len(self.grams) and self.hashes[p] == same and self.grams[p] != gram:
+                p += 1
+            if p < len(self.grams) and self.grams[p] == gram:
+                pairs.add((int(doc[i]), gram))
+        ordered = sorted(pairs)
+        return [d for d, _ in ordered], [g for _, g in ordered]
+
+
 def matches(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (key, gram) for every reference gram that a document contains."""
-    wanted = grams.select("gram").distinct().withColumn("hash", F.xxhash64(F.split("gram", " ")))
-    exploded = docs.select(key, F.explode(F.array_distinct(T.ngram_hashes(T.words(text)))).alias("hash"))
-    hits = cut(exploded.join(small(wanted), "hash").select(key, "gram").distinct())
-    # Few documents have hits: only their texts are read again, and no text is shuffled for it.
-    again = docs.select(key, text).join(small(hits.select(key).distinct()), key, "left_semi")
-    texts = again.select(key, F.concat(F.lit(" "), F.array_join(T.words(text), " "), F.lit(" ")).alias("_words"))
-    return hits.join(texts, key).where(F.contains("_words", F.concat(F.lit(" "), "gram", F.lit(" ")))).select(key, "gram").distinct()
+    """Distinct (key, gram) for every reference gram that a document contains; computed once."""
+    spark = docs.sparkSession
+    wanted = cut(grams.select("gram").where("gram IS NOT NULL").distinct())
+    slices = max(1, -(-wanted.count() // SLICE))
+    slim = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kind = slim.schema[key].dataType.simpleString()
+    found = []
+    for i in range(slices):
+        own = wanted.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i).toArrow().column("gram").to_pylist()
+        held = spark.sparkContext.broadcast([g.encode() for g in own])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            search = _Search(held.value) if held.value else None
+            for batch in batches if search else ():
+                for part in _cuts(batch):
+                    doc, gram = search.hits(part.column("_text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(doc, pa.int64())), pa.array([g.decode() for g in gram], pa.string())], names=[key, "gram"])
+
+        found.append(slim.mapInArrow(run, f"`{key}` {kind}, gram string"))
+    return cut(reduce(DataFrame.unionByName, found).distinct())
+
+
+def _cuts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``BATCH`` bytes of text, or one row."""
+    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("_text")])
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + BATCH, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def flags(docs: DataFrame, grams: DataFrame, key: str = "doc_id") -> DataFrame:

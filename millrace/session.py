@@ -47,6 +47,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, whatever the case of its names: ``name`` after as many underscores as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, computed once."""
     spark = df.sparkSession
