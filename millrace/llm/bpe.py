@@ -12,7 +12,8 @@ Edge cases
 * texts with characters outside basic Latin, Latin-1 and Latin Extended-A are normalised and split by the
   library's own normaliser and pre-tokenizer; merging is done here for all texts.
 * a word of any length is encoded whole; repeated rows get equal results; an empty table stays empty.
-* other columns of the input are ignored by ``digests`` and kept by ``encode``.
+* other columns of the input are ignored by ``digests`` and kept by ``encode``, but for one named ``ids``.
+* the memo of words holds a bounded count of them and of their bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from millrace.llm import words
 
-NEVER = np.iinfo(np.int64).max
+NEVER = int(np.iinfo(np.int64).max)
 #: Words with more pairs than this get a tree of their own in plain Python.
 WIDE = 128
+MEMO_BYTES = 32 << 20
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
 #: Characters whose case, composition and class need no tables: white space and Latin without U+0130.
@@ -100,7 +103,7 @@ class Bpe:
             own = np.flatnonzero((width == w) & (sizes > 0))
             if w > WIDE:
                 for i in own:
-                    out[i] = np.array(self.encode_long(distinct[i]), "<u4").tobytes()
+                    out[i] = self.encode_long(distinct[i]).astype("<u4").tobytes()
                 continue
             step = max(1, (1 << 20) // int(w))
             for s in range(0, len(own), step):
@@ -161,27 +164,29 @@ class Bpe:
         data, bounds = sym[live].astype("<u4").tobytes(), words.offsets(live.sum(1)) * 4
         return [data[bounds[i] : bounds[i + 1]] for i in range(n)]
 
-    def encode_long(self, word: bytes) -> list[int]:
-        """One word with one tree, in plain Python: logarithmic work for each merge whatever the length."""
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """One word with one tree, on plain integers: logarithmic work for each merge, some 50 bytes for each byte of the word."""
         n = len(word)
-        sym = [int(self.inner[x]) for x in word]
-        sym[-1] = int(self.last[word[-1]])
-        nxt, prv, get = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks.get
+        start = self.inner[np.frombuffer(word, np.uint8)].astype(np.int64)
+        start[-1] = self.last[word[-1]]
         w = 1 << max(0, (n - 2).bit_length())
-        none = (NEVER, 0, 0)
-
-        def leaf(i: int, k: int):
-            found = get(sym[i] << 16 | sym[k])
-            return none if found is None else (found[0], i, found[1])
-
-        tree = [none] * (2 * w)
-        tree[w : w + n - 1] = [leaf(i, i + 1) for i in range(n - 1)]
-        for i in range(w - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-        def put(i: int, value) -> None:
+        level = np.full(w, NEVER)
+        level[: n - 1] = self._keys(start[:-1], start[1:], np.arange(n - 1))
+        whole = np.full(2 * w, NEVER)
+        while len(level):
+            whole[len(level) : 2 * len(level)] = level
+            level = level.reshape(-1, 2).min(1) if len(level) > 1 else level[:0]
+        tree, sym, nxt, prv = (array("q", x.tobytes()) for x in (whole, start, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        del whole, start, level
+        ranks, made = self.ranks, self.made
+
+        def leaf(i: int, k: int) -> int:
+            found = ranks.get(sym[i] << 16 | sym[k])
+            return NEVER if found is None else found[0] << 32 | i
+
+        def put(i: int, key: int) -> None:
             i += w
-            tree[i] = value
+            tree[i] = key
             while i > 1:
                 i >>= 1
                 best = min(tree[2 * i], tree[2 * i + 1])
@@ -189,19 +194,20 @@ class Bpe:
                     break
                 tree[i] = best
 
-        while tree[1] is not none:
-            _, j, new = tree[1]
+        while (root := tree[1]) != NEVER:
+            j = root & 0xFFFFFFFF
             b = nxt[j]
             c = nxt[b]
-            sym[j], sym[b], nxt[j] = new, -1, c
+            sym[j], sym[b], nxt[j] = int(made[root >> 32]), -1, c
             if c < n:
                 prv[c] = j
-            put(j, leaf(j, c) if c < n else none)
+            put(j, leaf(j, c) if c < n else NEVER)
             if b < n - 1:
-                put(b, none)
+                put(b, NEVER)
             if prv[j] >= 0:
                 put(prv[j], leaf(prv[j], j))
-        return [s for s in sym if s >= 0]
+        out = np.frombuffer(sym, np.int64)
+        return out[out >= 0]
 
     @functools.cached_property
     def _blob(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +233,7 @@ class Encoder:
     """A worker's encoder: a Bpe and its memo of distinct words."""
 
     def __init__(self, source: str, size: int = words.MEMO):
-        self.bpe, self.memo, self.size = Bpe(source), {}, size
+        self.bpe, self.memo, self.size, self.held = Bpe(source), {}, size, 0
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -239,10 +245,12 @@ class Encoder:
                 split.append([x for part in parts for x in part])
             else:
                 split.append(bpe.pieces(text))
-        if len(self.memo) > self.size:
+        if len(self.memo) > self.size or self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo = self.memo
         missing = list({p for ps in split for p in ps if p not in memo})
+        self.held += sum(map(len, missing))
         plain = [p for p in missing if isinstance(p, bytes)]
         memo.update(zip(plain, bpe.encode_words(plain), strict=True))
         memo.update((p, np.array([bpe.special[p]], "<u4").tobytes()) for p in missing if isinstance(p, str))
@@ -261,7 +269,8 @@ def read_vocabulary(path: str | None = None, name: str = "word_bpe_49k.json") ->
 
 
 def encode(docs: DataFrame, source: str) -> DataFrame:
-    """``docs`` with a column ``ids``: array of token ids."""
+    """``docs`` with a column ``ids``: array of token ids; a column of that name in the input gives way to it."""
+    docs = docs.drop("ids")
     held = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+from millrace.functions.wordhash import hashes, mix
+
+__all__ = ["Memo", "groups", "hash_memo", "hashes", "mix", "offsets", "split", "step", "text_batches", "windows", "within"]
+
 #: A window's hash is a sum of its words' 64-bit hashes times these odd factors, then mixed.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 MEMO = 1 << 19
@@ -33,62 +36,6 @@ def split(data: bytes) -> list[bytes]:
     return data.split()
 
 
-_FACTOR = 0xD6E8FEB86659FD93
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest array so far is kept."""
-    if len(known.get(base, ())) < n:
-        all_ = np.full(n, base, np.uint64)
-        all_[0] = 1
-        known[base] = np.cumprod(all_)
-    return known[base][:n]
-
-
-SEGMENT = 4 << 20
-
-
-def _segments(text: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(text):
-        end = at + SEGMENT
-        if end < len(text):
-            last = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, SEGMENT, at)])
-            if len(last):
-                end = at + int(last[-1]) + 1
-            else:  # one word: it goes through whole
-                found = re.compile(rb"[ \t-\r]").search(text, end)
-                end = found.end() if found else len(text)
-        part = text[at:end]
-        at += len(part)
-        yield part
-
-
-def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in turn, without a step a word, and where each text's words start.
-
-    A word's hash is the polynomial of its bytes, mixed; one running sum over all bytes gives it for every word.
-    Long texts go through in segments that end between words.
-    """
-    if any(len(t) > SEGMENT for t in texts):
-        parts = [np.concatenate([_hashes([x])[0] for x in _segments(t)] or [np.zeros(0, np.uint64)]) for t in texts]
-        return np.concatenate(parts), offsets(map(len, parts))
-    return _hashes(texts)
-
-
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    white = _WHITE[data]
-    edge = np.flatnonzero(np.diff(white, prepend=True))  # where words start and end, by turns
-    start, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, len(data)))])
-    h = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start])
-    return h, np.searchsorted(start, offsets(len(t) + 1 for t in texts))
-
-
 def hash_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
@@ -98,13 +45,6 @@ def step(i: int) -> np.uint64:
     return np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def offsets(lengths: Iterable[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))])
 

@@ -104,7 +104,7 @@ def test_bpe_query(spark):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted((tuple(r) for r in bpe.digests(frame(spark, ODD), source).collect()), key=repr) == sorted(want, key=repr)
     assert bpe.digests(frame(spark, []), source).collect() == []
-    out = bpe.encode(frame(spark, ODD).drop("ids"), source)
+    out = bpe.encode(frame(spark, ODD), source)
     assert out.columns == ["doc_id", "text", "media", "length", "ids"] and out.count() == len(ODD)
 
 
@@ -139,12 +139,16 @@ def test_packing(spark, sf):
     assert packing.pack(frame(spark, []), source).collect() == []
 
 
+FLAT = packing.Corpus(1000, 500.0, np.full(packing.BUCKETS, 20, np.uint8))
+
+
 def test_packing_over_many_shards(monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
     rng = np.random.default_rng(0)
-    packer, sizes = packing.Packer(0), [int(n) for n in rng.integers(1, 5000, 80)]
+    packer, sizes = packing.Packer(0, FLAT), [int(n) for n in rng.integers(1, 5000, 80)]
     for i, n in enumerate(sizes):
-        packer.add(i, rng.integers(0, 500, n).astype(np.uint32))
+        ids = rng.integers(0, 500, n).astype(np.uint32)
+        packer.add(i, ids, np.unique(ids.astype(np.uint64), return_counts=True))
     packer.finish()
     assert sum(r[2] for r in packer.rows) == sum(sizes)
     totals = {}
@@ -153,29 +157,80 @@ def test_packing_over_many_shards(monkeypatch):
     assert all(n <= 2048 and n & (n - 1) == 0 for n in totals.values())
 
 
-def test_index_is_bm25():
-    docs = [np.array(x, np.uint32) for x in ([1, 1, 2, 3], [1, 4], [2, 2, 2, 5, 6, 7], [8])]
-    index, mean = packing.Index(docs), np.mean([4, 2, 6, 1])
+def test_index_is_bm25(spark):
+    texts = ["a a b c", "A d", "b b b e f g", "h"]
+    known = packing.corpus(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    docs = [t.lower().split() for t in texts]
+    assert known.n_docs == 4 and known.mean == 13 / 4
+    index = packing.Index(packing.terms_of([t.encode() for t in texts]), known)
     for q in range(4):
         want = []
-        for d in docs:
+        for i, d in enumerate(docs):
             total = 0.0
-            for t in set(docs[q].tolist()):
-                df, tf = sum(t in x for x in docs), int((d == t).sum())
-                total += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            for t in set(docs[q]):
+                df, tf = sum(t in x for x in docs), d.count(t)
+                if df > 1:  # a word of one document alone ranks nothing
+                    total += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / known.mean))
             want.append(total)
         assert np.allclose(index.scores(q), want)
 
 
 def test_best_neighbour_comes_first():
     rng = np.random.default_rng(4)
-    packer = packing.Packer(0)
+    packer = packing.Packer(0, FLAT)
     topics = [rng.integers(1000 * k, 1000 * k + 300, (4, 512)).astype(np.uint32) for k in range(1, 9)]
     for j in range(4):
         for k, t in enumerate(topics):
-            packer.add(10 * k + j, t[j])
+            packer.add(10 * k + j, t[j], np.unique(t[j].astype(np.uint64), return_counts=True))
     packer.finish()
     together = {}
     for r in packer.rows:
         together.setdefault(r[5], set()).add(r[0] // 10)
     assert all(len(kinds) == 1 for kinds in together.values())
+
+
+def test_texts_of_one_long_run(spark):
+    source = bpe.read_vocabulary(name="byte_bpe_50k.json")
+    tok = Tokenizer.from_str(source)
+    docs = [(1, " " * 1_100_000 + "a"), (2, "\n" * 30000 + "b c"), (3, "z" * 2_000_000), (4, "ab " * 20000 + "\t" * 15000)]
+    check_pieces(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), source).collect(), docs, tok)
+
+
+def whole_table_bm25(texts, queries, k):
+    """The scores of the k best documents for each query, by all its words over all documents."""
+    ids = {}
+    held = [np.unique([ids.setdefault(w, len(ids)) for w in t.lower().split()] or [0], return_counts=True) for t in texts]
+    size = np.array([len(t.split()) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t, _ in held])
+    term, tf = np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held])
+    df = np.bincount(term)
+    impact = np.log1p((len(texts) - df + 0.5) / (df + 0.5))[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[doc] / size.mean()))
+    order = np.argsort(term, kind="stable")
+    doc, impact, start = doc[order], impact[order], np.concatenate([[0], np.cumsum(df)])
+    for q in queries:
+        at = np.concatenate([np.arange(start[t], start[t + 1]) for t in held[q][0]])
+        score = np.bincount(doc[at], impact[at], len(texts))
+        score[q] = -1
+        yield score, np.sort(score)[::-1][:k]
+
+
+def test_recall_against_the_whole_table(spark):
+    """Of documents with a neighbour that stands out, half again above the tenth, nine in ten get it or one as good to a
+    tenth, and lie in the best one's group."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = spark.sparkContext.broadcast(packing.corpus(docs))
+    links = packing.neighbours(packing._keyed(docs), held).cache()
+    key = {r.key: r.doc_id for r in packing._keyed(docs).collect()}
+    found = {key[r.key]: key[r.neighbour] for r in links.collect()}
+    group = {key[r.key]: (r.route, r.salt) for r in packing.grouped(links).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    queries = np.random.default_rng(0).choice([i for i, (_, t) in enumerate(rows) if len(t.split()) >= 8], 600, replace=False)
+    hits = together = clear = 0
+    for q, (score, top) in zip(queries, whole_table_bm25([t for _, t in rows], queries, 10), strict=True):
+        if top[0] < 1.5 * top[9]:
+            continue
+        clear += 1
+        own, best = rows[q][0], np.flatnonzero(score >= 0.9 * top[0])
+        hits += own in found and score[[i for i, (d, _) in enumerate(rows) if d == found[own]][0]] >= 0.9 * top[0]
+        together += own in group and any(group.get(rows[b][0]) == group[own] for b in best)
+    assert clear >= 100 and hits >= 0.9 * clear and together >= 0.9 * clear, (clear, hits, together)
