@@ -5,8 +5,11 @@ counts back to the exploded n-grams, sum per document. To keep a row per n-gram
 sorted arrays: a block of documents lists its distinct n-gram hashes of each order once, in order, cut by
 hash range into parts (``grams``); each part sums the counts of equal hashes over all blocks and sends them
 back in the same order (``_count``); they meet the block's word sequence, taken from a second pass over the
-texts, by place (``_score``). A frequent
-n-gram is one entry a block, so no part is hot, and nothing is gathered on the driver but one sum.
+texts (``sequences``), by place (``_score``). A frequent n-gram is one entry a block, so no part is hot, and nothing is
+gathered on the driver but two sums. The count of parts follows the text's bytes, so a part's memory does not
+grow; a block's entries spread over more parts as the corpus grows, in shorter rows, of which there are at most as
+many as n-grams. The form departs from a plan with a row for each n-gram, whose two shuffles of some 150 bytes a
+word do not fit the disk that is given; the counts and scores are the same.
 
 A word scores log(c(w1 w2 w3) / c(w1 w2)) where the trigram occurs ``LEAST`` times or more in the corpus,
 else log 0.4 + log(c(w2 w3) / c(w2)) where the bigram does, else 2 log 0.4 + log(c(w3) / N); the first
@@ -22,7 +25,7 @@ Edge cases
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ ORDER = 3
 ALPHA = 0.4
 LEAST = 2
 BLOCK_BYTES = 16 << 20
-PART_BYTES = 8 << 20  # of stored input for each part of the tables
+PART_BYTES = 16 << 20  # of text for each part of the tables
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -66,60 +69,29 @@ def _split_fields(data: bytes) -> list[bytes]:
     return out
 
 
-_ROW = "part int, block long, kind int, blob binary"
-_NAMES = ["part", "block", "kind", "blob"]
+_ROW = "part int, block long, blob binary"
+_NAMES = ["part", "block", "blob"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    kinds = (pa.int32(), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
-def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
-    """Rows (part, block, kind, blob): kind k = 1 .. order holds sorted distinct k-gram hashes of a hash range
-    and their counts in the block. ``order`` 0 gives one row of kind 0 a block instead: its documents as ranks
-    in its vocabulary, most frequent words first.
+def _in_blocks(docs: DataFrame, rows_of: Callable[[int, list[int | None], list[np.ndarray]], Iterator[tuple]]) -> DataFrame:
+    """What ``rows_of`` makes of each block of documents: its number, and its documents' ids and word hashes.
 
-    Both forms cut the same blocks from the same partitions, so ``docs`` must give the same rows in the same
-    partitions each time, as a table that is read does.
+    Blocks are cut from the partitions, so ``docs`` must give the same rows in the same partitions each time, as a
+    table that is read does.
     """
-
     limit = BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, block = words.hash_memo(), TaskContext.get().partitionId() << 32
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
         ids: list[int | None] = []
         hashes: list[np.ndarray] = []
         held = 0
-
-        def done() -> pa.RecordBatch:
-            off = words.offsets(map(len, hashes))
-            h = np.concatenate(hashes)
-            hashes.clear()
-            if not order:
-                vocabulary, place, n = np.unique(h, return_inverse=True, return_counts=True)
-                known = np.array([x if x is not None else 0 for x in ids], np.int64)
-                null = np.array([x is None for x in ids], np.uint8)
-                # Places by falling frequency have mostly low bytes, which compress well.
-                by_count = np.argsort(-n, kind="stable")
-                rank = np.empty_like(by_count)
-                rank[by_count] = np.arange(len(n))
-                return _batch([(0, block, 0, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint32)), squeeze(rank[place].astype(np.uint32))))])
-            rows = []
-            for k in range(1, order + 1):
-                g = h.copy() if k == 1 else words.windows(h, off, k)[0]
-                g.sort()
-                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-                n = np.diff(first, append=len(g))
-                g = g[first]
-                at = [0, *np.searchsorted(g, edges).tolist(), len(g)]
-                for p in range(parts):
-                    own = g[at[p] : at[p + 1]]
-                    rows.append((p, block, k, _fields(squeeze(np.diff(own, prepend=np.uint64(0))), squeeze(n[at[p] : at[p + 1]].astype(np.uint32)))))
-            return _batch(rows)
-
         for batch, texts in words.text_batches(batches, max_bytes=min(limit, 4 << 20)):
             ids += batch.column("doc_id").to_pylist()
             for t in texts:
@@ -127,63 +99,93 @@ def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                 hashes.append(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)))
                 held += len(t)
             if held >= limit:
-                yield done()
-                ids, held, block = [], 0, block + 1
+                yield _batch(list(rows_of(block, ids, hashes)))
+                ids, hashes, held, block = [], [], 0, block + 1
         if ids:
-            yield done()
+            yield _batch(list(rows_of(block, ids, hashes)))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
 
 
+def grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
+    """Rows (part, block, blob): for k = 1 .. order the sorted distinct k-gram hashes of a hash range, and their counts in
+    the block. A block has no row for a range without n-grams of it, so there are never more rows than n-grams."""
+
+    def rows_of(block: int, ids: list[int | None], hashes: list[np.ndarray]) -> Iterator[tuple]:
+        off, h = words.offsets(map(len, hashes)), np.concatenate(hashes)
+        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        lists, counts, ends = [], [], []
+        for k in range(1, order + 1):
+            g = h.copy() if k == 1 else words.windows(h, off, k)[0]
+            g.sort()
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            counts.append(np.diff(first, append=len(g)))
+            lists.append(g[first])
+            ends.append(np.concatenate([[0], np.searchsorted(g[first], edges), [len(first)]]))
+        for p in np.flatnonzero(sum(np.diff(e) for e in ends)).tolist():
+            own = [(g[e[p] : e[p + 1]], n[e[p] : e[p + 1]]) for g, n, e in zip(lists, counts, ends, strict=True)]
+            yield p, block, _fields(*(x for g, n in own for x in (squeeze(np.diff(g, prepend=np.uint64(0))), squeeze(n.astype(np.uint32)))))
+
+    return _in_blocks(docs, rows_of)
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """One row a block: its documents as ranks in its vocabulary, most frequent words first."""
+
+    def rows_of(block: int, ids: list[int | None], hashes: list[np.ndarray]) -> Iterator[tuple]:
+        off = words.offsets(map(len, hashes))
+        _, place, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        known = np.array([x if x is not None else 0 for x in ids], np.int64)
+        null = np.array([x is None for x in ids], np.uint8)
+        # Places by falling frequency have mostly low bytes, which compress well.
+        by_count = np.argsort(-n, kind="stable")
+        rank = np.empty_like(by_count)
+        rank[by_count] = np.arange(len(n))
+        yield 0, block, _fields(squeeze(known), squeeze(null), squeeze(np.diff(off).astype(np.uint32)), squeeze(rank[place].astype(np.uint32)))
+
+    return _in_blocks(docs, rows_of)
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """One part of the tables: each block's entries with the counts of the whole corpus."""
-    kind, rows = table.column("kind").to_numpy(), []
-    for k in np.unique(kind):
-        own = np.flatnonzero(kind == k)
-        lists, counts = [], []
-        for i in own:
-            g, n = _split_fields(table.column("blob")[i].as_py())
-            lists.append(np.cumsum(unsqueeze(g, np.uint64)))
-            counts.append(unsqueeze(n, np.uint32))
+    """One part of the tables: each block's entries with the counts of the whole corpus, as fields: the words and
+    their counts in the block (they order its vocabulary), then the corpus's counts of each order."""
+    fields = [_split_fields(x.as_py()) for x in table.column("blob")]
+    out = [f[:2] for f in fields]
+    for k in range(len(fields[0]) // 2):
+        lists = [np.cumsum(unsqueeze(f[2 * k], np.uint64)) for f in fields]
         ends = words.offsets(map(len, lists))
         _, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts)).astype(np.uint64)[place] if len(place) else place.astype(np.uint64)
-        for j, i in enumerate(own):
-            # The words themselves go back too, with their counts in the block: they order its vocabulary.
-            extra = _split_fields(table.column("blob")[i].as_py()) if k == 1 else []
-            rows.append((table.column("part")[i].as_py(), table.column("block")[i].as_py(), int(k), _fields(squeeze(total[ends[j] : ends[j + 1]]), *extra)))
-    return pa.Table.from_batches([_batch(rows)])
+        counts = np.concatenate([unsqueeze(f[2 * k + 1], np.uint32) for f in fields])
+        total = np.bincount(place, counts).astype(np.uint64)[place] if len(place) else place.astype(np.uint64)
+        for j, own in enumerate(out):
+            own.append(squeeze(total[ends[j] : ends[j + 1]]))
+    return pa.Table.from_batches([_batch(list(zip(table.column("part").to_pylist(), table.column("block").to_pylist(), (_fields(*f) for f in out), strict=True)))])
 
 
 _SCORED = "doc_id long, n_words long, n_seen long, n_unigram long, partial double"
 
 
-def _score(table: pa.Table, blocks: pa.Table) -> pa.Table:
+def _score(table: pa.Table, blocks: pa.Table, order: int) -> pa.Table:
     """One block: the counts joined to its positions and summed per document, log N left out."""
-    kind, part = table.column("kind").to_numpy(), table.column("part").to_numpy()
-    if len(blocks) != 1 or not len(kind):
+    if len(blocks) != 1:
         raise ValueError("the documents came in other partitions when read again: write them as a table first")
     known, null, sizes, rank = _split_fields(blocks.column("blob")[0].as_py())
     off = words.offsets(unsqueeze(sizes, np.uint32))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = int(kind.max())
-    counts: list[np.ndarray] = []  # at a position: of the k-gram that ends there, 0 where there is none
-    for k in range(1, order + 1):
-        own = np.flatnonzero(kind == k)
-        parts = [_split_fields(table.column("blob")[int(i)].as_py()) for i in own[np.argsort(part[own])]]
-        values = np.concatenate([unsqueeze(p[0], np.uint64) for p in parts]).astype(float)
-        if k == 1:
-            vocabulary = np.concatenate([np.cumsum(unsqueeze(p[1], np.uint64)) for p in parts])
-            n = np.concatenate([unsqueeze(p[2], np.uint32) for p in parts]).astype(np.int64)
-            if int(n.sum()) != int(off[-1]):
-                raise ValueError("the documents came in another order when read again: write them as a table first")
-            place = np.argsort(-n, kind="stable")[unsqueeze(rank, np.uint32).astype(np.int64)]
-            h = vocabulary[place]
-            counts.append(values[place])
-            continue
+    by_part = np.argsort(table.column("part").to_numpy())
+    parts = [_split_fields(table.column("blob")[int(i)].as_py()) for i in by_part]
+    whole = lambda i, kind: np.concatenate([np.zeros(0, kind), *(unsqueeze(p[i], kind) for p in parts)])
+    vocabulary = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unsqueeze(p[0], np.uint64)) for p in parts)])
+    n = whole(1, np.uint32).astype(np.int64)
+    if int(n.sum()) != int(off[-1]):
+        raise ValueError("the documents came in another order when read again: write them as a table first")
+    place = np.argsort(-n, kind="stable")[unsqueeze(rank, np.uint32).astype(np.int64)]
+    h = vocabulary[place]
+    counts = [whole(2, np.uint64).astype(float)[place]]  # at a position: of the k-gram that ends there, 0 where there is none
+    for k in range(2, order + 1):
         g, at, _ = words.windows(h, off, k)
         full = np.zeros(len(h))
-        full[at + k - 1] = values[np.unique(g, return_inverse=True)[1]] if len(g) else 0
+        full[at + k - 1] = whole(k + 1, np.uint64).astype(float)[np.unique(g, return_inverse=True)[1]] if len(g) else 0
         counts.append(full)
     room = np.minimum(np.arange(len(h)) - off[doc] + 1, order)  # the order a position can have
     used = np.ones(len(h), np.int64)
@@ -208,11 +210,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     ``score`` is rounded to 3 digits and ``mean_score``, the score per word, to 6.
     """
-    spark = docs.sparkSession
-    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(1, min(20_000, -(-stored // PART_BYTES)))
-    counted = grams(docs, parts, order).groupBy("part").applyInArrow(_count, _ROW)
-    rows = cut(counted.groupBy("block").cogroup(grams(docs, parts, 0).groupBy("block")).applyInArrow(_score, _SCORED))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = grams(docs, max(1, -(-size // PART_BYTES)), order).groupBy("part").applyInArrow(_count, _ROW)
+    scored = counted.groupBy("block").cogroup(sequences(docs).groupBy("block")).applyInArrow(lambda t, b: _score(t, b, order), _SCORED)
+    rows = cut(scored)
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     value = F.col("partial") - F.col("n_unigram") * F.lit(math.log(max(total, 1)))
     mean = F.when(F.col("n_words") > 0, F.round(value / F.col("n_words"), 6))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words
+from millrace.session import cut
 
 #: Indicators of one document and their document's row, each pair once.
 Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -57,11 +58,34 @@ def once(doc: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def sample(docs: DataFrame, chosen: DataFrame, make: Callable[[], Extract]) -> list[tuple]:
-    """Features of the chosen documents, as (doc_id, indices, other columns of ``chosen``), in the order of doc_id.
+def agreed(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the ids whose labels in ``column`` all agree, each id once; null ids and labels are left out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias(column), F.max(column).alias("_hi"))
+    return one.where(F.col(column) == F.col("_hi")).drop("_hi")
 
-    ``chosen`` is bounded by its maker, so it is broadcast, and the features of its rows fit the driver.
+
+def first_by_hash(ids: DataFrame, n: int) -> DataFrame:
+    """``n`` rows with distinct ids, spread evenly over them by a hash."""
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def sampled(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
+    """The texts of the chosen ids, as (doc_id, text, other columns of ``chosen``): each text of an id once, and at
+    most ``rows`` texts, however often ids repeat.
+
+    ``chosen`` is bounded by its maker, so it is broadcast.
     """
+    ids = F.broadcast(chosen.select("doc_id").distinct())
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text"))
+    picked = cut(named.select("doc_id", "_h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(rows))
+    texts = named.join(F.broadcast(picked), ["doc_id", "_h"], "left_semi").groupBy("doc_id", "_h").agg(F.first("text").alias("text"))
+    return texts.drop("_h").join(F.broadcast(chosen), "doc_id")
+
+
+def sample(docs: DataFrame, chosen: DataFrame, make: Callable[[], Extract], rows: int) -> list[tuple]:
+    """Features of the sampled texts, as (doc_id, indices, label), in the order of doc_id: bounded, so they fit the driver."""
+    label = next(c for c in chosen.columns if c != "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = make()
@@ -69,13 +93,12 @@ def sample(docs: DataFrame, chosen: DataFrame, make: Callable[[], Extract]) -> l
             doc, index = extract(texts)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
             data = [index[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "indices"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary()), batch.column("label")], names=["doc_id", "indices", "label"])
 
-    ids = F.broadcast(chosen.select("doc_id").distinct())
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, indices binary")
-    found = rows.join(F.broadcast(chosen), "doc_id").collect()
-    plain = [(r[0], np.frombuffer(bytes(r[1]), "<u4").astype(np.int64), *r[2:]) for r in found]
-    return sorted(plain, key=lambda r: (r[0], r[2:], r[1].tobytes()))
+    texts = sampled(docs, chosen, rows).select("doc_id", "text", F.col(label).cast("int").alias("label"))
+    found = texts.mapInArrow(run, "doc_id long, indices binary, label int").collect()
+    plain = [(r[0], np.frombuffer(bytes(r[1]), "<u4").astype(np.int64), r[2]) for r in found]
+    return sorted(plain, key=lambda r: (r[0], r[2], r[1].tobytes()))
 
 
 def score(docs: DataFrame, make: Callable[[], Extract], held: object, probability: Callable[[object, np.ndarray, np.ndarray, int], np.ndarray], held_out: Column, cut: float) -> DataFrame:

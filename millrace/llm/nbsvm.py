@@ -8,9 +8,10 @@ of which only calibrates margins to probabilities. Scoring is one pass over whol
 Edge cases
 * null and empty texts have no indicators and get the score of the intercept alone.
 * no usable labels, or one class only: a constant score, the (smoothed) share of label 1.
-* null labels are ignored; a null id is scored and never counts as held out.
-* repeated rows get equal scores; an empty table gives an empty table; labels, lang, source and doc_id are
-  no inputs, and other columns are ignored.
+* null labels, and ids whose labels disagree, are ignored; a null id is scored and never counts as held out.
+* an id is learned from once for each of its texts, however often it repeats.
+* repeated rows get equal scores, long texts are read whole; an empty table gives an empty table; labels, lang,
+  source and doc_id are no inputs, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import features, words
+from millrace.session import cut
 
 SAMPLE = 5000
 BITS = 18
@@ -127,9 +129,8 @@ def probability(held: tuple[Model, np.ndarray], doc: np.ndarray, index: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, np.ndarray]:
     """The model and the squares of the ratios, from labelled rows outside the held-out fold."""
     of, out = HELD_OUT
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (features.remainder(of) != out))
-    chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = features.sample(docs, chosen, extractor)
+    known = features.agreed(labels, "quality").where(features.remainder(of) != out)
+    rows = features.sample(docs, cut(features.first_by_hash(known, sample)), extractor, sample)
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], int))
 
 

@@ -10,9 +10,10 @@ and ``UNLABELLED``.
 Edge cases
 * null and empty texts have no indicators; they score by the intercept alone, near 0.
 * no positive labels: every score is 0.
-* null labels are ignored; a null id is scored and never counts as held out.
-* repeated rows get equal scores; an empty table gives an empty table; labels, lang, source and doc_id are
-  no inputs, and other columns are ignored.
+* null labels, and ids whose labels disagree, are ignored; a null id is scored and never counts as held out.
+* an id is learned from once for each of its texts, however often it repeats.
+* repeated rows get equal scores, long texts are read whole; an empty table gives an empty table; labels, lang,
+  source and doc_id are no inputs, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import features, words
+from millrace.session import cut
 
 POSITIVES = 2500
 UNLABELLED = 6000
@@ -144,15 +146,14 @@ def probability(held: tuple[np.ndarray, float] | None, doc: np.ndarray, index: n
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     of, out = HELD_OUT
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (features.remainder(of) != out))
+    known = cut(features.agreed(labels, "toxic").where(features.remainder(of) != out))
     prior = known.agg(F.avg("toxic")).first()[0]
     if not prior:
         return None
-    by_hash = (F.xxhash64("doc_id"), "doc_id")
-    positive = known.where("toxic = 1").select("doc_id").orderBy(*by_hash).limit(POSITIVES).withColumn("kind", F.lit(1))
-    open_ids = docs.where(F.col("doc_id").isNotNull() & (features.remainder(of) != out)).select(F.col("doc_id").cast("long"))
-    unlabelled = open_ids.orderBy(*by_hash).limit(UNLABELLED).withColumn("kind", F.lit(0))
-    rows = features.sample(docs, positive.unionByName(unlabelled), extractor)
+    positive = features.first_by_hash(known.where("toxic = 1"), POSITIVES).select("doc_id", F.lit(1).alias("kind"))
+    open_ids = docs.where(F.col("doc_id").isNotNull() & (features.remainder(of) != out)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    unlabelled = features.first_by_hash(open_ids, UNLABELLED).withColumn("kind", F.lit(0))
+    rows = features.sample(docs, cut(positive.unionByName(unlabelled)), extractor, POSITIVES + UNLABELLED)
     found = {k: [r[1] for r in rows if r[2] == k] for k in (1, 0)}
     return fit(found[1], found[0], float(prior)) if found[1] and found[0] else None
 

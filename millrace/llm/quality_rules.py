@@ -8,9 +8,10 @@ Edge cases
 * null or empty text: all statistics 0, ``base_failed`` (fewer than 10 words).
 * no labels, or labels of one class only: the trees are constant and every document that passes the base
   rules gets that verdict; with no labels at all it is kept.
-* labels of ids without a document, null labels and repeated labels are harmless: unmatched and null ones
-  are ignored, repeated ones count as often as they occur.
-* repeated documents get equal rows; an empty table gives an empty table; other columns are ignored.
+* labels of ids without a document, null labels and null ids are ignored, and so are ids whose labels disagree;
+  an id is learned from once for each of its texts, however often it or its label repeats.
+* repeated documents get equal rows, long texts are read whole; an empty table gives an empty table; other
+  columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import trees, words
+from millrace.llm.features import agreed, first_by_hash, sampled
+from millrace.session import cut
 
 SAMPLE = 6000
 SYMBOLS = b"#*$%&|<>"
@@ -91,23 +94,20 @@ def statistics(texts: list[bytes], memo: words.Memo) -> tuple[np.ndarray, np.nda
     return counts, features.astype(float)
 
 
-_ROWS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = words.hash_memo()
     for batch, texts in words.text_batches(batches):
-        counts, features = statistics(texts, memo)
-        columns = [batch.column("doc_id"), *(pa.array(counts[:, j]) for j in range(len(BASE)))]
+        _, features = statistics(texts, memo)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * features.shape[1], pa.int32()), pa.array(features.ravel()))
-        yield pa.RecordBatch.from_arrays([*columns, flat], names=["doc_id", *BASE, "features"])
+        yield pa.RecordBatch.from_arrays([flat, batch.column("quality")], names=["features", "quality"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> trees.Forest | None:
     """Trees from a bounded sample of labelled documents; None if there are no labels."""
-    chosen = labels.where("quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_count, _ROWS)
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").toPandas().sort_values("doc_id")
+    chosen = cut(first_by_hash(agreed(labels, "quality"), sample))
+    texts = sampled(docs, chosen, sample).select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
+    rows = texts.mapInArrow(_count, "features array<double>, quality double").toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (*rows["features"].iloc[i], rows["quality"].iloc[i]))]
     if rows.empty:
         return None
     monotone = np.array(list(FEATURES.values()))

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from millrace.llm import backoff, nbsvm, nnpu, quality_rules, trees
+from millrace.llm import backoff, features, nbsvm, nnpu, quality_rules, trees
 
 ODD = [(9001, None), (9002, ""), (9003, " \n"), (9004, "x " * 20000), (9005, "#" * 3000), (9006, "| < >\n| < >\n"), (9006, "| < >\n| < >\n"), (None, "a b c")]
 SCHEMA = "doc_id long, text string, score double, features int, n_words string"
@@ -126,8 +126,33 @@ def test_scores_as_brute_force(spark):
 def test_scores_over_many_blocks_and_parts(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(tuple(r) for r in backoff.score(docs).collect())
-    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    for parts in (2, 3, 17):
+    stored = docs.selectExpr("sum(octet_length(text))").first()[0]
+    for parts in (2, 3, 17, 3000):
         monkeypatch.setattr(backoff, "PART_BYTES", -(-stored // parts))
         monkeypatch.setattr(backoff, "BLOCK_BYTES", 100_000)
         assert sorted(tuple(r) for r in backoff.score(docs).collect()) == want
+
+
+def test_rows_of_the_tables_are_never_more_than_n_grams(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d{i}") for i in range(20)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 1)
+    for parts in (1, 8, 10**6):
+        rows = backoff.grams(docs, parts).collect()
+        assert len(rows) <= 20 * 9 and {r.block for r in rows} == set(range(20))
+    want = sorted(tuple(r) for r in backoff.score(docs).collect())
+    monkeypatch.setattr(backoff, "PART_BYTES", 1)
+    assert sorted(tuple(r) for r in backoff.score(docs).collect()) == want and want[-1] == (99, 0, 0, 0.0, None)
+
+
+def test_repeated_ids_do_not_grow_the_samples(spark):
+    """5,000 copies of one id, texts that differ under one id, and labels that disagree."""
+    rows = [(1, "one same text of an id")] * 5000 + [(2, f"text {i} of the id") for i in range(300)] + [(10 + i, f"clean words {i} here and there") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 40 + [(2, 1, 1)] + [(10 + i, i % 2, 0) for i in range(60)] + [(11, 1, 1), (11, 0, 0)], "doc_id long, quality int, toxic int")
+    chosen = features.agreed(labels, "quality")
+    assert chosen.where("doc_id = 11").count() == 0 and chosen.where("doc_id = 1").count() == 1
+    found = features.sample(docs, chosen, nbsvm.extractor, 100)
+    assert len(found) == 100 and sum(r[0] == 1 for r in found) <= 1
+    for model in (nbsvm, nnpu):
+        assert model.classify(docs, model.train(docs, labels)).count() == len(rows)
+    assert quality_rules.judge(docs, quality_rules.train(docs, labels)).count() == len(rows)
