@@ -5,27 +5,33 @@
    round i every shingle falls into one random bin with value (i, hash); a bin keeps its least value, so
    later rounds only fill bins that are still empty, and rounds BINS to 2 BINS - 1 place every shingle in
    bin i - BINS, so every bin fills. A document stops after the first round that leaves no bin empty.
-2. Documents with equal sets (copies) are one node from here on, named by their least id.
+2. Documents with equal sets (copies) are one node from here on. A node has a number of its own, so ids may be
+   null or repeat; a row is known by id and a hash of its text.
 3. ``band_rows`` coordinates make a band; nodes that share a band's hash share a bucket. Two sets at the
    threshold miss all bands with a probability of at most ``MISS``: 4e-7 at 85 %, 8e-8 at 80 %.
 4. Two seed pairs a node, with the first nodes that it shares buckets with, are confirmed on the full sets
    and join most groups. Pairs whose sketches agree in fewer than ``least_agreement`` of the bins (6.5
    standard errors below the threshold) need no confirmation.
 5. Buckets that then still hold several components are compared whole, inside tasks of bounded blocks: by
-   sketch first, and members with a likely partner in another component by full sets. Only links enough to
-   join the components leave a task, so no pairs are listed, and none that could join two is left out.
+   sketch first, and members with a likely partner in another component by full sets. A large component has
+   blocks of its own, which meet the blocks of others only. Only links enough to join the components leave a
+   task, so no pairs are listed, and none that could join two is left out.
 6. Confirmed links contract components: each takes the neighbour with the least hash until no link joins
    two of them, a logarithmic number of joins.
 
-The lineage is cut by reliable checkpoints after each step, and nothing is gathered on the driver.
+The lineage is cut by reliable checkpoints after each step, and nothing is gathered on the driver. Rows of very
+large buckets meet what is known of the bucket by a broadcast of bounded size, not in one task.
 
 Edge cases
 * null, empty and white-space texts: n_shingles 0, linked with nothing, each kept.
 * fewer than five words: the whole word sequence is the only shingle.
-* rows that repeat a doc_id get equal results; a null doc_id takes part like any other id, sorted first,
-  and is kept only if nothing else is linked with it.
+* a null doc_id takes part like any other; component_id is the least id that is not null, or null if there is
+  none, and ``kept`` says whether the two agree. ``keep`` goes by rows: of each group one row stays, that of the
+  least id, null ids last.
+* rows that repeat a doc_id with the same text get equal results, and ``keep`` takes one; rows that repeat it with
+  another text are documents of their own.
 * very long texts are sketched whole; ties of equal sets go to the least id; an empty table stays empty;
-  other columns are ignored.
+  other columns are ignored by ``components`` and pass through ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,13 +44,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words
-from millrace.session import cut
+from millrace.session import cut, fresh
 
 SHINGLE = 5
 BINS = 125
 PERCENT = 85  # the contract of op1; other callers name their threshold
 MISS = 1e-6
-SMALL = 1 << 20  # ids that may be broadcast: 8 MB
+SMALL = 1 << 20  # narrow rows that may be broadcast: up to 40 MB
+HOT = 1000  # members from which a bucket's rows are not gathered in one task
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def band_rows(percent: int) -> int:
@@ -123,19 +131,50 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
             short = words.mix(rows).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), bands, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "short"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), bands, pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "print_a", "print_b", "bands", "short"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, short binary")
+    schema = "doc_id long, text_key long, n_shingles long, print_a long, print_b long, bands array<long>, short binary"
+    return _named(docs).mapInArrow(run, schema)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): a row is known by the first two."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """The rows, computed once; broadcast if they are few enough."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _by_bucket(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """``rows`` joined on ``key`` to ``side``, one row (key, members, ..) a bucket. Buckets of many members go by broadcast:
+    they have ``HOT`` members or more, and so many that there are at most ``SMALL`` of them."""
+    side = cut(side)
+    total = side.agg(F.sum("members")).first()[0] or 0
+    least = max(HOT, -(-total // SMALL))
+    hot = F.broadcast(side.where(F.col("members") >= least))
+    cold = rows.join(F.broadcast(side.where(F.col("members") >= least).select("key")), "key", "left_anti")
+    return rows.join(hot, "key").unionByName(cold.join(side.where(F.col("members") < least), "key")).drop("members")
 
 
 def _hashed_sets(docs: DataFrame) -> DataFrame:
+    """(node, hashes) of rows (node, print_a, text) whose text has that fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = words.hash_memo()
         for batch, texts in words.text_batches(batches):
             sets = shingle_sets(texts, memo)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+            prints = np.array([words.mix(s).sum() for s in sets], np.uint64).view(np.int64)
+            right = pa.array(prints == batch.column("print_a").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(right), pa.array([s.tobytes() for s in sets], pa.binary()).filter(right)], names=["node", "hashes"])
 
     return docs.mapInArrow(run, "node long, hashes binary")
 
@@ -271,62 +310,87 @@ def contract(links: DataFrame) -> DataFrame | None:
 
 
 def _blocks(members: DataFrame, weight: Column, limit: int) -> DataFrame:
-    """Each bucket's members in blocks of about ``limit`` of ``weight``, dealt to every pair (i <= j) of blocks.
+    """Each bucket's members in blocks of about ``limit`` of ``weight``, dealt to every pair (i, j) of blocks that
+    can hold members of two components.
 
-    Buckets of one block, nearly all, are copied once; in a bucket of k blocks each member meets all others
-    in k tasks of bounded size.
+    A component of ``limit`` or more has blocks of its own, which never meet each other; smaller ones share blocks,
+    whole. Buckets of one block, nearly all, are copied once; a member meets others in tasks of bounded size.
     """
-    count = members.groupBy("key").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("k"))
-    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = members.join(count, "key").withColumn("side", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.select("*", other.alias("o")).select(*members.columns, "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+    per = members.groupBy("key", "comp").agg(F.sum(weight).alias("w")).withColumn("big", F.col("w") >= limit)
+    shared = per.where("NOT big").groupBy("key").agg(F.ceil(F.sum("w") / limit).alias("parts"))
+    per = per.join(shared, "key", "left").withColumn("parts", F.when(F.col("big"), F.ceil(F.col("w") / limit)).otherwise(F.col("parts")))
+    per = cut(per.select("key", "comp", "big", "parts"))
+    owner, block = F.when(F.col("big"), F.col("comp")), F.xxhash64("big", "owner", "part")
+    labels = per.select("key", "big", owner.alias("owner"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).distinct()
+    labels = labels.select("key", "owner", block.alias("b"))
+    i, j = labels.select("key", F.col("owner").alias("oi"), F.col("b").alias("i")), labels.select("key", F.col("owner").alias("oj"), F.col("b").alias("j"))
+    pairs = i.join(j, "key").where("i <= j AND (oi IS NULL OR oj IS NULL OR oi != oj)").select("key", "i", "j")
+    sides = pairs.select("key", "i", "j", F.col("i").alias("b"), F.lit(0).alias("side")).unionByName(pairs.where("i != j").select("key", "i", "j", F.col("j").alias("b"), F.lit(1).alias("side")))
+    part = F.pmod(F.xxhash64(F.when(F.col("big"), F.col("node")).otherwise(F.col("comp"))), F.col("parts"))
+    of = members.join(_few(per), ["key", "comp"]).withColumn("part", part).withColumn("owner", owner)
+    dealt = of.select(*members.columns, block.alias("b")).join(_few(sides), ["key", "b"]).drop("b")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the wanted nodes. Up to ``SMALL`` ids go to the texts; beyond, texts and ids are joined by a shuffle."""
-    wanted = cut(wanted.select("node").distinct())
-    ids = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    return cut(_hashed_sets(texts).dropDuplicates(["node"]))
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of the wanted nodes. Up to ``SMALL`` of them go to the texts; beyond, both are joined by a shuffle."""
+    rows = _few(nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "print_a"))
+    named = _named(docs)
+    texts = named.join(rows, _same_row(named, rows)).select("node", "print_a", "text")
+    return cut(_hashed_sets(texts.dropDuplicates(["node"])))
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept. Pairs of ``percent`` similarity or more are linked."""
+def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows (checkpointed), and of each fingerprint (print_a, print_b, n_shingles): the least id of its
+    component, and the row of that component that stays."""
     rows = cut(_sketched(docs, percent))
     held = rows.where("n_shingles > 0")
     same = ["print_a", "print_b", "n_shingles"]
-    nodes = cut(held.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("short").alias("short")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    nodes = held.groupBy(*same).agg(first.alias("row"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    # Numbers are unique whatever the partitions, and the checkpoint fixes them.
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *same, "row", "row.doc_id", "row.text_key", "bands", "short"))
     comps = _link(docs, nodes, percent)
-    named = nodes.select("node", *same)
-    if comps is not None:
-        least = comps.groupBy("comp").agg(F.min("node").alias("component_id"))
-        of = comps.join(least, "comp").select("node", "component_id")
-        named = named.join(of, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-    else:
-        named = named.withColumn("component_id", F.col("node"))
-    found = rows.select("doc_id", *same).join(named.drop("node"), same, "left")
-    found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = nodes.select("node", *same, "row")
+    if comps is None:
+        return rows, named.select(*same, "row")
+    of = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Only nodes that share a bucket can be in a component with others.
+    least = of.groupBy("comp").agg(F.min("row").alias("row"))
+    return rows, of.drop("row").join(least, "comp").select(*same, "row")
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. Pairs of ``percent`` similarity or more are linked."""
+    rows, named = _judged(docs, percent)
+    same = ["print_a", "print_b", "n_shingles"]
+    held = rows.where("n_shingles > 0").select("doc_id", *same).join(named.select(*same, F.col("row.doc_id").alias("component_id")), same, "left")
+    bare = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = held.select("doc_id", "n_shingles", "component_id").unionByName(bare)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows that repeat an id count once.
+    """The rows of ``docs`` that are kept, with all their columns; a row that repeats another's id and text goes.
 
-    Only ids move: the few that go, or that occur more than once, meet the texts by a broadcast up to
+    Only ids and hashes move: the few rows that go, or that occur more than once, meet the texts by a broadcast up to
     ``SMALL`` of them, beyond that by a shuffle.
     """
-    verdict = cut(components(docs, percent).groupBy("doc_id").agg(F.sum(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")))
-    odd = cut(verdict.where("NOT kept OR (n > 1 AND doc_id IS NOT NULL)"))
+    rows, named = _judged(docs, percent)
+    same = ["print_a", "print_b", "n_shingles"]
+    each = rows.where("n_shingles > 0").groupBy("doc_id", "text_key", *same).agg(F.sum(F.lit(1)).alias("n"))
+    each = each.join(named, same).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_key") == F.col("row.text_key")))
+    odd = cut(each.where("NOT stays OR n > 1").select("doc_id", "text_key", "stays"))
     small = odd.count() <= SMALL
-    gone, again = odd.where("NOT kept").select("doc_id"), odd.where("kept").select("doc_id")
-    by = lambda ids: F.broadcast(ids) if small else ids
-    left = docs.join(by(gone), "doc_id", "left_anti")
-    if again.isEmpty():
-        return left
-    once = docs.join(by(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(by(again), "doc_id", "left_anti").unionByName(once)
+    gone, again = (F.broadcast(x) if small else x for x in (odd.where("NOT stays"), odd.where("stays")))
+    key = fresh(docs, "text_key")
+    whole = docs.withColumn(key, F.xxhash64("text"))
+    on = lambda left, right: (left[key] == right["text_key"]) & left["doc_id"].cast("long").eqNullSafe(right["doc_id"])
+    left = whole.join(gone, on(whole, gone), "left_anti")
+    if odd.where("stays").isEmpty():
+        return left.drop(key)
+    once = left.join(again, on(left, again), "left_semi").dropDuplicates([key, "doc_id"])
+    return left.join(again, on(left, again), "left_anti").unionByName(once).drop(key)
 
 
 def _link(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
@@ -334,7 +398,7 @@ def _link(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     by_hash = F.min_by("node", F.xxhash64("node"))
     shared = rows.groupBy("key").agg(F.sum(F.lit(1)).alias("members"), F.min("node").alias("first"), by_hash.alias("second")).where("members > 1")
-    rows = cut(rows.join(shared.drop("members"), "key"))
+    rows = cut(_by_bucket(rows, shared))
     if rows.isEmpty():
         return None
     short = nodes.select("node", "short", "n_shingles")
@@ -345,7 +409,7 @@ def _link(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     left = short.select(F.col("node").alias("a"), F.col("short").alias("short_a"))
     right = short.select(F.col("node").alias("b"), F.col("short").alias("short_b"))
     likely = cut(_likely(seeds.join(left, "a").join(right, "b"), percent))
-    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = _sets_of(docs, nodes, likely.select(F.explode(F.array("a", "b")).alias("node")))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
     pairs = likely.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")).join(right, "b").join(left, "a")
@@ -354,11 +418,12 @@ def _link(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
 
     # The rest: buckets that still hold several components are compared whole, in bounded blocks.
     member = rows.select("key", "node", "n_shingles").join(comps, "node")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    member = cut(member.join(mixed, "key").join(short.select("node", "short"), "node"))
-    open_ = cut(_with_partner(_blocks(member, F.lit(1), 1024), percent).distinct())
-    more = _sets_of(docs, open_)
-    links = _spanning(_blocks(open_.join(more, "node"), F.col("n_shingles"), 1 << 20), percent)
+    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.lit(1)).alias("members")).where("lo != hi").select("key", "members")
+    member = cut(_by_bucket(member, mixed).join(short.select("node", "short"), "node"))
+    open_ = cut(_with_partner(_blocks(member, F.lit(1), BLOCK_ROWS), percent).distinct())
+    more = _sets_of(docs, nodes, open_)
+    weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK_ROWS))  # bounds rows as well as shingles
+    links = _spanning(_blocks(open_.join(more, "node"), weight, BLOCK_SHINGLES), percent)
     return _moved(comps, contract(links))
 
 
