@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, pii, progressive, quality_rules, sharding
 from millrace.session import table
 
+SMALL_SHARD = 64 << 10
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), percent=85)
@@ -49,6 +51,11 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def sharding_by_64_kib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with a limit at which small tables split too."""
+    return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARD)
+
+
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="byte_bpe_50k.json"))
 
@@ -66,7 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_nnpu,
         op9_extendible_sharding,
         op10_bm25_packing,
+        sharding_by_64_kib,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_stupid_backoff": backoff.ORACLE_SQL, "op9_extendible_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_stupid_backoff": backoff.ORACLE_SQL,
+    "op9_extendible_sharding": sharding.oracle_sql(sharding.LIMIT_BYTES),
+    "sharding_by_64_kib": sharding.oracle_sql(SMALL_SHARD),
+}

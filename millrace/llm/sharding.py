@@ -56,22 +56,24 @@ def _binary(value: Column, width: Column | int) -> Column:
 
 def _split(rows: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The placed rows, and the rows of buckets that hold one hash only and are too large."""
-    depth, done, stuck = 0, [], []
+    depth, done, stuck, given = 0, [], [], rows.columns
+    carried = [c for c in given if c not in ("h", "h2", "base")]
     while True:
         deep = depth + STEP
         placed = cut(rows.withColumn("p", F.shiftright("h", BITS - deep)).join(_leaves(rows, depth, limit), ["base", "p"]))
         label = F.concat("base", F.when(F.col("leaf.d") > 0, _binary(F.col("leaf.q"), F.col("leaf.d"))).otherwise(F.lit("")))
         depth_of = F.length(F.translate(label, "bx", "")).cast("int")
-        done.append(placed.where("leaf IS NOT NULL").select("doc_id", "n_bytes", label.alias("shard_id"), depth_of.alias("depth"), "leaf.shard_bytes", "leaf.shard_docs"))
+        done.append(placed.where("leaf IS NOT NULL").select(*carried, label.alias("shard_id"), depth_of.alias("depth"), "leaf.shard_bytes", "leaf.shard_docs"))
         rest = placed.where("leaf IS NULL")
-        stuck.append(rest.where("one_hash").select("doc_id", "n_bytes", "h", "h2", "base"))
-        rows, depth = rest.where("NOT one_hash").select("doc_id", "n_bytes", "h", "h2", "base"), deep
+        stuck.append(rest.where("one_hash").select(*given))
+        rows, depth = rest.where("NOT one_hash").select(*given), deep
         if deep == BITS or rows.isEmpty():
             return done, stuck
 
 
-def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs.
+def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs; with ``whole`` also the row
+    itself, as a struct ``doc``.
 
     ``shard_id`` is ``b`` and the prefix bits; rows of one over-large id carry the bits of their second
     hash after an ``x``.
@@ -84,6 +86,7 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_i
         _bits(ident).alias("h"),
         F.struct(F.xxhash64(text).alias("text"), F.monotonically_increasing_id().alias("row")).alias("h2"),
         F.lit("b").alias("base"),
+        *([F.struct(*docs.columns).alias("doc")] if whole else []),
     )
     done, stuck = _split(cut(rows), limit_bytes)
     again = reduce(DataFrame.unionByName, stuck)
@@ -93,13 +96,17 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_i
     return reduce(DataFrame.unionByName, done)
 
 
-def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id") -> None:
-    """Write the rows under ``path``, one ``shard_id=...`` folder a shard (ids must be unique here)."""
-    where = assign(docs, limit_bytes, id_col).select(F.col("doc_id").alias(id_col), "shard_id")
-    docs.join(where, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the rows under ``path``, one ``shard_id=...`` folder a shard. Rows travel with their shard, so null and
+    repeated ids are written as often as they occur; a column ``shard_id`` of the input gives way to the folder's."""
+    placed = assign(docs, limit_bytes, id_col, text_col, whole=True)
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != "shard_id"]
+    placed.select(*columns, "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
-ORACLE_SQL = f"""
+def oracle_sql(limit: int) -> str:
+    """The query as SQL for shards of at most ``limit`` bytes; ids must be unique and not null there."""
+    return f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {BITS // 4}) AS BIGINT) AS h
@@ -107,7 +114,7 @@ WITH RECURSIVE r AS (
 s AS (
   SELECT r.*, d, CAST(sum(n_bytes) OVER w AS BIGINT) AS shard_bytes, count(*) OVER w AS shard_docs
   FROM r, range(0, 25) t(d) WINDOW w AS (PARTITION BY d, h >> ({BITS} - d))),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS k FROM s WHERE shard_bytes <= {LIMIT_BYTES} OR shard_docs = 1)
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS k FROM s WHERE shard_bytes <= {limit} OR shard_docs = 1)
 SELECT doc_id, n_bytes,
        'b' || CASE WHEN d > 0 THEN lpad(bin(h >> ({BITS} - d)), CAST(d AS INT), '0') ELSE '' END AS shard_id,
        CAST(d AS INT) AS depth, shard_bytes, shard_docs

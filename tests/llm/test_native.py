@@ -71,6 +71,29 @@ def test_permutations_have_no_collisions(spark):
     assert small.distinct().count() == 900 and small.agg(F.min("p"), F.max("p")).first()[:] == (0, 899)
 
 
+def test_social_security_numbers_stay_valid(spark):
+    rng = random.Random(2)
+    some = sorted({f"{a:03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for a in range(1, 900) if a != 666 for _ in range(3)} | {"001-01-0001", "899-99-9999", "665-01-0001", "667-01-0001"})
+    df = spark.createDataFrame([(x,) for x in some], "v string")
+    out = [r.p for r in df.select(pii._us_ssn(F.col("v"), pii.KEY).alias("p")).collect()]
+    assert len(set(out)) == len(some) and not set(out) & {None}
+    assert df.sparkSession.createDataFrame([(x,) for x in out], "p string").where(pii.kind_of(F.col("p")) == "us_ssn").count() == len(some)
+
+
+def test_secrets_to_their_end(spark):
+    long = "aB3/" * 60
+    for text in (f"token={long}", f'Secret = "{long}"', "PASSWORD: wJalrXUtnFEMIK7MDENGbPxRfiCY=="):
+        got = texts(spark, text)[0]
+        assert len(got._pii) == 1 and len(got.text) == len(text) and got.text.rstrip('="') != text.rstrip('="') and got.text[-8:-4] != text[-8:-4]
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([("10.2.3.4", 1, 2, 3)], "text string, _pii int, _found int, _matches int")
+    out = pii.pseudonymise(docs)
+    row = out.first()
+    assert out.columns == [*docs.columns, pii.findings_column(docs)] and tuple(row)[1:4] == (1, 2, 3) and row.text != "10.2.3.4" and row["__pii"][0].kind == "ipv4"
+
+
 def test_odd_texts(spark):
     long = "word " * 50000 + "10.2.3.4" + " word" * 50000
     got = texts(spark, None, "", "no data", long)
@@ -116,3 +139,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 1000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and max(r[0] for r in back.groupBy("shard_id").agg(F.sum(F.length("text"))).select(F.col("sum(length(text))")).collect()) <= 1000
+
+
+def test_written_shards_keep_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "n" * 60)] * 3 + [(7, "same")] * 5 + [(7, "other"), (8, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, h int")
+    sharding.write_shards(docs, str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "h").collect()
+    assert sorted((tuple(r) for r in back), key=repr) == sorted((tuple(r) for r in docs.collect()), key=repr)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from millrace.llm import queries
+from millrace.llm import queries, sharding
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -23,4 +23,17 @@ def test_query_matches_sql(spark, sf, name):
 
 
 def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("limit", [3000, 20_000, 200_000])
+def test_sharding_at_several_limits(spark, limit):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cur = con.execute(sharding.oracle_sql(limit))
+    columns = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall())
+    assert len({r[columns.index("shard_id")] for r in want}) > 5
+    assert sorted(tuple(r) for r in sharding.assign(docs, limit).select(*columns).collect()) == want
