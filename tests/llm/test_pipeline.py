@@ -25,7 +25,7 @@ def test_stages_decide_as_their_operators(spark, sf):
     ids = lambda df: sorted(r.doc_id for r in df.collect())
     assert ids(run["quality_rules"](spark, docs, sf)) == ids(quality_rules.judge(docs, quality_rules.train(docs, labels)).where("kept"))
     assert ids(run["toxicity"](spark, docs, sf)) == ids(nnpu.classify(docs, nnpu.train(docs, labels)).where("predicted = 0"))
-    assert ids(run["near_dedup"](spark, docs, sf)) == ids(minhash.components(docs).where("kept"))
+    assert ids(run["near_dedup"](spark, docs, sf)) == ids(minhash.components(docs, corpus_pipeline.NEAR_PERCENT).where("kept"))
     assert {r.doc_id: r.text for r in run["pii"](spark, docs, sf).collect()} == {r.doc_id: r.text for r in pii.report(docs).collect()}
 
 
@@ -35,11 +35,25 @@ def test_run(spark, sf):
 
 
 def test_stages_on_odd_and_empty_tables(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema.add("extra", IntegerType())
-    rows = [(1, None, "en", "s", None, 1), (2, "", None, None, 0, 2), (2, "", None, None, 0, 2), (None, "some words of a text without an id and no more than that", "en", "s", 5, 3), (3, "w" * 100000, "en", "s", 100000, 4)]
-    for data in (rows, []):
-        docs = spark.createDataFrame(data, schema)
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, sf)
-            out.collect()
-            assert name == "packing" or out.columns == docs.columns
+    """Null and empty texts, a null id, repeats, a long text, and columns named like the stages' own."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    for name in ("_pii", "_found", "_matches", "text_key", "ids", "route", "key", "score"):
+        schema = schema.add(name, IntegerType())
+    prose = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 2").first().text
+    bare = [(1, None), (2, ""), (2, ""), (None, prose), (3, "w" * 100000), (4, prose), (4, prose), (5, prose + " x"), (6, "call 10.2.3.4"), (7, "word and more " * 200000)]
+    rows = [(i, t, "en", "s", len(t or ""), *range(8)) for i, t in bare]
+    docs, run = spark.createDataFrame(rows, schema), dict(corpus_pipeline.STAGES)
+    seen = {n: run[n](spark, docs, sf) for n in run}
+    got = {n: sorted((r.doc_id for r in df.collect()), key=repr) for n, df in seen.items()}
+    assert all(seen[n].columns == docs.columns for n in run if n != "packing")
+    assert got["quality_rules"] == [4, 4, 5, None]
+    assert got["toxicity"] == sorted((i for i, _ in bare), key=repr)
+    assert got["near_dedup"] == [1, 2, 2, 3, 4, 6, 7]
+    texts = {r.doc_id: r.text for r in seen["pii"].collect()}
+    assert len(got["pii"]) == len(bare) and "10.2.3.4" not in texts[6] and {i: t for i, t in texts.items() if i != 6} == {i: t for i, t in bare if i != 6}
+    assert all(tuple(r)[5:] == tuple(range(8)) for n in run if n != "packing" for r in seen[n].collect())
+    assert set(got["packing"]) == {i for i, _ in bare}
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)
