@@ -6,9 +6,11 @@ Vocabularies are never trained here; the distributed half of counting pieces is
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,13 @@ def encoder(spark: SparkSession, source: str, bos: int | None = None):
     """A function from a text column to arrays of ids, ``bos`` first if given; null texts have none of their own."""
     held = spark.sparkContext.broadcast(source)
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok, first = _tokenizer(held.value), [] if bos is None else [bos]
         for texts in parts:
-            yield pd.Series([first + e.ids for e in tok.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)])
+            found = [np.array(first + e.ids, np.int32) for e in tok.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
 
     return encode
 
@@ -54,10 +58,20 @@ def decoder(spark: SparkSession, source: str):
     """A function from an array of ids to text, special tokens kept."""
     held = spark.sparkContext.broadcast(source)
 
-    @F.pandas_udf("string")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(held.value)
         for ids in parts:
-            yield pd.Series(tok.decode_batch([list(x) if x is not None else [] for x in ids], skip_special_tokens=False))
+            yield pa.array(tok.decode_batch([x or [] for x in ids.to_pylist()], skip_special_tokens=False), pa.string())
 
     return decode
+
+
+def digest(ids: str):
+    """SHA-256 of an array of ids as little-endian 32-bit integers, in hex."""
+
+    @F.arrow_udf("string")
+    def sha(parts: pa.Array) -> pa.Array:
+        return pa.array([None if not x.is_valid else hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in parts], pa.string())
+
+    return sha(ids)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import layout, overlap, selection
 from millrace.operators.selection import Source
+from millrace.session import cut, scratch
 
 RESULT = "source string, split string, file_idx int, file string, budget long, filter string, exhausted boolean, n_tokens long, n_bytes long, n_docs long, n_docs_dropped_title long, n_docs_dropped_ngram long, shards array<struct<part:int,n_tokens:long,n_bytes:long,n_docs:long,n_docs_dropped_title:long,n_docs_dropped_ngram:long>>"
 
@@ -60,7 +61,7 @@ def results(spark: SparkSession, build: Build) -> DataFrame:
 def run_jobs(spark: SparkSession, source: Source, jobs: DataFrame, build: Build, limit: int) -> None:
     """Tokenize the files of ``jobs`` (file, file_idx, split, budget) of one source, and record their totals.
 
-    Jobs are few, so they are broadcast onto the scan of just their files.
+    Jobs are one row a file; they meet the scan of just their files.
     """
     wanted = jobs.collect()
     if not wanted:
@@ -68,17 +69,22 @@ def run_jobs(spark: SparkSession, source: Source, jobs: DataFrame, build: Build,
     files = [r.file for r in wanted]
     scan = selection.read_source(spark, Source(source.name, files, source.text_col, source.min_int_score, source.title_col))
     rows = selection.select_docs(scan, source.min_int_score).withColumn("_place", F.concat_ws("#", "file", "row"))
-    rows = reasons(rows, source, build, "_place").join(F.broadcast(jobs), "file")
+    rows = reasons(rows, source, build, "_place").join(overlap.small(jobs), "file")
     kept = F.col("reason").isNull()
     rows = rows.withColumn("ids", F.when(kept, build.encode(F.when(kept, F.col("text")))))
-    rows = rows.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long")).withColumn("n_bytes", F.when(kept, F.octet_length("text")).otherwise(0).cast("long"))
-    rows = rows.withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
-    before = selection.prefix_sum("n_tokens", ["file"], ["row"])
-    bytes_before = selection.prefix_sum("n_bytes", ["file"], ["row"])
-    rows = rows.withColumn("_t", before).withColumn("_b", bytes_before).where((F.col("_t") < F.col("budget")) & (F.col("_b") < build.max_bytes))
-    parts = layout.pack_shards(rows.select("file", "row", "n_tokens"), limit, ["file"], "row").select("file", "row", "part")
-    placed = rows.join(parts, ["file", "row"]).withColumn("source", F.lit(source.name))
-    tokens = placed.where(kept).select("source", "split", "file_idx", "part", "row", "ids")
+    rows = rows.withColumn("n_bytes", F.when(kept, F.octet_length("text")).otherwise(0).cast("long"))
+    # Encoding is the dear step: it runs once, into a table, and all that follows works on rows without texts or ids.
+    path = f"{scratch(spark, 'build')}/encoded"
+    keys = ["file", "file_idx", "split", "budget", "row"]
+    rows.select(*keys, "ids", F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), "n_bytes", "reason").write.parquet(path)
+    stored = spark.read.parquet(path)
+    slim = stored.select(*keys, "n_tokens", "n_bytes", "reason")
+    before, bytes_before = selection.prefix_sum("n_tokens", ["file"], ["row"]), selection.prefix_sum("n_bytes", ["file"], ["row"])
+    cut_rows = slim.withColumn("_t", before).withColumn("_b", bytes_before).where((F.col("_t") < F.col("budget")) & (F.col("_b") < build.max_bytes))
+    also = ("file_idx", "split", "budget", "n_bytes", "reason")
+    placed = cut(layout.pack_shards(cut_rows, limit, ["file"], "row", also=also).withColumn("source", F.lit(source.name)))
+    tokens = stored.where("reason IS NULL").select("file", "row", "ids").join(placed.where("reason IS NULL").select("source", "split", "file_idx", "part", "file", "row"), ["file", "row"])
+    tokens = tokens.select("source", "split", "file_idx", "part", "row", "ids")
     tokens.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split", "file_idx").parquet(build.tokens_path)
     _record(placed.select("source", "split", "file_idx", "file", "budget", "part", "n_tokens", "n_bytes", "reason"), build)
 
@@ -146,8 +152,10 @@ def manifest(spark: SparkSession, build: Build) -> DataFrame:
 
 
 def shard_tokens(spark: SparkSession, build: Build) -> DataFrame:
-    """(name, tokens) of every shard, for the token-shard sink; shards must fit a row."""
+    """(name, n_tokens, tokens) for the token-shard sink: a row a document, the rows of a shard in order in one partition."""
     rows = spark.read.parquet(build.tokens_path)
     name = F.format_string("%s_%s_%04d_%02d", "source", "split", F.col("file_idx").cast("int"), "part").alias("name")
-    grouped = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("row", "ids"))).alias("docs"))
-    return grouped.select("name", F.flatten(F.transform("docs", lambda d: d["ids"])).alias("tokens"))
+    named = rows.select(name, "row", F.col("ids").alias("tokens"))
+    totals = named.groupBy("name").agg(F.sum(F.size("tokens")).alias("n_tokens"))
+    dealt = named.join(overlap.small(totals), "name").repartition("name").sortWithinPartitions("name", "row")
+    return dealt.select("name", "n_tokens", "tokens")

@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.selection import prefix_sum
 
 
-def pack_shards(docs: DataFrame, limit: int, by: list[str], order: str, size: str = "n_tokens") -> DataFrame:
+def pack_shards(docs: DataFrame, limit: int, by: list[str], order: str, size: str = "n_tokens", also: tuple[str, ...] = ()) -> DataFrame:
     """Each row with ``part``: rows fill a shard in order, and a shard closes once it reaches ``limit``.
 
     The sum restarts at each close, which no window can say, so each file (``by``) is folded by itself; a row
-    never straddles shards. Only keys and sizes go to Python, texts do not.
+    never straddles shards. Only keys, sizes and the columns ``also`` go to Python, texts do not.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = run = 0
-        for frame in frames:
-            parts = []
-            for n in frame[size]:
-                parts.append(part)
-                run += int(n)
-                if run >= limit:
-                    part, run = part + 1, 0
-            frame["part"] = parts
-            yield frame
-
-    slim = docs.select(*by, order, size)
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", part int"
+    slim = docs.select(*by, order, size, *also)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", part int"
 
-    def by_group(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(fold(iter([frame.sort_values(order, kind="stable")])))
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        total = np.cumsum(frame[size].to_numpy(np.int64))
+        closes, done = [], 0
+        while done < len(total):  # one step a shard: the first row at which the running sum has grown by the limit
+            done = int(np.searchsorted(total, (total[done - 1] if done else 0) + limit)) + 1
+            closes.append(done)
+        return frame.assign(part=np.searchsorted(closes, np.arange(len(total)), side="right").astype(np.int32))
 
-    return slim.groupBy(*by).applyInPandas(by_group, kind)
+    return slim.groupBy(*by).applyInPandas(fold, kind)
 
 
 def shard_totals(packed: DataFrame, by: list[str], size: str = "n_tokens", dropped: DataFrame | None = None) -> DataFrame:
@@ -58,12 +51,13 @@ def manifest(results: DataFrame) -> DataFrame:
     return flat.withColumn("ord", F.row_number().over(w) - 1).select("source", "split", "ord", "shard.*")
 
 
-def relative(path: str, root: str) -> F.Column:
+def relative(path: str, root: str) -> Column:
     """A path relative to the manifest's folder; others stay."""
-    return F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")
+    folder = root.rstrip("/") + "/"
+    return F.when(F.col(path).startswith(folder), F.substring(path, len(folder) + 1, 1 << 20)).otherwise(F.col(path))
 
 
-def resolved(path: str, root: str) -> F.Column:
+def resolved(path: str, root: str) -> Column:
     return F.when(F.col(path).rlike("^(/|[a-z]+:)"), F.col(path)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col(path)))
 
 
@@ -116,12 +110,34 @@ def val_shards(entries: DataFrame, mix: DataFrame, max_tokens: int | None) -> Da
     return out.where(F.col("_before") < max_tokens * F.col("weight") / total).drop("_before", "weight")
 
 
+def _draw(seed: int, salt: str, *columns: str) -> Column:
+    """32 bits of an MD5 of the seed and the columns: the same draw in any engine."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def shuffled(files: DataFrame, seed: int, by: list[str], name: str) -> DataFrame:
+    """Rows with ``place``: a seeded order of each group's rows by hash, which does not depend on how they come."""
+    w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name))), name)
+    return files.withColumn("place", F.row_number().over(w) - 1)
+
+
+def split_sharing(files: DataFrame, by: str = "source", name: str = "path", split: str = "split") -> DataFrame:
+    """Per group: its files, and those that more than one split holds; a sound corpus has none of the latter."""
+    per = files.groupBy(by, name).agg(F.count_distinct(split).alias("_n"))
+    return per.groupBy(by).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("_n") > 1).alias("n_shared"))
+
+
 def random_windows(entries: DataFrame, width: int, seed: int, each: int = 3) -> DataFrame:
-    """``each`` seeded windows per source: (source, k, path, start), the start anywhere that leaves room for one."""
-    draws = entries.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "n_tokens"))).alias("shards")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "source", "k"), n)
-    chosen = draws.withColumn("s", F.element_at("shards", (pick("shard", F.size("shards")) + 1).cast("int")))
-    return chosen.select("source", "k", "s.path", pick("start", F.greatest(F.lit(1).cast("long"), F.col("s.n_tokens") - width)).alias("start"))
+    """``each`` seeded windows per source: (source, k, path, start), the start anywhere that leaves room for one.
+
+    Shards are numbered per source, not collected: a draw meets its shard by a join.
+    """
+    placed = entries.withColumn("_s", F.row_number().over(Window.partitionBy("source").orderBy("ord", "path")) - 1)
+    draws = placed.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    draws = draws.withColumn("_s", (_draw(seed, "shard", "source", "k") % F.col("_n")).cast("int"))
+    room = F.greatest(F.lit(1).cast("long"), F.col("n_tokens") - width)
+    return draws.join(placed, ["source", "_s"]).select("source", "k", "path", (_draw(seed, "start", "source", "k") % room).alias("start"))
 
 
 def last_n(files: DataFrame, n: int, by: list[str], name: str = "name") -> DataFrame:

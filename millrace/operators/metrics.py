@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
+#: Frequent tokens that are broadcast.
+HOT = 1000
+
 LOG_SCHEMA = "step long, tokens_seen long, loss double, lr_mult double, tok_per_s double, elapsed_s double, val_bpb double, val_loss double"
 
 
@@ -28,21 +34,33 @@ def run_status(attempts: DataFrame, by: str = "run") -> DataFrame:
     return attempts.groupBy(by).agg(F.sum("gpu_s").alias("gpu_s"), known("state"), known("step"), known("loss"), known("val_bpb"))
 
 
-def ema(values: Column, decay: float = 0.98) -> Column:
-    """Exponential moving averages of an array in order; the first is the first value."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+def ema(log: DataFrame, by: str, order: str, value: str, decay: float = 0.98) -> DataFrame:
+    """The log with ``ema``: the exponential moving average of each run in order; the first is the first value."""
+
+    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        return frame.assign(ema=frame[value].astype(float).ewm(alpha=1 - decay, adjust=False).mean())
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", ema double"
+    return log.groupBy(by).applyInPandas(smooth, schema)
+
 
-    def step(s: Column, x: Column) -> Column:
-        now = F.when(s["last"].isNull(), x).otherwise(decay * s["last"] + (1 - decay) * x)
-        return F.struct(now.alias("last"), F.concat(s["out"], F.array(now)).alias("out"))
+def lower_percentile(log: DataFrame, by: str, value: str, share: float = 0.99) -> DataFrame:
+    """(by, percentile): the value at place floor(share * (n - 1)) of each group's ascending order, not interpolated."""
+    group = Window.partitionBy(by)
+    known = log.where(F.col(value).isNotNull())
+    placed = known.select(by, F.col(value).alias("percentile"), F.row_number().over(group.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(group).alias("_n"))
+    return placed.where(F.col("_r") == F.floor(F.lit(share) * (F.col("_n") - 1)) + 1).drop("_r", "_n")
 
-    return F.aggregate(F.transform(values, lambda x: x.cast("double")), start, step, lambda s: s["out"])
 
+def with_value(log: DataFrame, column: str = "val_bpb") -> DataFrame:
+    """The steps that logged a validation value."""
+    return log.where(F.col(column).isNotNull())
 
-def lower_percentile(value: str, share: float = 0.99) -> Column:
-    """The value at place floor(share * (n - 1)) of the ascending order, not interpolated."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor(F.lit(share) * (F.size(ordered) - 1)) + 1).cast("int"))
+
+def step_means(parts: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Means over the micro-batches of a step, which all weigh the same."""
+    return parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_parts"), *[F.avg(c).alias(c) for c in columns])
 
 
 def median_rate(log: DataFrame, by: list[str], skip: int = 50) -> DataFrame:
@@ -50,17 +68,14 @@ def median_rate(log: DataFrame, by: list[str], skip: int = 50) -> DataFrame:
     return log.where(F.col("step") >= skip).groupBy(*by).agg(F.median("tok_per_s").alias("median_tok_per_s"))
 
 
-def decay_start(total: Column, decay_frac: Column) -> Column:
-    return (total - F.floor(decay_frac * total)).cast("long")
-
+def rate_factor(step: Column, steps: Column, rising: Column, falling: Column) -> Column:
+    """The factor of the learning rate in a trapezoid schedule: the least of 1, of what has risen and of what is left to fall.
 
-def lr_mult(step: Column, total: Column, warmup_frac: Column, decay_frac: Column) -> Column:
-    """Linear warm-up to 1, a plateau, a linear decay that is 0 at the last step; the lower of both ramps counts."""
-    ramp = F.floor(warmup_frac * total)
-    warm = F.when(ramp > 0, F.least(F.lit(1.0), (step + 1) / ramp)).otherwise(F.lit(1.0))
-    start, last = decay_start(total, decay_frac), total - 1
-    fall = F.when(last > start, (last - step) / (last - start)).otherwise(F.lit(0.0))
-    return F.when(step < start, warm).otherwise(F.least(warm, F.greatest(F.lit(0.0), fall)))
+    The first floor(rising * steps) steps rise by equal parts up to 1; the last floor(falling * steps) fall from 1 to 0.
+    """
+    up, down, after = F.floor(rising * steps), F.floor(falling * steps), steps - step - 1
+    # least() leaves out nulls, so a side of the trapezoid counts only where the step lies on it.
+    return F.least(F.lit(1.0), F.when(up > 0, (step + 1) / up), F.when(after < down, after / F.greatest(down - 1, F.lit(1))))
 
 
 def param_counts(configs: DataFrame, cap: int = 50_000_000) -> DataFrame:
@@ -101,13 +116,16 @@ def perplexities(scored: DataFrame, by: list[str]) -> DataFrame:
 def unigram_nats(tokens: DataFrame, key: str, token: str = "token") -> DataFrame:
     """A stand-in scorer: negative log of each token's share of the corpus, summed per ``key``.
 
-    Counts are partial-aggregated; the table of counts is joined, not broadcast, as it grows with the corpus.
+    Counts are partial-aggregated. The ``HOT`` most frequent tokens are broadcast, so none of them gathers its rows in
+    one task; the rest of the table, which grows with the corpus, is joined by a shuffle.
     """
-    total = tokens.agg(F.count(F.lit(1)).alias("total"))
-    table = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("c"))
+    table = cut(tokens.groupBy(token).agg(F.count(F.lit(1)).alias("c")))
+    total = F.broadcast(table.agg(F.sum("c").alias("total")))
+    hot = F.broadcast(cut(table.orderBy(F.col("c").desc(), token).limit(HOT)))
     per = tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("tf"))
+    cold = per.join(hot.select(token), token, "left_anti").join(table, token)
     nats = -F.sum(F.col("tf") * F.log(F.col("c") / F.col("total")))
-    return per.join(table, token).crossJoin(F.broadcast(total)).groupBy(key).agg(nats.alias("nats"), F.sum("tf").alias("n_tokens"))
+    return per.join(hot, token).unionByName(cold).crossJoin(total).groupBy(key).agg(nats.alias("nats"), F.sum("tf").alias("n_tokens"))
 
 
 def pick_metrics(results: DataFrame, wanted: dict[str, str], by: list[str]) -> DataFrame:
@@ -125,9 +143,10 @@ def metric_table(metrics: DataFrame, by: str, keys: list[str]) -> DataFrame:
 
 
 def deltas(table: DataFrame, by: str, baseline: str, columns: list[str]) -> DataFrame:
-    """Each run's columns less the baseline run's; the baseline is one row, so it is broadcast."""
-    base = table.where(F.col(by) == baseline).select(*[F.col(c).alias(f"_{c}") for c in columns])
-    return table.crossJoin(F.broadcast(base)).select(by, *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in columns])
+    """Each run's columns less the baseline run's. The baseline becomes one row, which is broadcast; none or several are an error."""
+    one = F.when(F.count(F.lit(1)) == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"the table must hold one row of {baseline}")).cast("boolean"))
+    base = table.where(F.col(by) == baseline).agg(one.alias("_one"), *[F.max(c).alias(f"_{c}") for c in columns])
+    return table.crossJoin(F.broadcast(base)).where("_one").select(by, *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in columns])
 
 
 def accuracy(items: DataFrame, by: list[str], correct: str = "correct") -> DataFrame:
@@ -143,7 +162,7 @@ def intelligence_index(hs: Column, arc: Column, piqa: Column, am: Column) -> Col
 
 def compute_costs(runs: DataFrame, factors: DataFrame) -> DataFrame:
     """Training FLOPs (6 per parameter and token) and GPU hours in units of the reference device."""
-    out = runs.join(F.broadcast(factors), "device", "left")
+    out = runs.join(factors, "device", "left")
     return out.withColumn("flops", 6.0 * F.col("params") * F.col("tokens")).withColumn("equivalent_hours", F.col("gpus") * F.col("hours") * F.col("factor"))
 
 
@@ -178,10 +197,15 @@ def least_squares_two(table: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
     return out.select("b1", "b2", (F.col("my") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")).alias("intercept"), ((F.col("b1") * F.col("s1y") + F.col("b2") * F.col("s2y")) / F.col("syy")).alias("r2"))
 
 
-def residuals(table: DataFrame, y: str, x: str) -> DataFrame:
-    """Rows with their residual from the one-regressor fit and its rank by size; ties share a rank."""
-    out = table.crossJoin(F.broadcast(least_squares(table, y, x))).withColumn("residual", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
-    return out.withColumn("residual_rank", F.rank().over(Window.orderBy(F.abs("residual").desc()))).drop("slope", "intercept", "r2")
+def largest_residuals(table: DataFrame, y: str, x: str, n: int) -> DataFrame:
+    """The rows of the first ``n`` ranks by size of their residual from the one-regressor fit; ties share a rank.
+
+    The n-th greatest size is found first, so only rows of that size or more meet in the window.
+    """
+    out = table.crossJoin(F.broadcast(least_squares(table, y, x))).withColumn("residual", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).drop("slope", "intercept", "r2")
+    least = out.select(F.abs("residual").alias("size")).orderBy(F.col("size").desc()).limit(n).agg(F.min("size").alias("_least"))
+    few = out.crossJoin(F.broadcast(least)).where(F.abs("residual") >= F.col("_least")).drop("_least")
+    return few.withColumn("residual_rank", F.rank().over(Window.orderBy(F.abs("residual").desc()))).where(F.col("residual_rank") <= n)
 
 
 def top_k_sample(logits: DataFrame, by: list[str], k: int, temperature: float, u: str = "u") -> DataFrame:

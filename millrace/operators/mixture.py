@@ -94,14 +94,19 @@ def schedule(allocation: DataFrame, plan: DataFrame) -> DataFrame:
 def batches(entries: DataFrame, scheduled: DataFrame, width: int, first_step: int, steps: int) -> DataFrame:
     """(step, row, source, path, start): what the wanted steps read, rows in order of source, then position.
 
-    Every step's range is cut per shard before anything is exploded, so only wanted rows are made.
+    Every step's range is cut per shard before anything is exploded, so only wanted rows are made. A source without
+    shards, or one that runs out within the wanted steps, is an error: a batch is never short.
     """
     last = first_step + steps
     wanted = scheduled.where((F.col("first_step") < last) & (F.col("first_step") + F.col("steps") > first_step))
     lo = F.col("from_row") + (F.greatest("first_step", F.lit(first_step)) - F.col("first_step")) * F.col("rows_per_step")
     hi = F.col("from_row") + (F.least(F.col("first_step") + F.col("steps"), F.lit(last)) - F.col("first_step")) * F.col("rows_per_step")
-    wanted = wanted.withColumn("lo", lo).withColumn("hi", hi)
     shard = numbered(entries, width).select("source", "path", "first_row", "n_rows")
+    have = shard.groupBy("source").agg(F.sum("n_rows").alias("_have"))
+    wanted = wanted.withColumn("lo", lo).withColumn("hi", hi).join(have, "source", "left")
+    short = F.when(F.col("_have").isNull(), F.raise_error(F.concat(F.lit("no shards for source "), "source")))
+    short = short.when(F.col("hi") > F.col("_have"), F.raise_error(F.concat(F.lit("exhausted: source "), "source")))
+    wanted = wanted.withColumn("hi", F.coalesce(short.cast("long"), "hi")).drop("_have")
     a, b = F.greatest("lo", "first_row"), F.least(F.col("hi"), F.col("first_row") + F.col("n_rows")) - 1
     rows = wanted.join(shard, "source").where(a <= b).withColumn("k", F.explode(F.sequence(a, b)))
     step = F.col("first_step") + F.floor((F.col("k") - F.col("from_row")) / F.col("rows_per_step"))
@@ -109,6 +114,23 @@ def batches(entries: DataFrame, scheduled: DataFrame, width: int, first_step: in
     return rows.withColumn("row", F.row_number().over(Window.partitionBy("step").orderBy("source", "k")) - 1).select("step", "row", "source", "path", "start")
 
 
+def gather(rows: DataFrame, runs: DataFrame, width: int, run: int) -> DataFrame:
+    """Batch rows (step, row, path, start) with their tokens: ``x``, and ``y`` one place on.
+
+    ``runs``: (path, start, tokens), each shard in runs of ``run`` tokens, as ``token_shards.read`` gives them. A row
+    meets the runs that its ``width + 1`` tokens lie in, one or two as a rule, so no shard is gathered in one place.
+    """
+    last = F.col("start") + width
+    parts = rows.select("step", "row", "path", "start", F.explode(F.sequence(F.floor(F.col("start") / run), F.floor(last / run))).alias("_n"))
+    runs = runs.select("path", F.floor(F.col("start") / run).alias("_n"), F.col("start").alias("_from"), "tokens")
+    met = parts.join(runs, ["path", "_n"])
+    lo, hi = F.greatest("start", "_from") - F.col("_from"), F.least(last + 1, F.col("_from") + F.size("tokens")) - F.col("_from")
+    cut = F.slice("tokens", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    whole = met.groupBy("step", "row", "path", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", cut.alias("t")))), lambda p: p["t"])).alias("_t"))
+    whole = whole.withColumn("_t", F.when(F.size("_t") == width + 1, F.col("_t")).otherwise(F.raise_error(F.lit("a shard ends within a row"))))
+    return whole.select("step", "row", "path", "start", F.slice("_t", 1, width).alias("x"), F.slice("_t", 2, width).alias("y"))
+
+
 def supply(entries: DataFrame, scheduled: DataFrame, width: int) -> DataFrame:
     """Per source of the schedule: rows needed and left; ``missing`` marks sources without shards."""
     need = scheduled.groupBy("source").agg(F.sum(F.col("rows_per_step") * F.col("steps")).alias("rows_needed"))

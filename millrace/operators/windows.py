@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.selection import prefix_sum
 
 PAD, IGNORE = 2, -100
 
@@ -29,10 +30,16 @@ def val_windows(shards: DataFrame, width: int, tokens: str = "tokens") -> DataFr
     return out.withColumn("x", F.concat(piece(0), fill(PAD))).withColumn("y", F.concat(piece(1), fill(IGNORE)))
 
 
-def val_batches(windows: DataFrame, by: list[str], order: list[str], rows: int, width: int) -> DataFrame:
-    """Windows with (by, batch, row): each group is cut into batches, its last filled with rows that score nothing."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    out = windows.withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / rows).cast("long")).withColumn("row", (F.col("_at") % rows).cast("int"))
+def val_batches(windows: DataFrame, by: list[str], shard: list[str], rows: int, width: int) -> DataFrame:
+    """Windows with (by, batch, row): each group's windows, shard after shard, are cut into batches, and the group's last
+    one is filled with rows that score nothing.
+
+    A window's number is its own place in its shard and the count of windows in the shards before, so nothing but one
+    row a shard is ordered within a group.
+    """
+    counts = windows.groupBy(*by, *shard).agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", prefix_sum("_n", by, shard))
+    numbered = windows.join(counts.drop("_n"), [*by, *shard]).withColumn("_at", F.col("_first") + F.floor(F.col("start") / width))
+    out = numbered.withColumn("batch", F.floor(F.col("_at") / rows).cast("long")).withColumn("row", (F.col("_at") % rows).cast("int"))
     out = out.select(*by, "batch", "row", "x", "y")
     last = out.groupBy(*by).agg(F.max(F.struct("batch", "row")).alias("m")).where(F.col("m.row") < rows - 1)
     fill = last.select(

@@ -51,14 +51,13 @@ def budget_exhausted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def byte_sample(spark: SparkSession, d: str) -> DataFrame:
-    return selection.sample_bytes(_docs(spark, d), SAMPLE_BYTES, FILE, ["doc_id"], BATCH_ROWS).select("doc_id", "batch")
+    return selection.sample_bytes(_docs(spark, d), SAMPLE_BYTES, ["source"], "file_idx", ["doc_id"], BATCH_ROWS).select("doc_id", "batch")
 
 
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """(source, file_idx, doc_id, n_tokens, part, n_bytes) of every document."""
     docs = _docs(spark, d).select(*FILE, "doc_id", "n_tokens", "n_bytes")
-    parts = layout.pack_shards(docs, SHARD_TOKENS, FILE, "doc_id").withColumn("part", F.col("part").cast("long"))
-    return parts.join(docs.select("doc_id", "n_bytes"), "doc_id")
+    return layout.pack_shards(docs, SHARD_TOKENS, FILE, "doc_id", also=("n_bytes",)).withColumn("part", F.col("part").cast("long"))
 
 
 def packed_shards(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +104,20 @@ def val_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Three windows of each source's train shards; the draw is by hash, so there is no SQL for it."""
-    return layout.random_windows(_entries(spark, d).where("split = 'train'"), 64, 1)
+    """Three windows of each source's train shards."""
+    return layout.random_windows(_entries(spark, d).where("split = 'train'"), 64, 1).select("source", F.col("k").cast("long").alias("k"), "path", "start")
+
+
+def shuffled_files(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded order of the pages of each site; pages stand in for files."""
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("site"), "url")
+    return layout.shuffled(pages.distinct(), 7, ["site"], "url").select("site", "url", F.col("place").cast("long").alias("place"))
+
+
+def split_sharing(spark: SparkSession, d: str) -> DataFrame:
+    """Texts stand in for files and sources for splits: copies lie in more than one."""
+    docs = table(spark, d, "documents").select("lang", F.md5("text").alias("path"), F.col("source").alias("split"))
+    return layout.split_sharing(docs, "lang")
 
 
 _DOCS = f"docs AS (SELECT doc_id, source, doc_id // {FILE_IDS} AS file_idx, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents)"
@@ -123,7 +134,7 @@ _ALL = f"WITH RECURSIVE {_DOCS}, {_PACK}, {_ENTRY}"
 
 QUERIES = {
     f.__name__: f
-    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota, random_windows)
+    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota, random_windows, shuffled_files, split_sharing)
 }
 ORACLE_SQL = {
     "select_scored_docs": "SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND length(text) > 0",
@@ -137,7 +148,7 @@ SELECT doc_id, source, n_tokens, n_bytes FROM s WHERE t < {BUDGET_TOKENS} AND b
     "budget_exhausted": f"WITH {_DOCS} SELECT source, file_idx, NOT (sum(n_tokens) >= {BUDGET_TOKENS} OR sum(n_bytes) >= {BUDGET_BYTES}) AS exhausted FROM docs GROUP BY source, file_idx",
     "byte_sample": f"""WITH {_DOCS}, t AS (SELECT *, (row_number() OVER (PARTITION BY source, file_idx ORDER BY doc_id) - 1) // {BATCH_ROWS} AS batch FROM docs),
 s AS (SELECT source, file_idx, batch, sum(n_bytes) AS b FROM t GROUP BY ALL),
-p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source, file_idx ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source ORDER BY file_idx, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
 SELECT doc_id, batch FROM t JOIN p USING (source, file_idx, batch) WHERE before < {SAMPLE_BYTES}""",
     "packed_shards": f"WITH RECURSIVE {_DOCS}, {_PACK} SELECT doc_id, source, file_idx, part FROM fold",
     "manifest_entries": f"{_ALL} SELECT * FROM entries",
@@ -155,4 +166,11 @@ SELECT source, CAST(n_jobs AS BIGINT) AS n_jobs, CAST(ceil(rest / n_jobs) AS BIG
     "val_quota": f"""{_ALL}, m AS (SELECT source, count(*) AS w FROM documents GROUP BY source),
 b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM entries)
 SELECT source, ord, n_tokens FROM b JOIN m USING (source) WHERE before < CAST({VAL_TOKENS} AS DOUBLE) * w / (SELECT sum(w) FROM m)""",
+    "random_windows": f"""{_ALL}, t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS s FROM entries WHERE split = 'train'),
+k AS (SELECT source, k, CAST('0x' || substr(md5('1|shard|' || source || '|' || k), 1, 8) AS BIGINT) % count(*) AS s FROM t, range(3) r(k) GROUP BY source, k)
+SELECT source, k, path, CAST('0x' || substr(md5('1|start|' || source || '|' || k), 1, 8) AS BIGINT) % greatest(1, n_tokens - 64) AS start FROM k JOIN t USING (source, s)""",
+    "shuffled_files": """WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS site, url FROM pages)
+SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY md5('7|' || url), url) - 1 AS place FROM p""",
+    "split_sharing": """SELECT lang, count(*) AS n_files, count(*) FILTER (WHERE n > 1) AS n_shared
+FROM (SELECT lang, md5(text) AS path, count(DISTINCT source) AS n FROM documents GROUP BY ALL) GROUP BY lang""",
 }

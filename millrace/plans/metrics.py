@@ -10,7 +10,7 @@ from millrace.operators import layout, metrics
 from millrace.session import table
 
 TOTAL, BASELINE = 400, 1
-#: (name, vocab, d_model, n_unique_blocks, repeats, n_head, n_kv_head, mlp_hidden, xsa, value_residual).
+#: Fixed values, published configurations: (name, vocab, d_model, n_unique_blocks, repeats, n_head, n_kv_head, mlp_hidden, xsa, value_residual).
 CONFIGS = [
     ("A", 32768, 512, 14, 1, 8, 4, 1536, False, False),
     ("alt1", 32768, 576, 8, 2, 9, 3, 2304, False, False),
@@ -34,12 +34,23 @@ def log_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_ema(spark: SparkSession, d: str) -> DataFrame:
-    runs = _steps(spark, d).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "loss"))), lambda x: x["loss"]).alias("xs"))
-    return runs.select("run", F.posexplode(metrics.ema("xs")).alias("step", "ema")).select("run", F.col("step").cast("long").alias("step"), F.round("ema", 8).alias("ema"))
+    return metrics.ema(_steps(spark, d).select("run", "step", "loss"), "run", "step", "loss").select("run", "step", F.round("ema", 8).alias("ema"))
 
 
 def log_p99(spark: SparkSession, d: str) -> DataFrame:
-    return _steps(spark, d).groupBy("run").agg(metrics.lower_percentile("loss").alias("p99"))
+    return metrics.lower_percentile(_steps(spark, d), "run", "loss").select("run", F.col("percentile").alias("p99"))
+
+
+def val_points(spark: SparkSession, d: str) -> DataFrame:
+    """The steps with a validation value; views stand in for validation passes."""
+    log = _steps(spark, d).withColumn("val_bpb", F.when(F.col("event_type") == "view", F.col("loss")))
+    return metrics.with_value(log).select("run", "step", "val_bpb")
+
+
+def micro_batch_means(spark: SparkSession, d: str) -> DataFrame:
+    """Every four lines of a run are the micro-batches of one step."""
+    parts = _steps(spark, d).withColumn("step", F.floor(F.col("step") / 4))
+    return metrics.step_means(parts, ["run", "step"], ["loss"]).select("run", "step", "n_parts", F.round("loss", 8).alias("loss"))
 
 
 def median_throughput(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +71,7 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
     """All steps of schedules with different warm-up and decay shares."""
     shares = spark.createDataFrame([("both", 0.05, 0.35), ("no_warmup", 0.0, 0.5), ("no_decay", 0.1, 0.0), ("overlap", 0.8, 0.6)], "name string, warmup double, decay double")
     steps = spark.range(TOTAL).withColumnRenamed("id", "step")
-    out = steps.crossJoin(F.broadcast(shares)).select("name", "step", F.round(metrics.lr_mult(F.col("step"), F.lit(TOTAL), F.col("warmup"), F.col("decay")), 12).alias("lr_mult"))
+    out = steps.crossJoin(F.broadcast(shares)).select("name", "step", F.round(metrics.rate_factor(F.col("step"), F.lit(TOTAL), F.col("warmup"), F.col("decay")), 12).alias("lr_mult"))
     return out
 
 
@@ -147,8 +158,8 @@ def plane_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def largest_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose price lies farthest from the line by size; the report is the first ten ranks."""
-    out = metrics.residuals(table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size")
-    return out.where("residual_rank <= 10").select("p_partkey", F.col("residual_rank").cast("long").alias("residual_rank"), F.round("residual", 4).alias("residual"))
+    out = metrics.largest_residuals(table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size", 10)
+    return out.select("p_partkey", F.col("residual_rank").cast("long").alias("residual_rank"), F.round("residual", 4).alias("residual"))
 
 
 def top_k_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +181,7 @@ _VALUES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) f
 QUERIES = {
     f.__name__: f
     for f in (
-        log_dedupe, log_ema, log_p99, median_throughput, truncated_log, run_status, lr_schedule, param_counts, checkpoint_average, last_checkpoints, metric_rows, metric_table, baseline_deltas,
+        log_dedupe, log_ema, log_p99, val_points, micro_batch_means, median_throughput, truncated_log, run_status, lr_schedule, param_counts, checkpoint_average, last_checkpoints, metric_rows, metric_table, baseline_deltas,
         category_accuracy, score_index, compute_costs, disclosure_levels, bracket_ranks, line_fit, plane_fit, largest_residuals, top_k_tokens, greedy_tokens,
     )
 }
@@ -179,6 +190,8 @@ ORACLE_SQL = {
     "log_ema": f"""WITH RECURSIVE {_S}, f AS (SELECT run, step, loss AS ema FROM s WHERE step = 0
   UNION ALL SELECT s.run, s.step, CAST(0.98 AS DOUBLE) * ema + (1 - CAST(0.98 AS DOUBLE)) * loss FROM f JOIN s ON s.run = f.run AND s.step = f.step + 1) SELECT run, step, round(ema, 8) AS ema FROM f""",
     "log_p99": f"WITH {_S} SELECT run, list_sort(list(loss))[CAST(floor(0.99 * (count(*) - 1)) AS BIGINT) + 1] AS p99 FROM s GROUP BY run",
+    "val_points": f"WITH {_S} SELECT run, step, loss AS val_bpb FROM s WHERE event_type = 'view'",
+    "micro_batch_means": f"WITH {_S} SELECT run, step // 4 AS step, count(*) AS n_parts, round(avg(loss), 8) AS loss FROM s GROUP BY ALL",
     "median_throughput": f"WITH {_S} SELECT run, round(median(loss), 9) AS median_tok_per_s FROM s WHERE step >= 50 GROUP BY run",
     "truncated_log": f"WITH {_S} SELECT run, step, loss FROM s WHERE step <= 20",
     "run_status": f"""WITH {_S} SELECT run, round(sum(loss), 6) AS gpu_s, arg_max(event_type, step) AS state, max(step) AS step,

@@ -7,29 +7,30 @@ from pyspark.sql import functions as F
 
 from millrace.operators import mixture
 from millrace.plans.corpus import _ALL, _entries
+from millrace.plans.windows import _tokens
 from millrace.session import table
 
-WIDTH, ROWS, STEPS = 128, 64, (6, 3)
-#: Published mixes whose remainders are nearly tied: plain data, in natural order.
+WIDTH, ROWS, STEPS, RUN = 128, 32, (6, 3), 300
+#: A published mix whose remainders are nearly tied, so that the order of operations decides.
 MIXES = {
-    "main": {"fwedu": 0.60, "dclm": 0.30, "finemath": 0.05, "finepdfs": 0.05},
-    "anneal": {"fwedu_hq": 0.65, "finemath": 0.225, "fwedu": 0.075, "dclm": 0.05},
-    "anneal_wiki": {"fwedu_hq": 0.60, "finemath": 0.225, "fwedu": 0.075, "dclm": 0.05, "wiki": 0.05},
     "mild_wiki": {"fwedu_hq": 0.40, "finemath": 0.20, "fwedu": 0.20, "dclm": 0.15, "wiki": 0.05},
 }
+MIX_ROWS = 64
 
 
 def mix_allocation(spark: SparkSession, d: str) -> DataFrame:
     rows = [(m, s, w) for m, mix in MIXES.items() for s, w in mix.items()]
-    return mixture.allocate(spark.createDataFrame(rows, "mix_name string, source string, weight double"), ROWS)
+    return mixture.allocate(spark.createDataFrame(rows, "mix_name string, source string, weight double"), MIX_ROWS)
 
 
 def _mixes(spark: SparkSession, d: str) -> DataFrame:
-    """Two mixes over the sources: by documents, and by bytes of the even-length names."""
+    """Two mixes over all sources: by documents, and by the bytes that a source has above the mean; those below have no weight."""
     docs = table(spark, d, "documents").select("source", F.octet_length("text").alias("b"))
-    by_docs = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("mix_name", F.lit("docs"))
-    by_bytes = docs.where(F.length("source") % 2 == 0).groupBy("source").agg(F.sum("b").cast("double").alias("weight")).withColumn("mix_name", F.lit("bytes"))
-    return by_docs.unionByName(by_bytes).select("mix_name", "source", "weight")
+    sums = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("b").cast("double").alias("b"))
+    mean = F.broadcast(sums.agg((F.sum("b") / F.count(F.lit(1))).alias("mean")))  # one row
+    by_docs = sums.select(F.lit("docs").alias("mix_name"), "source", F.col("n").alias("weight"))
+    by_bytes = sums.crossJoin(mean).select(F.lit("bytes").alias("mix_name"), "source", F.greatest(F.col("b") - F.col("mean"), F.lit(0.0)).alias("weight"))
+    return by_docs.unionByName(by_bytes)
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +60,17 @@ def batch_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shards_needed(mixture.batches(_train(spark, d), _scheduled(spark, d), WIDTH, 4, 4))
 
 
+def batch_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The inputs and targets of the batches, as sums and ends; shards lie in runs of ``RUN`` tokens."""
+    rows = mixture.batches(_train(spark, d), _scheduled(spark, d), WIDTH, 4, 4)
+    path = F.format_string("%s_%04d_%02d.bin", "source", "file_idx", "part").alias("path")
+    starts = F.sequence(F.lit(0).cast("long"), F.size("tokens").cast("long") - 1, F.lit(RUN).cast("long"))
+    runs = _tokens(spark, d).select(path, F.explode(starts).alias("start"), "tokens").withColumn("tokens", F.slice("tokens", (F.col("start") + 1).cast("int"), F.lit(RUN)))
+    out = mixture.gather(rows, runs, WIDTH, RUN)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("step", F.col("row").cast("long").alias("row"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.element_at("x", 1).cast("long").alias("x_first"), F.element_at("y", -1).cast("long").alias("y_last"))
+
+
 def data_supply(spark: SparkSession, d: str) -> DataFrame:
     return mixture.supply(_train(spark, d), _scheduled(spark, d), WIDTH)
 
@@ -71,17 +83,24 @@ def loader_cursors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mix_without_shards(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of the mix that have a single shard, which is their validation split."""
-    return mixture.missing_sources(_mixes(spark, d), _train(spark, d))
+    """Sources of the mix without a shard above the mean length; such shards stand in for a corpus that is not built yet."""
+    train = _train(spark, d)
+    mean = F.broadcast(train.agg((F.sum("n_bytes") / F.count(F.lit(1))).alias("mean")))  # one row
+    return mixture.missing_sources(_mixes(spark, d), train.crossJoin(mean).where(F.col("n_bytes") > 1.2 * F.col("mean")))
 
 
 _MIX = f"""m AS (
   SELECT 'docs' AS mix_name, source, CAST(count(*) AS DOUBLE) AS weight FROM documents GROUP BY source
-  UNION ALL SELECT 'bytes', source, CAST(sum(strlen(text)) AS DOUBLE) FROM documents WHERE length(source) % 2 = 0 GROUP BY source)"""
-_ALLOCATE = f"""t AS (SELECT mix_name, list_reduce(list(weight ORDER BY source), lambda a, b: a + b) AS total FROM m GROUP BY mix_name),
-e AS (SELECT mix_name, source, weight * CAST({ROWS} AS DOUBLE) / total AS exact FROM m JOIN t USING (mix_name) WHERE weight > 0),
-k AS (SELECT *, floor(exact) AS base, row_number() OVER (PARTITION BY mix_name ORDER BY floor(exact) - exact, source) AS r, {ROWS} - sum(floor(exact)) OVER (PARTITION BY mix_name) AS l FROM e),
+  UNION ALL SELECT 'bytes', source, greatest(b - sum(b) OVER () / count(*) OVER (), 0) FROM (SELECT source, CAST(sum(strlen(text)) AS DOUBLE) AS b FROM documents GROUP BY source))"""
+
+
+def _allocate(rows: int) -> str:
+    return f"""t AS (SELECT mix_name, list_reduce(list(weight ORDER BY source), lambda a, b: a + b) AS total FROM m GROUP BY mix_name),
+e AS (SELECT mix_name, source, weight * CAST({rows} AS DOUBLE) / total AS exact FROM m JOIN t USING (mix_name) WHERE weight > 0),
+k AS (SELECT *, floor(exact) AS base, row_number() OVER (PARTITION BY mix_name ORDER BY floor(exact) - exact, source) AS r, {rows} - sum(floor(exact)) OVER (PARTITION BY mix_name) AS l FROM e),
 alloc AS (SELECT mix_name, source, CAST(base + CASE WHEN r <= l THEN 1 ELSE 0 END AS BIGINT) AS rows_per_step FROM k)"""
+
+
 _PLAN = f"""p(phase, mix_name, first_step, steps) AS (VALUES (0, 'docs', 0, {STEPS[0]}), (1, 'bytes', {STEPS[0]}, {STEPS[1]})),
 sched AS (SELECT *, coalesce(sum(rows_per_step * steps) OVER (PARTITION BY source ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_row FROM p JOIN alloc USING (mix_name)),
 train AS (SELECT source, ord, path, n_tokens, greatest(0, (n_tokens - 1) // {WIDTH}) AS n_rows FROM entries WHERE split = 'train'),
@@ -90,15 +109,20 @@ every AS (SELECT source, path, ord, first_row + unnest(range(0, n_rows)) AS k, f
 wanted AS (SELECT source, first_step + unnest(range(0, steps)) AS step, first_step, rows_per_step, from_row FROM sched),
 hits AS (SELECT step, w.source, path, (k - first_row) * {WIDTH} AS start, k FROM wanted w JOIN every e ON e.source = w.source
   AND k >= from_row + (step - first_step) * rows_per_step AND k < from_row + (step - first_step + 1) * rows_per_step WHERE step BETWEEN 4 AND 7)"""
-_FULL = f"{_ALL}, {_MIX}, {_ALLOCATE}, {_PLAN}"
+_FULL = f"{_ALL}, {_MIX}, {_allocate(ROWS)}, {_PLAN}"
 _VALUES = ", ".join(f"('{m}', '{s}', CAST({w} AS DOUBLE))" for m, mix in MIXES.items() for s, w in mix.items())
 
-QUERIES = {f.__name__: f for f in (mix_allocation, source_allocation, training_rows, training_batches, batch_shards, data_supply, loader_cursors, mix_without_shards)}
+QUERIES = {f.__name__: f for f in (mix_allocation, source_allocation, training_rows, training_batches, batch_shards, batch_tokens, data_supply, loader_cursors, mix_without_shards)}
 ORACLE_SQL = {
-    "mix_allocation": f"WITH m(mix_name, source, weight) AS (VALUES {_VALUES}), {_ALLOCATE} SELECT * FROM alloc",
-    "source_allocation": f"WITH {_MIX}, {_ALLOCATE} SELECT * FROM alloc",
+    "mix_allocation": f"WITH m(mix_name, source, weight) AS (VALUES {_VALUES}), {_allocate(MIX_ROWS)} SELECT * FROM alloc",
+    "source_allocation": f"WITH {_MIX}, {_allocate(ROWS)} SELECT * FROM alloc",
     "training_rows": f"{_FULL} SELECT source, ord, n_rows, first_row FROM placed",
     "training_batches": f"{_FULL} SELECT CAST(step AS BIGINT) AS step, row_number() OVER (PARTITION BY step ORDER BY source, k) - 1 AS row, source, path, CAST(start AS BIGINT) AS start FROM hits",
+    "batch_tokens": f"""{_FULL}, tk AS (SELECT doc_id, list_concat([0], list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) + 2)) AS t FROM documents),
+st AS (SELECT format('{{}}_{{:04d}}_{{:02d}}.bin', source, file_idx, part) AS path, flatten(list(t ORDER BY doc_id)) AS tokens FROM tk JOIN fold USING (doc_id) GROUP BY source, file_idx, part),
+r AS (SELECT CAST(step AS BIGINT) AS step, row_number() OVER (PARTITION BY step ORDER BY source, k) - 1 AS row, path, start FROM hits),
+xy AS (SELECT step, row, tokens[start + 1 : start + {WIDTH}] AS x, tokens[start + 2 : start + {WIDTH + 1}] AS y FROM r JOIN st USING (path))
+SELECT step, row, CAST(list_sum(x) AS BIGINT) AS x_sum, CAST(list_sum(y) AS BIGINT) AS y_sum, CAST(x[1] AS BIGINT) AS x_first, CAST(y[{WIDTH}] AS BIGINT) AS y_last FROM xy""",
     "batch_shards": f"{_FULL} SELECT DISTINCT source, path FROM hits",
     "data_supply": f"""{_FULL}, need AS (SELECT source, CAST(sum(rows_per_step * steps) AS BIGINT) AS rows_needed FROM sched GROUP BY source), have AS (SELECT source, CAST(sum(n_rows) AS BIGINT) AS rows_left FROM train GROUP BY source)
 SELECT source, rows_needed, coalesce(rows_left, 0) AS rows_left, rows_left IS NULL AS missing, coalesce(rows_left, 0) >= rows_needed AS enough FROM need LEFT JOIN have USING (source)""",
@@ -106,5 +130,5 @@ SELECT source, rows_needed, coalesce(rows_left, 0) AS rows_left, rows_left IS NU
 c AS (SELECT source, n, min(ord) AS shard_idx, arg_min(first_row, ord) AS f FROM placed JOIN n USING (source) WHERE n >= first_row AND n <= first_row + n_rows GROUP BY source, n),
 s AS (SELECT source, sum(n_rows) AS total FROM placed GROUP BY source)
 SELECT source, shard_idx, (n - f) * {WIDTH} AS "offset", n AS rows_consumed, CAST(total - n AS BIGINT) AS rows_left FROM c JOIN s USING (source)""",
-    "mix_without_shards": f"{_FULL} SELECT DISTINCT source FROM m WHERE weight > 0 AND source NOT IN (SELECT source FROM train)",
+    "mix_without_shards": f"{_FULL} SELECT DISTINCT source FROM m WHERE weight > 0 AND source NOT IN (SELECT source FROM entries WHERE split = 'train' AND n_bytes > 1.2 * (SELECT sum(n_bytes) / count(*) FROM entries WHERE split = 'train'))",
 }

@@ -1,8 +1,10 @@
 """Queries on pre-tokenization, encoding and item texts. SQL engines lack the pattern's look-ahead, so the
-first three have no SQL; tests hold them against the tokenizers library."""
+first two have no SQL; tests hold them against the tokenizers library."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,22 +29,29 @@ def piece_counts(spark: SparkSession, d: str) -> DataFrame:
 def encoded_docs(spark: SparkSession, d: str) -> DataFrame:
     encode = tokenize.encoder(spark, vocabulary(), BOS)
     ids = table(spark, d, "documents").select("doc_id", encode("text").alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), tokenize.digest("ids").alias("ids_sha"))
 
 
 def decoded_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that do not come back from encoding and decoding: none."""
+    """A digest of each document after encoding and decoding, which must give it back."""
     source = vocabulary()
     encode, decode = tokenize.encoder(spark, source), tokenize.decoder(spark, source)
-    docs = table(spark, d, "documents").select("doc_id", "text", decode(encode("text")).alias("back"))
-    return docs.where("text != back").select("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.sha2(decode(encode("text")), 256).alias("text_sha"))
 
 
 def item_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as fill-in items: every "the" is a blank, two words stand in for the options."""
-    rows = table(spark, d, "benchmark").select("item_id", F.struct(F.regexp_replace("text", r"\bthe\b", "_").alias("sentence"), F.lit("a").alias("option1"), F.lit("this").alias("option2")).alias("row"))
-    texts = rows.select("item_id", F.posexplode(T.item_texts("blank", F.col("row"))).alias("place", "text"))
-    return texts.select("item_id", F.col("place").cast("long").alias("place"), F.sha2("text", 256).alias("sha"))
+    """Benchmark items as items of all four kinds, with two words as candidates; every "the" is the blank of a fill-in item."""
+    text, a, b = F.col("text"), F.lit("a").alias("a"), F.lit("this").alias("b")
+    rows = {
+        "endings": F.struct(text.alias("ctx"), F.array(a, b).alias("endings")),
+        "choices": F.struct(text.alias("question"), F.struct(F.array(a, b).alias("text")).alias("choices")),
+        "solutions": F.struct(text.alias("goal"), a.alias("sol1"), b.alias("sol2")),
+        "blank": F.struct(F.regexp_replace(text, r"\bthe\b", "_").alias("sentence"), a.alias("option1"), b.alias("option2")),
+    }
+    items = table(spark, d, "benchmark")
+    parts = [items.select("item_id", F.lit(kind).alias("kind"), F.posexplode(T.item_texts(kind, row)).alias("place", "t")) for kind, row in rows.items()]
+    texts = reduce(DataFrame.unionByName, parts)
+    return texts.select("item_id", "kind", F.col("place").cast("long").alias("place"), F.sha2("t", 256).alias("sha"))
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +61,9 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (piece_counts, encoded_docs, decoded_docs, item_candidates, word_counts)}
 ORACLE_SQL = {
-    "item_candidates": """SELECT item_id, place, sha256(replace(regexp_replace(text, '\\bthe\\b', '_', 'g'), '_', CASE place WHEN 0 THEN 'a' ELSE 'this' END)) AS sha FROM benchmark, range(2) r(place)""",
+    "decoded_docs": "SELECT doc_id, sha256(text) AS text_sha FROM documents",
+    "item_candidates": """WITH o AS (SELECT item_id, text, place, CASE place WHEN 0 THEN 'a' ELSE 'this' END AS x FROM benchmark, range(2) r(place))
+SELECT item_id, kind, place, sha256(CASE kind WHEN 'blank' THEN replace(regexp_replace(text, '\\bthe\\b', '_', 'g'), '_', x) ELSE text || ' ' || x END) AS sha
+FROM o, (VALUES ('endings'), ('choices'), ('solutions'), ('blank')) k(kind)""",
     "word_counts": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY word",
 }

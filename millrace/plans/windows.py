@@ -57,9 +57,9 @@ def validation_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validation_batches(spark: SparkSession, d: str) -> DataFrame:
-    out = windows.val_batches(windows.val_windows(_tokens(spark, d), WIDTH), SHARD, ["start"], ROWS, WIDTH)
+    out = windows.val_batches(windows.val_windows(_tokens(spark, d), WIDTH), ["source"], ["file_idx", "part"], ROWS, WIDTH)
     scored = F.size(F.filter("y", lambda v: v != windows.IGNORE)).cast("long")
-    return out.groupBy(*SHARD, "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(scored).alias("n_scored"))
+    return out.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(scored).alias("n_scored"))
 
 
 def scoring_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +130,8 @@ g AS (SELECT conv_id, page, regexp_replace(string_agg(CASE WHEN line = '' THEN '
 SELECT conv_id, page, CAST(strlen(text) AS BIGINT) AS n_bytes, len(regexp_split_to_array(text, '[ \\n]+')) AS n_words, sha256(text) AS sha FROM g WHERE regexp_matches(text, '\\S')""",
     "validation_windows": f"""WITH RECURSIVE {_STREAM}, {_WIN} SELECT source, file_idx, part, start, CAST(list_sum(x) + 2 * ({WIDTH} - len(x)) AS BIGINT) AS x_sum, CAST(list_sum(y) - 100 * ({WIDTH} - len(y)) AS BIGINT) AS y_sum,
   CAST(x[1] AS BIGINT) AS x_first, CAST(CASE WHEN len(y) < {WIDTH} THEN -100 ELSE y[-1] END AS BIGINT) AS y_last FROM v""",
-    "validation_batches": f"""WITH RECURSIVE {_STREAM}, {_WIN}, r AS (SELECT source, file_idx, part, (row_number() OVER (PARTITION BY source, file_idx, part ORDER BY start) - 1) // {ROWS} AS batch, len(y) AS n FROM v)
-SELECT source, file_idx, part, batch, CAST({ROWS} AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_scored FROM r GROUP BY ALL""",
+    "validation_batches": f"""WITH RECURSIVE {_STREAM}, {_WIN}, r AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY file_idx, part, start) - 1) // {ROWS} AS batch, len(y) AS n FROM v)
+SELECT source, batch, CAST({ROWS} AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_scored FROM r GROUP BY ALL""",
     "scoring_spans": f"""WITH d AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 1 AS n FROM documents),
 j AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 1 THEN 0 WHEN n <= {CTX} THEN 1 ELSE 1 + CAST(ceil((n - {CTX}) / {STRIDE}) AS BIGINT) END)) AS j FROM d)
 SELECT doc_id, n AS n_tokens, j * {STRIDE} AS begin, least(j * {STRIDE} + {CTX}, n) AS "end", CASE WHEN j = 0 THEN 1 ELSE (j - 1) * {STRIDE} + {CTX} END AS first FROM j""",

@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import layout
+
 ENTRY = "path string, n_tokens long, n_bytes long, n_docs long, n_docs_dropped_title long, n_docs_dropped_ngram long"
 
 
 def read_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """The nested JSON manifest as (source, split, ord, path, counts); relative paths are resolved against ``root``."""
+    """The nested JSON manifest as (source, split, ord, path, counts); relative paths are resolved against ``root``.
+    A file of another shape is an error."""
     whole = spark.read.text(path, wholetext=True)
-    nested = whole.select(F.from_json("value", f"map<string, map<string, array<struct<{_fields()}>>>>").alias("m"))
+    nested = whole.select(F.from_json("value", f"map<string, map<string, array<struct<{_fields()}>>>>", {"mode": "FAILFAST"}).alias("m"))
     sources = nested.select(F.explode("m").alias("source", "splits"))
     splits = sources.select("source", F.explode("splits").alias("split", "entries"))
     flat = splits.select("source", "split", F.posexplode("entries").alias("ord", "e")).select("source", "split", "ord", "e.*")
-    return flat.withColumn("path", F.when(F.col("path").rlike("^(/|[a-z]+:)"), F.col("path")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))))
+    return flat.withColumn("path", layout.resolved("path", root))
 
 
 def _fields() -> str:
     return ", ".join(":".join(x.split()) for x in ENTRY.split(", "))
 
 
-def write_manifest(entries: DataFrame, path: str) -> None:
-    """The flat manifest as a table, replaced as a whole by the output committer."""
-    entries.write.mode("overwrite").json(path)
+def write_manifest(entries: DataFrame, path: str, root: str) -> None:
+    """The flat manifest as one nested JSON file that ``read_manifest`` reads: source, split, entries in order, their
+    paths relative to ``root``. The output committer replaces the folder ``path`` as a whole."""
+    known = [x.split()[0] for x in ENTRY.split(", ")]
+    fields = [F.col(c) if c in entries.columns else F.lit(0).cast("long").alias(c) for c in known]
+    own = entries.withColumn("path", layout.relative("path", root)).select("source", "split", "ord", F.struct(*fields).alias("e"))
+    listed = own.groupBy("source", "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"]).alias("entries"))
+    pairs = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    by_source = listed.groupBy("source").agg(pairs("split", "entries").alias("splits"))
+    whole = by_source.agg(F.map_from_entries(F.collect_list(F.struct("source", "splits"))).alias("m"))
+    whole.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One record, as of an evaluation or a status, as JSON; the output committer replaces the folder ``path`` as a whole."""
+    spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

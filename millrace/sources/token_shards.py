@@ -20,23 +20,32 @@ MAGIC, VERSION, HEADER = 20240520, 1, 256
 HIGHEST = 65535
 
 
-def pack(tokens: np.ndarray, vocab: int | None = None) -> bytes:
-    """A shard's bytes; ids must lie below the vocabulary and below 65535."""
+def head(n_tokens: int) -> bytes:
+    out = np.zeros(HEADER, "<i4")
+    out[:3] = MAGIC, VERSION, n_tokens
+    return out.tobytes()
+
+
+def body(tokens: np.ndarray, vocab: int | None = None) -> bytes:
+    """Tokens as a shard holds them; ids must lie below the vocabulary and below 65535."""
     tokens = np.asarray(tokens)
     limit = min(vocab or HIGHEST, HIGHEST)
     if tokens.size and not 0 <= int(tokens.min()) <= int(tokens.max()) < limit:
         raise ValueError(f"token ids must lie in 0 .. {limit - 1}")
-    head = np.zeros(HEADER, "<i4")
-    head[:3] = MAGIC, VERSION, len(tokens)
-    return head.tobytes() + tokens.astype("<u2").tobytes()
+    return tokens.astype("<u2").tobytes()
+
+
+def pack(tokens: np.ndarray, vocab: int | None = None) -> bytes:
+    """A whole shard's bytes."""
+    return head(len(tokens)) + body(tokens, vocab)
 
 
 def unpack(data: bytes, name: str = "shard") -> np.ndarray:
     """A shard's tokens, after its header and size are checked."""
-    head = np.frombuffer(data, "<i4", min(HEADER, len(data) // 4))
-    if len(head) < HEADER or (head[:2] != (MAGIC, VERSION)).any():
+    first = np.frombuffer(data, "<i4", min(HEADER, len(data) // 4))
+    if len(first) < HEADER or (first[:2] != (MAGIC, VERSION)).any():
         raise ValueError(f"{name} has no valid header")
-    if len(data) != 4 * HEADER + 2 * int(head[2]):
+    if len(data) != 4 * HEADER + 2 * int(first[2]):
         raise ValueError(f"{name} has not the size that its header says")
     return np.frombuffer(data, "<u2", offset=4 * HEADER)
 
@@ -64,17 +73,36 @@ class _Writer(DataSourceWriter):
         self.root, self.vocab = options["path"].rstrip("/"), int(options.get("vocab", 0)) or None
 
     def write(self, rows: Iterator) -> _Written:
-        """Rows (name, tokens): one shard each."""
+        """Rows (name, n_tokens, tokens): those of one name, in a row, are one shard of ``n_tokens`` tokens in all.
+
+        Tokens are written as they come, so a shard never is in memory as a whole.
+        """
         from pyspark import TaskContext
 
         fs, root = _store(self.root)
         fs.create_dir(root, recursive=True)
-        task, out = TaskContext.get().taskAttemptId(), []
+        task, out, name, left, stream = TaskContext.get().taskAttemptId(), [], None, 0, None
+
+        def close() -> None:
+            if stream is not None:
+                stream.close()
+                if left:
+                    raise ValueError(f"{name} lacks {left} of the tokens that it should have")
+
         for row in rows:
-            hidden = f"{root}/.{row['name']}.{task}"
-            with fs.open_output_stream(hidden) as f:
-                f.write(pack(np.array(row["tokens"], np.int64), self.vocab))
-            out.append((hidden, f"{root}/{row['name']}.bin"))
+            if row["name"] != name:
+                close()
+                name, left = row["name"], int(row["n_tokens"])
+                hidden = f"{root}/.{name}.{task}"
+                if any(h == hidden for h, _ in out):
+                    raise ValueError(f"the rows of {name} do not come in a row")
+                stream = fs.open_output_stream(hidden)
+                out.append((hidden, f"{root}/{name}.bin"))
+                stream.write(head(left))
+            tokens = np.array(row["tokens"], np.int64)
+            left -= len(tokens)
+            stream.write(body(tokens, self.vocab))
+        close()
         return _Written(out)
 
     def commit(self, messages: list) -> None:
@@ -95,14 +123,15 @@ def _store(path: str):
 
 
 class TokenShardSink(DataSource):
-    """``df.write.format("token_shards").mode("append").save(path)`` with columns name and tokens."""
+    """``df.write.format("token_shards").mode("append").save(path)`` with columns name, n_tokens (of the whole shard) and
+    tokens; a shard's rows must come in a row, in their order, in one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "token_shards"
 
     def schema(self) -> str:
-        return "name string, tokens array<int>"
+        return "name string, n_tokens long, tokens array<int>"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(dict(self.options))

@@ -126,6 +126,9 @@ def test_token_shards_round_trip(spark, tmp_path):
             token_shards.pack(np.array(ids), vocab)
     token_shards.register(spark)
     df = spark.createDataFrame([("one", [1, 2, 3]), ("two", list(range(70000)))], "name string, tokens array<int>").withColumn("tokens", F.transform("tokens", lambda x: x % 60000))
+    # One shard comes in one row, the other in two.
+    halves = F.explode(F.when(F.col("name") == "one", F.array("tokens")).otherwise(F.array(F.slice("tokens", 1, 40000), F.slice("tokens", 40001, 40000))))
+    df = df.select("name", F.size("tokens").cast("long").alias("n_tokens"), halves.alias("tokens")).coalesce(1)
     df.write.format("token_shards").mode("append").save(str(tmp_path / "s"))
     back = token_shards.read(spark, str(tmp_path / "s")).orderBy("path", "start").collect()
     assert [len(r.tokens) for r in back] == [3, 65536, 70000 - 65536] and back[0].tokens == [1, 2, 3]
@@ -133,6 +136,66 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert tables.file_digests(spark, str(tmp_path / "s")).count() == 2
 
 
+def test_shard_sink_refuses_short_and_scattered_shards(spark, tmp_path):
+    token_shards.register(spark)
+    for rows in ([("a", 3, [1, 2])], [("a", 1, [1]), ("b", 1, [1]), ("a", 1, [1])]):
+        with pytest.raises(Exception, match="lacks|in a row"):
+            spark.createDataFrame(rows, "name string, n_tokens long, tokens array<int>").coalesce(1).write.format("token_shards").mode("append").save(str(tmp_path / "bad"))
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = [("a", "train", 0, "/m/x.bin", 5, 9, 1), ("a", "train", 1, "/other/y.bin", 6, 9, 2), ("a", "val", 0, "/m/z.bin", 7, 9, 3), ("b", "train", 0, "/m/sub/w.bin", 8, 9, 4)]
+    entries = spark.createDataFrame(rows, "source string, split string, ord int, path string, n_tokens long, n_bytes long, n_docs long")
+    tables.write_manifest(entries, str(tmp_path / "m"), "/m")
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "m")).collect())
+    assert '"sub/w.bin"' in text and "/m/" not in text
+    back = tables.read_manifest(spark, str(tmp_path / "m"), "/m")
+    assert sorted(tuple(r)[:7] for r in back.collect()) == sorted(rows)
+    moved = tables.read_manifest(spark, str(tmp_path / "m"), "/new")
+    assert {r.path for r in moved.collect()} == {"/new/x.bin", "/other/y.bin", "/new/z.bin", "/new/sub/w.bin"}
+    spark.createDataFrame([("not json",)], "value string").coalesce(1).write.text(str(tmp_path / "bad"))
+    with pytest.raises(Exception):
+        tables.read_manifest(spark, str(tmp_path / "bad"), "/m").collect()
+
+
+def test_records_are_written_whole(spark, tmp_path):
+    for n in (1, 2):
+        tables.write_record(spark, {"run": "r", "n": n}, str(tmp_path / "r"))
+    assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "r"), "run string, n int").collect()] == [("r", 2)]
+
+
+def test_batches_refuse_to_run_short(spark):
+    entries = spark.createDataFrame([("a", "p", 0, 33)], "source string, path string, place int, n_tokens long")
+
+    def scheduled(mix):
+        weights = spark.createDataFrame([("m", s, 1.0) for s in mix], "mix_name string, source string, weight double")
+        return mixture.schedule(mixture.allocate(weights, 2), mixture.step_plan(spark, [("m", 2 + len(mix))]))
+
+    assert mixture.batches(entries, scheduled("a"), 8, 0, 2).count() == 4
+    with pytest.raises(Exception, match="exhausted"):
+        mixture.batches(entries, scheduled("a"), 8, 0, 3).collect()
+    with pytest.raises(Exception, match="no shards"):
+        mixture.batches(entries, scheduled("ab"), 8, 0, 1).collect()
+
+
+def test_gathered_tokens(spark, tmp_path):
+    """x and y of batches from written shards, rows that straddle runs included."""
+    import numpy as np
+
+    shards = {"p": np.arange(100) % 97, "q": np.arange(50) + 200}
+    for name, t in shards.items():
+        (tmp_path / f"{name}.bin").write_bytes(token_shards.pack(t))
+    runs = token_shards.read(spark, str(tmp_path), rows=16).withColumn("path", F.regexp_extract("path", r"([a-z])\.bin$", 1))
+    rows = spark.createDataFrame([(0, 0, "p", 0), (0, 1, "p", 10), (1, 0, "p", 92), (1, 1, "q", 30)], "step int, row int, path string, start long")
+    got = mixture.gather(rows, runs, 7, 16).collect()
+    assert len(got) == 4
+    for r in got:
+        want = shards[r.path][r.start : r.start + 8].tolist()
+        assert (r.x, r.y) == (want[:-1], want[1:])
+    with pytest.raises(Exception, match="ends within"):
+        mixture.gather(rows.where("start = 92"), runs, 8, 16).collect()
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": {"train": [{"path": "x.bin", "n_tokens": 5}, {"path": "/abs/y.bin", "n_tokens": 6}]}}')
     rows = tables.read_manifest(spark, str(tmp_path / "m.json"), "/root/m").orderBy("ord").collect()

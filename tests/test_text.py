@@ -24,6 +24,11 @@ def test_title_keys(spark):
         assert one(spark, title, T.title_key) == key
 
 
+def test_case_folding_as_python(spark):
+    for text in ("ΟΔΟΣ ΣΟΣ", "ﬁn ŉ Ǆ ẞ ß ſ", "İstanbul ıI", "ᏸ Ꭰ ᾳ ᾼ", "plain ÄÖ"):
+        assert one(spark, text, T.casefold) == text.casefold()
+
+
 def test_headings(spark):
     cases = [(" = Title = \n", "Title", True), (" = = Section = = \n", None, False), (" = Title = ", "Title", False), ("= Title =\n", None, False), ("", None, False), (" = A = B = \n", "A = B", True)]
     for line, title, page in cases:
@@ -62,3 +67,23 @@ def test_encode_decode(spark):
     rows = df.select("i", tokenize.encoder(spark, source, 7)("t").alias("ids")).select("i", "ids", tokenize.decoder(spark, source)(F.slice("ids", 2, 100)).alias("back")).orderBy("i").collect()
     assert [r.back for r in rows] == ["Hello, wörld  😀", "", ""]
     assert [r.ids[0] for r in rows] == [7, 7, 7] and len(rows[2].ids) == 1
+
+
+def test_whole_table_as_library(spark, sf):
+    """Piece counts, ids and decoded texts of every document against the tokenizers library itself."""
+    import collections
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    from millrace.plans import tokens
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    split = pre_tokenizers.Split(Regex(tokenize.SPLIT.removeprefix("(?U)")), "isolated")
+    want = collections.Counter(p for r in docs for p, _ in split.pre_tokenize_str(r.text))
+    assert {r.piece: r.n for r in tokens.piece_counts(spark, sf).collect()} == want
+    tok = Tokenizer.from_str(tokens.vocabulary())
+    ids = {r.doc_id: [tokens.BOS, *tok.encode(r.text, add_special_tokens=False).ids] for r in docs}
+    digest = lambda x: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha) for r in tokens.encoded_docs(spark, sf).collect()} == {i: (len(x), digest(x)) for i, x in ids.items()}

@@ -1,14 +1,19 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics, windows
 
 
-@pytest.mark.parametrize("n,ctx,stride", [(2, 8, 4), (8, 8, 4), (9, 8, 4), (50, 8, 4), (50, 8, 7), (51, 16, 5), (1, 8, 4), (0, 8, 4)])
-def test_spans_score_each_target_once(spark, n, ctx, stride):
-    rows = windows.scoring_spans(spark.createDataFrame([(n,)], "n_tokens long"), ctx, stride).orderBy("begin").collect()
-    assert [t for r in rows for t in range(r["first"], r.end)] == list(range(1, n))
-    assert all(r.end - r.begin <= ctx and r["first"] > r.begin for r in rows)
+def test_spans_score_each_target_once(spark):
+    """Random lengths, windows and strides, and texts too short for one target."""
+    rng = random.Random(8)
+    for n, ctx in [(0, 6), (1, 6), (2, 6), *((rng.randrange(3, 90), rng.randrange(2, 20)) for _ in range(7))]:
+        stride = rng.randrange(1, ctx)
+        rows = windows.scoring_spans(spark.createDataFrame([(n,)], "n_tokens long"), ctx, stride).orderBy("begin").collect()
+        assert [t for r in rows for t in range(r["first"], r.end)] == list(range(1, n))
+        assert all(r.end - r.begin <= ctx and r["first"] > r.begin for r in rows)
 
 
 def test_spans_refuse_bad_strides(spark):
@@ -17,11 +22,14 @@ def test_spans_refuse_bad_strides(spark):
 
 
 def test_val_windows(spark):
-    df = spark.createDataFrame([("a", list(range(10, 20))), ("b", [1]), ("c", [])], "s string, tokens array<int>")
-    rows = windows.val_windows(df, 4).orderBy("start").collect()
+    df = spark.createDataFrame([("a", 0, list(range(10, 20))), ("b", 0, [1]), ("c", 0, []), ("a", 1, [7, 8, 9])], "s string, k int, tokens array<int>")
+    rows = windows.val_windows(df.where("k = 0"), 4).orderBy("start").collect()
     assert [(r.start, r.x, r.y) for r in rows] == [(0, [10, 11, 12, 13], [11, 12, 13, 14]), (4, [14, 15, 16, 17], [15, 16, 17, 18]), (8, [18, 2, 2, 2], [19, -100, -100, -100])]
-    batches = windows.val_batches(windows.val_windows(df, 4), ["s"], ["start"], 2, 4).orderBy("batch", "row").collect()
-    assert [(r.batch, r.row) for r in batches] == [(0, 0), (0, 1), (1, 0), (1, 1)] and set(batches[-1].y) == {-100}
+    # Three windows of one shard and one of the next fill two batches; without the latter the last is filled up.
+    batches = lambda of: windows.val_batches(windows.val_windows(of, 4), ["s"], ["k"], 2, 4).orderBy("batch", "row").collect()
+    both = batches(df)
+    assert [(r.batch, r.row) for r in both] == [(0, 0), (0, 1), (1, 0), (1, 1)] and both[-1].x == [7, 8, 2, 2]
+    assert len(batches(df.where("k = 0"))) == 4 and set(batches(df.where("k = 0"))[-1].y) == {-100}
 
 
 def test_pages(spark):
@@ -48,12 +56,14 @@ def test_log(spark):
     log = metrics.parse_log(spark.createDataFrame(list(enumerate(lines)), "ord int, line string"))
     assert {(r.step, r.loss, r.val_bpb) for r in log.collect()} == {(1, 9.0, None), (2, 2.5, 1.1)}
     assert metrics.truncate_log(log, 1).count() == 1
-    assert spark.range(1).select(metrics.ema(F.array(F.lit(1.0), F.lit(2.0)))).first()[0] == [1.0, pytest.approx(1.02)]
+    smooth = metrics.ema(spark.createDataFrame([("r", 2, 2.0), ("r", 1, 1.0)], "run string, step int, loss double"), "run", "step", "loss").orderBy("step").collect()
+    assert [r.ema for r in smooth] == [1.0, pytest.approx(1.02)]
 
 
 def test_param_counts(spark):
     from millrace.plans.metrics import param_counts
 
+    # Totals that must come out: fixed values.
     got = {r.name: (r.once, r.twice) for r in param_counts(spark, "").collect()}
     assert got["A"][0] == 49_822_215 and got["alt1"][0] == 47_195_720 and got["alt2"] == (41_433_607, 49_822_215)
     assert got["A_xsa"][0] == 49_822_327 and got["A_vres"][0] == 49_822_228 and got["alt2_vres"] == (41_433_620, 49_822_228)
@@ -86,3 +96,18 @@ def test_ties_stay_in_top_k(spark):
     df = spark.createDataFrame([(0, t, x, 0.999) for t, x in enumerate([5.0, 4.0, 4.0, 1.0])], "g int, token int, logit double, u double")
     assert metrics.top_k_sample(df, ["g"], 2, 1.0).first().token == 2
     assert metrics.top_k_sample(df, ["g"], 2, 0).first().token == 0
+
+
+def test_rate_factor_is_a_trapezoid(spark):
+    df = spark.range(100).withColumnRenamed("id", "step")
+    get = lambda up, down: [r[0] for r in df.orderBy("step").select(metrics.rate_factor(F.col("step"), F.lit(100), F.lit(up), F.lit(down))).collect()]
+    both = get(0.1, 0.3)
+    assert both[:10] == [pytest.approx((i + 1) / 10) for i in range(10)] and set(both[10:71]) == {1.0} and both[-1] == 0.0 and both[71] == pytest.approx(28 / 29)
+    assert set(get(0.0, 0.0)) == {1.0} and get(0.0, 0.01)[-2:] == [1.0, 0.0]
+
+
+def test_deltas_need_one_baseline(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "run string, x double")
+    assert sorted(tuple(r) for r in metrics.deltas(rows, "run", "a", ["x"]).collect()) == [("a", 0.0), ("b", 2.0)]
+    with pytest.raises(Exception, match="one row"):
+        metrics.deltas(rows, "run", "c", ["x"]).collect()
