@@ -318,7 +318,8 @@ def _blocks(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """
     per = members.groupBy("key", "comp").agg(F.sum(weight).alias("w")).withColumn("big", F.col("w") >= limit)
     shared = per.where("NOT big").groupBy("key").agg(F.ceil(F.sum("w") / limit).alias("parts"))
-    per = per.join(shared, "key", "left").withColumn("parts", F.when(F.col("big"), F.ceil(F.col("w") / limit)).otherwise(F.col("parts")))
+    # Buckets with many components have as many rows here: what is known of a bucket goes to them, not they to it.
+    per = per.join(_few(shared), "key", "left").withColumn("parts", F.when(F.col("big"), F.ceil(F.col("w") / limit)).otherwise(F.col("parts")))
     per = cut(per.select("key", "comp", "big", "parts"))
     owner, block = F.when(F.col("big"), F.col("comp")), F.xxhash64("big", "owner", "part")
     labels = per.select("key", "big", owner.alias("owner"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).distinct()
