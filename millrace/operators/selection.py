@@ -89,8 +89,9 @@ def exhausted(docs: DataFrame, budgets: dict[str, int], by: list[str]) -> DataFr
     return docs.groupBy(*by).agg((~over).alias("exhausted"))
 
 
-def sample_bytes(docs: DataFrame, n_bytes: int, source: list[str], file: str, order: list[str], batch_rows: int = 1024) -> DataFrame:
-    """Whole scan batches, file by file, while the bytes of the source's batches before are below ``n_bytes``.
+def sample_bytes(docs: DataFrame, n_bytes: int | DataFrame, source: list[str], file: str, order: list[str], batch_rows: int = 1024) -> DataFrame:
+    """Whole scan batches, file by file, while the bytes of the source's batches before are below ``n_bytes``: one budget
+    for every source, or a table (source, n_bytes) as a mix of sources gives them; a source that it lacks gives no rows.
 
     Batches are ``batch_rows`` rows of a file before any filter. Their sizes are summed first, so the window over a
     source has one row a batch, and only batch numbers are joined back.
@@ -99,5 +100,6 @@ def sample_bytes(docs: DataFrame, n_bytes: int, source: list[str], file: str, or
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     tagged = docs.withColumn("batch", F.floor(place / batch_rows).cast("long"))
     sizes = tagged.groupBy(*by, "batch").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("_bytes"))
-    chosen = sizes.withColumn("_before", prefix_sum("_bytes", source, [file, "batch"])).where(F.col("_before") < n_bytes)
+    sizes = sizes.withColumn("_before", prefix_sum("_bytes", source, [file, "batch"]))
+    chosen = sizes.where(F.col("_before") < n_bytes) if isinstance(n_bytes, int) else sizes.join(n_bytes, source).where(F.col("_before") < F.col("n_bytes"))
     return tagged.join(chosen.select(*by, "batch"), [*by, "batch"], "left_semi")

@@ -10,7 +10,7 @@ from millrace.operators import layout, selection
 from millrace.session import table
 
 SHARD_TOKENS, BUDGET_TOKENS, BUDGET_BYTES = 5000, 9000, 80_000
-SAMPLE_BYTES, BATCH_ROWS = 100_000, 8
+SAMPLE_BYTES, MIX_BYTES, BATCH_ROWS = 100_000, 700, 8
 HQ_FILES, SPLIT_TARGET = 6, 12_000
 VAL_TOKENS = 60_000
 #: The tables have no files: so many ids of a source stand in for one, which bounds whatever runs file by file.
@@ -54,6 +54,13 @@ def byte_sample(spark: SparkSession, d: str) -> DataFrame:
     return selection.sample_bytes(_docs(spark, d), SAMPLE_BYTES, ["source"], "file_idx", ["doc_id"], BATCH_ROWS).select("doc_id", "batch")
 
 
+def mix_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample for a tokenizer: each source in proportion to its documents, ``MIX_BYTES`` for each of them."""
+    docs = _docs(spark, d)
+    budgets = docs.groupBy("source").agg((F.count(F.lit(1)) * MIX_BYTES).alias("n_bytes"))
+    return selection.sample_bytes(docs, budgets, ["source"], "file_idx", ["doc_id"], BATCH_ROWS).select("doc_id", "source", "batch")
+
+
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """(source, file_idx, doc_id, n_tokens, part, n_bytes) of every document."""
     docs = _docs(spark, d).select(*FILE, "doc_id", "n_tokens", "n_bytes")
@@ -134,7 +141,7 @@ _ALL = f"WITH RECURSIVE {_DOCS}, {_PACK}, {_ENTRY}"
 
 QUERIES = {
     f.__name__: f
-    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota, random_windows, shuffled_files, split_sharing)
+    for f in (select_scored_docs, file_splits, list_source_files, budget_cut, budget_exhausted, byte_sample, mix_sample, packed_shards, manifest_entries, manifest_check, source_progress, job_plan, val_quota, random_windows, shuffled_files, split_sharing)
 }
 ORACLE_SQL = {
     "select_scored_docs": "SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND length(text) > 0",
@@ -150,6 +157,11 @@ SELECT doc_id, source, n_tokens, n_bytes FROM s WHERE t < {BUDGET_TOKENS} AND b
 s AS (SELECT source, file_idx, batch, sum(n_bytes) AS b FROM t GROUP BY ALL),
 p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source ORDER BY file_idx, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
 SELECT doc_id, batch FROM t JOIN p USING (source, file_idx, batch) WHERE before < {SAMPLE_BYTES}""",
+    "mix_sample": f"""WITH {_DOCS}, t AS (SELECT *, (row_number() OVER (PARTITION BY source, file_idx ORDER BY doc_id) - 1) // {BATCH_ROWS} AS batch FROM docs),
+s AS (SELECT source, file_idx, batch, sum(n_bytes) AS b FROM t GROUP BY ALL),
+p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source ORDER BY file_idx, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+q AS (SELECT source, count(*) * {MIX_BYTES} AS budget FROM docs GROUP BY source)
+SELECT doc_id, source, batch FROM t JOIN p USING (source, file_idx, batch) JOIN q USING (source) WHERE before < budget""",
     "packed_shards": f"WITH RECURSIVE {_DOCS}, {_PACK} SELECT doc_id, source, file_idx, part FROM fold",
     "manifest_entries": f"{_ALL} SELECT * FROM entries",
     "manifest_check": f"""{_ALL}, t AS (SELECT source, split, count(*) AS n_shards, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM entries GROUP BY ALL)
