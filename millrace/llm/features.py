@@ -97,8 +97,8 @@ def sample(docs: DataFrame, chosen: DataFrame, make: Callable[[], Extract], rows
 
     texts = sampled(docs, chosen, rows).select("doc_id", "text", F.col(label).cast("int").alias("label"))
     found = texts.mapInArrow(run, "doc_id long, indices binary, label int").collect()
-    plain = [(r[0], np.frombuffer(bytes(r[1]), "<u4").astype(np.int64), r[2]) for r in found]
-    return sorted(plain, key=lambda r: (r[0], r[2], r[1].tobytes()))
+    found.sort(key=lambda r: (r[0], r[2], xxhash.xxh3_64_intdigest(r[1])))
+    return [(r[0], np.frombuffer(r[1], "<u4"), r[2]) for r in found]
 
 
 def score(docs: DataFrame, make: Callable[[], Extract], held: object, probability: Callable[[object, np.ndarray, np.ndarray, int], np.ndarray], held_out: Column, cut: float) -> DataFrame:

@@ -92,8 +92,10 @@ def apart(rows: list[np.ndarray], hashes: int = 8, shared: int = 4) -> list[np.n
 
 def evidence(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Each indicator's scale: its log ratio of positive to unlabelled frequency, 0 unless that stands well above chance."""
-    p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+    p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for total, rows in ((p, positive), (u, unlabelled)):
+        for r in rows:  # a row has each indicator once
+            total[r] += 1
     expected = len(positive) * (u + 1) / (len(unlabelled) + 1)
     ratio = np.log((p + 0.5) / (len(positive) + 1)) - np.log((u + 0.5) / (len(unlabelled) + 1))
     return np.where((p >= LEAST) & ((p - expected) / np.sqrt(expected + 1) >= Z), np.maximum(ratio, 0), 0)
@@ -106,13 +108,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         return np.zeros(1 << BITS, np.float32), -30.0
     rows, n = positive + unlabelled, len(positive)
     scale = evidence(positive, unlabelled)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    index = np.concatenate(rows)
     used = np.flatnonzero(scale)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    live = place[index] >= 0
-    doc, index = doc[live], place[index[live]]
+    # Row by row, so that only indicators with some weight are ever side by side.
+    live = [own[own >= 0] for own in (place[r] for r in rows)]
+    doc, index = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in live]), np.concatenate(live)
     x = scale[used][index]
     w, b = np.zeros(len(used)), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
