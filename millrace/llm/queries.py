@@ -1,4 +1,4 @@
-"""The ten operators' queries over whole tables, and their SQL where SQL can express them."""
+"""The operators' queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, pii, progressive, quality_rules, sharding
+from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, phrases, pii, progressive, quality_rules, sharding, spelling
 from millrace.session import table
 
 SMALL_SHARD = 64 << 10
@@ -60,6 +60,14 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_nnpu,
         op9_extendible_sharding,
         op10_bm25_packing,
+        op11_spelling_variants,
+        op13_phrase_collocations,
         sharding_by_64_kib,
     )
 }
@@ -80,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_stupid_backoff": backoff.ORACLE_SQL,
     "op9_extendible_sharding": sharding.oracle_sql(sharding.LIMIT_BYTES),
+    "op13_phrase_collocations": phrases.ORACLE_SQL,
     "sharding_by_64_kib": sharding.oracle_sql(SMALL_SHARD),
 }

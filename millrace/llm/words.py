@@ -10,7 +10,7 @@ import xxhash
 
 from millrace.functions.wordhash import hashes, mix
 
-__all__ = ["Memo", "groups", "hash_memo", "hashes", "mix", "offsets", "split", "step", "text_batches", "windows", "within"]
+__all__ = ["Memo", "groups", "hash_memo", "hashes", "mix", "offsets", "powers", "ranges", "split", "step", "text_batches", "windows", "within"]
 
 #: A window's hash is a sum of its words' 64-bit hashes times these odd factors, then mixed.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -66,6 +66,30 @@ def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return mix(total), at, n
 
 
+#: A polynomial of bytes modulo 2 ** 64: its base, and what undoes it.
+BASE = 0x9E3779B97F4A7C15
+_BACK = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; up to a length, the longest array so far is kept."""
+    if len(known.get(base, ())) >= n:
+        return known[base][:n]
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    out = np.cumprod(out)
+    if n <= 1 << 23:
+        known[base] = out
+    return out
+
+
+def ranges(data: bytes | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges start[i] .. end[i] - 1: equal ranges have equal ones."""
+    raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)))])
+    return mix((total[end] - total[start]) * powers(_BACK, len(raw) + 1)[start])
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20):
     """Slices of the batches with at most ``max_bytes`` of text (or one row), and their texts' UTF-8 bytes."""
     for batch in batches:
