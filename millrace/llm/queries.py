@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, phrases, pii, progressive, quality_rules, sharding, spelling
+from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, phrases, pii, progressive, quality_rules, sharding, spelling, substrings
 from millrace.session import table
 
 SMALL_SHARD = 64 << 10
@@ -64,6 +64,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_extendible_sharding,
         op10_bm25_packing,
         op11_spelling_variants,
+        op12_suffix_dedup,
         op13_phrase_collocations,
         sharding_by_64_kib,
     )
