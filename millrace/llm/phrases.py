@@ -35,7 +35,7 @@ from millrace.session import cut
 
 LONGEST, LEAST, SCALE, TOP = 4, 30, 2_000_000, 2000
 INSIDE = 80  # per cent of a phrase's occurrences
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 UNKNOWN = "und"
 _SPACE, _ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)

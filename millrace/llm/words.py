@@ -69,6 +69,7 @@ def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 #: A polynomial of bytes modulo 2 ** 64: its base, and what undoes it.
 BASE = 0x9E3779B97F4A7C15
 _BACK = pow(BASE, -1, 1 << 64)
+BLOCK = 1 << 19
 
 
 def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -84,8 +85,16 @@ def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:
 
 
 def ranges(data: bytes | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges start[i] .. end[i] - 1: equal ranges have equal ones."""
+    """Hashes of the byte ranges start[i] .. end[i] - 1, which come in order and apart: equal ranges have equal ones."""
     raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    if len(raw) > 2 * BLOCK:  # block by block, in little memory; the ranges come in order
+        edge = np.searchsorted(start, np.arange(0, len(raw) + BLOCK, BLOCK))
+        parts = [(start[a:b], end[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True) if a < b]
+        return np.concatenate([np.zeros(0, np.uint64), *(_ranges(raw[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in parts)])
+    return _ranges(raw, start, end)
+
+
+def _ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)))])
     return mix((total[end] - total[start]) * powers(_BACK, len(raw) + 1)[start])
 
