@@ -1,7 +1,9 @@
 """PII pseudonyms and sharding."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import pii, sharding
@@ -87,6 +89,25 @@ def test_secrets_to_their_end(spark):
         assert len(got._pii) == 1 and len(got.text) == len(text) and got.text.rstrip('="') != text.rstrip('="') and got.text[-8:-4] != text[-8:-4]
 
 
+@pytest.mark.parametrize(
+    "value,kind,found",
+    [
+        ("x@" + "a." * 5000 + "com", "email", 0), ("x@" + "a." * 2000 + "1 end", "email", 0), ("x@" + "a." * 100_000 + "com", "email", 0), ("joe.public@" + "sub." * 100 + "example.com", "email", 1),
+        ("joe.public@" + "ab." * 100_000 + "com", "email", 1), ("@" * 500_000, "email", 0), ("a@b." * 100_000, "email", 0), ("token=" + "Ab1" * 333_333, "secret", 1), ("1234 5678 " * 100_000, "card", None),
+        ("4111 1111 1111 1111 " * 20_000, "card", 20_000), ("7" * 1_000_000, "card", 0), ("+" * 200_000, "phone", 0), ("1.2.3." * 50_000, "ipv4", None), ("12-34-" * 50_000, "date", None),
+    ],
+)
+def test_long_values(spark, value, kind, found):
+    """Values without end exhaust no stack and take time in proportion."""
+    began = time.monotonic()
+    (r,) = pii.pseudonymise(spark.createDataFrame([(1, f"see {value} there")], "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 60
+    assert len(r.text) == len(value) + 10
+    own = [f for f in r._pii if f.kind == kind]
+    assert found is None or len(own) == found
+    assert all(f.pseudonym != f.value for f in own) and (not own or value not in r.text)
+
+
 def test_clashing_columns_pass_through(spark):
     docs = spark.createDataFrame([("10.2.3.4", 1, 2, 3)], "text string, _pii int, _found int, _matches int")
     out = pii.pseudonymise(docs)
