@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +44,17 @@ class Build:
         return f"{self.out}/results"
 
 
-def reasons(docs: DataFrame, source: Source, build: Build, key: str) -> DataFrame:
+def reasons(docs: DataFrame, source: Source, build: Build) -> DataFrame:
     """Drop reasons as a source wants them: titles only where it has them, n-grams everywhere."""
-    return overlap.drop_reasons(docs, build.grams, build.titles if source.title_col else None, key)
+    return overlap.drop_reasons(docs, build.grams, build.titles if source.title_col else None)
 
 
 def results(spark: SparkSession, build: Build) -> DataFrame:
     """What is done; an empty table before the first round."""
     try:
         return spark.read.schema(RESULT).parquet(build.results_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], RESULT)
         raise
 
@@ -69,7 +70,7 @@ def run_jobs(spark: SparkSession, source: Source, jobs: DataFrame, build: Build,
     files = [r.file for r in wanted]
     scan = selection.read_source(spark, Source(source.name, files, source.text_col, source.min_int_score, source.title_col))
     rows = selection.select_docs(scan, source.min_int_score).withColumn("_place", F.concat_ws("#", "file", "row"))
-    rows = reasons(rows, source, build, "_place").join(overlap.small(jobs), "file")
+    rows = reasons(rows, source, build).join(overlap.small(jobs), "file")
     kept = F.col("reason").isNull()
     rows = rows.withColumn("ids", F.when(kept, build.encode(F.when(kept, F.col("text")))))
     rows = rows.withColumn("n_bytes", F.when(kept, F.octet_length("text")).otherwise(0).cast("long"))

@@ -1,9 +1,10 @@
 """Overlap of a corpus with evaluation text by word 13-grams, and drop reasons.
 
-One Arrow pass over the documents does the whole search: words are hashed in numpy, a window is looked at only if
-all its words occur in some reference gram, its hash is sought among the grams' sorted hashes, and a hit is
-confirmed on the words themselves, so a collision cannot flag a document. Only hits leave the pass, and nothing is
-shuffled. The grams are broadcast in slices of at most ``SLICE``, one pass each, so their memory is bounded.
+One Arrow pass over the documents does the whole search, however many grams there are: words are hashed in numpy, a
+window is looked at only if a Bloom filter may hold each of its words, and another one its hash. Both filters are
+bounded in size and never lose a gram. The few windows that pass leave as text and are joined to the table of
+grams, which is never collected, so neither a false hit of a filter nor a collision of hashes can flag a document.
+A flag belongs to a text, so null and repeated keys flag and are flagged each by its own text.
 """
 
 from __future__ import annotations
@@ -13,19 +14,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import bloom, wordhash
 from millrace.functions import text as T
-from millrace.functions import wordhash
-from millrace.session import cut
+from millrace.session import cut, fresh
 
-#: Reference grams in one broadcast: some 100 MB with their strings.
-SLICE = 500_000
 #: Rows up to which a narrow table is broadcast.
 SMALL = 200_000
-#: Bytes of reference text that are joined into one stream, in one task.
-STREAM = 1 << 30
 #: Bytes of text that are hashed at once.
 BATCH = 4 << 20
 
@@ -37,14 +35,40 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def stream_grams(reference: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """Distinct grams of all reference texts joined in order, so they cross text boundaries.
+    """Distinct grams of all reference texts in order, as one stream of words: they cross text boundaries, and rows without a
+    word do not interrupt them.
 
-    The reference becomes one row, so more than ``STREAM`` bytes of it are an error.
+    Rows are dealt by ranges of the order. A task makes the grams that lie in its range, and tells the first and the last
+    ``GRAM - 1`` words of it; from these, one row a task, come the grams that cross from range to range.
     """
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
-    fits = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) <= STREAM
-    whole = reference.agg(F.when(fits, joined).otherwise(F.raise_error(F.lit("the reference is too long for one stream"))).alias("text"))
-    return whole.select(F.explode(F.array_distinct(T.ngrams(T.words("text")))).alias("gram"))
+    edge = T.GRAM - 1
+    spread = reference.select(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("o", "t").sortWithinPartitions("o", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, head, tail = TaskContext.get().partitionId(), [], []
+        for batch in batches:
+            grams = set()
+            for own in batch.column("w").to_pylist():
+                head += own[: edge - len(head)]
+                flow = tail + own
+                grams.update(" ".join(flow[i : i + T.GRAM]) for i in range(len(flow) - edge))
+                tail = flow[-edge:]
+            yield pa.RecordBatch.from_pydict({"part": [part] * len(grams), "gram": list(grams), "head": [None] * len(grams), "tail": [None] * len(grams)}, schema=shape)
+        yield pa.RecordBatch.from_pydict({"part": [part], "gram": [None], "head": [head], "tail": [tail]}, schema=shape)
+
+    shape = pa.schema([("part", pa.int32()), ("gram", pa.string()), ("head", pa.list_(pa.string())), ("tail", pa.list_(pa.string()))])
+    found = cut(spread.select(T.words("t").alias("w")).mapInArrow(run, "part int, gram string, head array<string>, tail array<string>"))
+
+    # One row a task: the words before each range are folded, as a range may have fewer than a gram needs.
+    ends = found.where("gram IS NULL").agg(F.array_sort(F.collect_list(F.struct("part", "head", "tail"))).alias("ends"))
+    last = lambda ws: F.slice(ws, F.greatest(F.size(ws) - (edge - 1), F.lit(1)), F.lit(edge))
+    none = F.array().cast("array<string>")
+
+    def join(state, end):
+        return F.struct(last(F.concat(state["before"], end["tail"])).alias("before"), F.concat(state["out"], T.ngrams(F.concat(state["before"], end["head"]))).alias("out"))
+
+    across = ends.select(F.explode(F.aggregate("ends", F.struct(none.alias("before"), none.alias("out")), join, lambda s: s["out"])).alias("gram"))
+    return found.where("gram IS NOT NULL").select("gram").unionByName(across).distinct()
 
 
 def item_grams(items: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -56,78 +80,58 @@ def item_grams(items: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 _LETTERS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
 
-class _Search:
-    """The grams of one slice: sorted hashes of their words and of themselves, and the grams in the latter's order."""
-
-    def __init__(self, grams: list[bytes]):
-        h, off = wordhash.hashes(grams)
-        self.words = np.unique(h)
-        self.marks = np.zeros(1 << 22, bool)
-        self.marks[(self.words >> np.uint64(42)).astype(np.int64)] = True
-        whole = self._windows(h, off[:-1])
-        order = np.argsort(whole, kind="stable")
-        self.hashes, self.grams = whole[order], [grams[i] for i in order]
-
-    @staticmethod
-    def _windows(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """A hash of the ``GRAM`` words from each place on, that depends on their order."""
-        total = np.zeros(len(first), np.uint64)
-        for j in range(T.GRAM):
-            total = wordhash.mix(total + h[first + j])
-        return total
-
-    def hits(self, texts: list[str]) -> tuple[list[int], list[bytes]]:
-        """Texts, by place, and the distinct grams that they hold."""
-        data = [t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts]
-        whole = b" ".join(data)
-        h, start, end = wordhash.located(whole)
-        known = self.marks[(h >> np.uint64(42)).astype(np.int64)]
-        some = np.flatnonzero(known)
-        if not len(some):
-            return [], []
-        at = np.minimum(np.searchsorted(self.words, h[some]), len(self.words) - 1)
-        known[some] = self.words[at] == h[some]
-        run = np.concatenate([[0], np.cumsum(known)])
-        first = np.flatnonzero(run[T.GRAM :] - run[: -T.GRAM] == T.GRAM)
-        doc = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), start, side="right")
-        first = first[doc[first] == doc[first + T.GRAM - 1]] if len(first) else first
-        found = self._windows(h, first)
-        place = np.searchsorted(self.hashes, found)
-        place[place == len(self.hashes)] = 0
-        right = self.hashes[place] == found
-        pairs = set()
-        for i, p in zip(first[right].tolist(), place[right].tolist(), strict=True):
-            gram = b" ".join(whole[a:b] for a, b in zip(start[i : i + T.GRAM].tolist(), end[i : i + T.GRAM].tolist(), strict=True))
-            same = self.hashes[p]
-            while p < len(self.grams) and self.hashes[p] == same and self.grams[p] != gram:
-                p += 1
-            if p < len(self.grams) and self.grams[p] == gram:
-                pairs.add((int(doc[i]), gram))
-        ordered = sorted(pairs)
-        return [d for d, _ in ordered], [g for _, g in ordered]
+def _windows(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` words from each place on, that depends on their order."""
+    total = np.zeros(len(first), np.uint64)
+    for j in range(T.GRAM):
+        total = wordhash.mix(total + h[first + j])
+    return total
+
+
+def _gram_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each gram its hash, and those of its words."""
+    for batch in batches:
+        h, off = wordhash.hashes([g.encode() for g in batch.column("gram").to_pylist()])
+        whole = _windows(h, off[:-1][np.diff(off) == T.GRAM])
+        every = np.unique(h)
+        kind = np.repeat([True, False], [len(whole), len(every)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([whole, every]).view(np.int64))], names=["whole", "h"])
+
+
+def _hits(texts: list[str], known: bloom.Bloom, grams: bloom.Bloom) -> tuple[list[int], list[str]]:
+    """Texts, by place, and the distinct windows of theirs that may be grams."""
+    data = [t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts]
+    whole = b" ".join(data)
+    h, start, end = wordhash.located(whole)
+    run = np.concatenate([[0], np.cumsum(known.holds(h))])
+    first = np.flatnonzero(run[T.GRAM :] - run[: -T.GRAM] == T.GRAM)
+    if not len(first):
+        return [], []
+    doc = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), start, side="right")
+    first = first[doc[first] == doc[first + T.GRAM - 1]]
+    first = first[grams.holds(_windows(h, first))]
+    pairs = {(int(doc[i]), b" ".join(whole[a:b] for a, b in zip(start[i : i + T.GRAM].tolist(), end[i : i + T.GRAM].tolist(), strict=True))) for i in first.tolist()}
+    ordered = sorted(pairs)
+    return [d for d, _ in ordered], [g.decode() for _, g in ordered]
 
 
 def matches(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (key, gram) for every reference gram that a document contains; computed once."""
+    """Distinct (key, gram) for every reference gram that a document contains; computed once. Null keys are kept."""
     spark = docs.sparkSession
     wanted = cut(grams.select("gram").where("gram IS NOT NULL").distinct())
-    slices = max(1, -(-wanted.count() // SLICE))
+    n = wanted.count()
+    hashes = cut(wanted.mapInArrow(_gram_hashes, "whole boolean, h long").distinct())
+    held = spark.sparkContext.broadcast((bloom.build(hashes.where("NOT whole"), "h", hashes.where("NOT whole").count()), bloom.build(hashes.where("whole"), "h", n)))
     slim = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = slim.schema[key].dataType.simpleString()
-    found = []
-    for i in range(slices):
-        own = wanted.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i).toArrow().column("gram").to_pylist()
-        held = spark.sparkContext.broadcast([g.encode() for g in own])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            search = _Search(held.value) if held.value else None
-            for batch in batches if search else ():
-                for part in _cuts(batch):
-                    doc, gram = search.hits(part.column("_text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(doc, pa.int64())), pa.array([g.decode() for g in gram], pa.string())], names=[key, "gram"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _cuts(batch):
+                doc, gram = _hits(part.column("_text").to_pylist(), *held.value)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(doc, pa.int64())), pa.array(gram, pa.string())], names=[key, "gram"])
 
-        found.append(slim.mapInArrow(run, f"`{key}` {kind}, gram string"))
-    return cut(reduce(DataFrame.unionByName, found).distinct())
+    return cut(slim.mapInArrow(run, f"`{key}` {kind}, gram string").join(wanted, "gram").select(key, "gram").distinct())
 
 
 def _cuts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -141,10 +145,17 @@ def _cuts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def flags(docs: DataFrame, grams: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each document with ``flagged``: whether it contains a reference gram."""
-    hit = matches(docs, grams, key).select(key).distinct().withColumn("_hit", F.lit(True))
-    return docs.join(small(hit), key, "left").withColumn("flagged", F.coalesce("_hit", F.lit(False))).drop("_hit")
+def _hit(docs: DataFrame, grams: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``_hit``: whether the text contains a reference gram."""
+    name = fresh(docs, "_digest")
+    marked = docs.withColumn(name, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    hit = matches(marked, grams, name, text).select(name).distinct().withColumn("_hit", F.lit(True))
+    return marked.join(small(hit), name, "left").drop(name).withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+
+
+def flags(docs: DataFrame, grams: DataFrame, text: str = "text") -> DataFrame:
+    """Each document with ``flagged``: whether its text contains a reference gram."""
+    return _hit(docs, grams, text).withColumnRenamed("_hit", "flagged")
 
 
 def scan_totals(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -187,18 +198,16 @@ def item_report(items: DataFrame, found: DataFrame, bench: str = "bench", item:
     return out.withColumn("frac_ngrams_matched", F.col("n_matched_ngrams") / F.greatest("n_ngrams", F.lit(1))).withColumn("frac_items_hit", F.col("n_items_hit") / F.greatest("n_items", F.lit(1)))
 
 
-def drop_reasons(docs: DataFrame, grams: DataFrame | None, titles: DataFrame | None, key: str = "doc_id", title: str = "title") -> DataFrame:
+def drop_reasons(docs: DataFrame, grams: DataFrame | None, titles: DataFrame | None, title: str = "title", text: str = "text") -> DataFrame:
     """Each document with ``reason``: "title" if its title is a known one, else "ngram" if it holds a known
-    gram, else null. The cheap title test runs first; only its survivors are scanned for grams.
+    gram, else null. Titles are keyed once; the scan for grams reads ids and texts alone.
     """
-    out = docs.withColumn("reason", F.lit(None).cast("string"))
+    out = docs.withColumn("_hit", F.lit(False)) if grams is None else _hit(docs, grams, text)
+    out = out.withColumn("reason", F.when(F.col("_hit"), F.lit("ngram"))).drop("_hit")
     if titles is not None:
         known = titles.select(T.title_key("title").alias("_key")).distinct().withColumn("_known", F.lit(True))
         out = out.withColumn("_key", T.title_key(F.coalesce(F.col(title), F.lit("")))).join(small(known), "_key", "left")
-        out = out.withColumn("reason", F.when(F.col("_known"), F.lit("title"))).drop("_key", "_known")
-    if grams is not None:
-        hit = matches(out.where("reason IS NULL"), grams, key).select(key).distinct().withColumn("_hit", F.lit(True))
-        out = out.join(small(hit), key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_hit"), F.lit("ngram")))).drop("_hit")
+        out = out.withColumn("reason", F.when(F.col("_known"), F.lit("title")).otherwise(F.col("reason"))).drop("_key", "_known")
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of a known schema; a path without files gives an empty table."""
     try:
         return spark.read.schema(schema).option("ignoreMissingFiles", "true").json(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.overlap import matches, small
+from millrace.operators.overlap import flags
 from millrace.operators.selection import select_docs
 
 
@@ -20,7 +20,7 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, schema:
     def batch(rows: DataFrame, number: int) -> None:
         docs = select_docs(rows).withColumn("n_bytes", F.octet_length("text").cast("long"))
         if grams is not None:
-            docs = docs.join(small(matches(docs, grams).select("doc_id").distinct()), "doc_id", "left_anti")
+            docs = flags(docs, grams).where("NOT flagged").drop("flagged")
         # A batch that is run again after a failure replaces its own folder.
         docs.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
