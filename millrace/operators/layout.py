@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
 from millrace.operators.selection import prefix_sum
 
 
 def pack_shards(docs: DataFrame, limit: int, by: list[str], order: str, size: str = "n_tokens", also: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with ``part``: rows fill a shard in order, and a shard closes once it reaches ``limit``.
-
-    The sum restarts at each close, which no window can say, so each file (``by``) is folded by itself; a row
-    never straddles shards. Only keys, sizes and the columns ``also`` go to Python, texts do not.
+    """Each row with ``part``: rows fill a shard in order, and a shard closes once it reaches ``limit``; a row never straddles
+    shards. A file (``by``) of any length is folded over many tasks; only keys, sizes and the columns ``also`` take part.
     """
-
-    slim = docs.select(*by, order, size, *also)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", part int"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        total = np.cumsum(frame[size].to_numpy(np.int64))
-        closes, done = [], 0
-        while done < len(total):  # one step a shard: the first row at which the running sum has grown by the limit
-            done = int(np.searchsorted(total, (total[done - 1] if done else 0) + limit)) + 1
-            closes.append(done)
-        return frame.assign(part=np.searchsorted(closes, np.arange(len(total)), side="right").astype(np.int32))
-
-    return slim.groupBy(*by).applyInPandas(fold, kind)
+    return scan.fold(docs.select(*by, order, size, *also), size, limit, by, [order])
 
 
 def shard_totals(packed: DataFrame, by: list[str], size: str = "n_tokens", dropped: DataFrame | None = None) -> DataFrame:

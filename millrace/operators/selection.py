@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
+from millrace.session import fresh
+
 
 @dataclass(frozen=True)
 class Source:
@@ -61,7 +64,7 @@ def split_files(files: DataFrame, hq_files: int, by: str = "source", path: str =
 
 
 def prefix_sum(value: Column | str, by: list[str], order: list[str]) -> Column:
-    """The sum of the rows before this one."""
+    """The sum of the rows before this one, by a window: for groups of few rows, as of a manifest. ``scan.prefix_sums`` takes any."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(w), F.lit(0))
 
@@ -69,15 +72,15 @@ def prefix_sum(value: Column | str, by: list[str], order: list[str]) -> Column:
 def cut_budget(docs: DataFrame, budgets: dict[str, int], by: list[str], order: list[str], kept: Column | None = None) -> DataFrame:
     """Rows up to a budget: a row stays while the totals before it are below every budget.
 
-    Rows that ``kept`` refuses add nothing to the totals; they stay, for accounting, up to the cut. The
-    window is per file or source, so its partitions are bounded by the input's own split.
+    Rows that ``kept`` refuses add nothing to the totals; they stay, for accounting, up to the cut. Totals run over groups of
+    any size, in blocks; pass rows without their texts.
     """
     kept = F.lit(True) if kept is None else kept
-    out = docs
-    for i, (column, budget) in enumerate(budgets.items()):
-        out = out.withColumn(f"_before{i}", prefix_sum(F.when(kept, F.col(column)).otherwise(0), by, order))
-        out = out.where(F.col(f"_before{i}") < budget)
-    return out.drop(*[f"_before{i}" for i in range(len(budgets))])
+    before = {fresh(docs, f"_before{i}"): F.when(kept, F.col(column)).otherwise(0) for i, column in enumerate(budgets)}
+    out = scan.prefix_sums(docs, before, by, order)
+    for name, budget in zip(before, budgets.values(), strict=True):
+        out = out.where(F.col(name) < budget)
+    return out.drop(*before)
 
 
 def exhausted(docs: DataFrame, budgets: dict[str, int], by: list[str]) -> DataFrame:

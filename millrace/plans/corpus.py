@@ -43,7 +43,8 @@ def list_source_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_cut(spark: SparkSession, d: str) -> DataFrame:
-    return selection.cut_budget(_docs(spark, d), {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, FILE, ["doc_id"]).select("doc_id", "source", "n_tokens", "n_bytes")
+    slim = _docs(spark, d).drop("text")
+    return selection.cut_budget(slim, {"n_tokens": BUDGET_TOKENS, "n_bytes": BUDGET_BYTES}, FILE, ["doc_id"]).select("doc_id", "source", "n_tokens", "n_bytes")
 
 
 def budget_exhausted(spark: SparkSession, d: str) -> DataFrame:
