@@ -37,6 +37,8 @@ LONGEST, LEAST, SCALE, TOP = 4, 30, 2_000_000, 2000
 INSIDE = 80  # per cent of a phrase's occurrences
 SHARD_BYTES = 8 << 20
 UNKNOWN = "und"
+#: Bits of a hash that go to the count: fewer let more through, more take more room in the shuffle.
+COUNTED = 40
 _SPACE, _ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_SPACE)] = 1
@@ -154,15 +156,15 @@ def _hash_counts(docs: DataFrame, limit: int) -> DataFrame:
             for n, at, count in intervals(shard.ids, 2):
                 for s in range(0, len(at), 1 << 16):
                     own = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[n - 1][at[own]].view(np.int64)), pa.array(count[own])], names=["h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array((hashes[n - 1][at[own]] >> np.uint64(64 - COUNTED)).view(np.int64)), pa.array(count[own])], names=["h", "n"])
 
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _phrase_counts(docs: DataFrame, held, limit: int) -> DataFrame:
-    """(lang, size, phrase, n) a shard: words, and phrases whose pairs are all in the bitmap, and in a row without a phrase
+    """(lang, phrase, n) a shard: words, and phrases whose pairs are all in the bitmap, and in a row without a phrase
     all words."""
-    names = ["lang", "size", "phrase", "n"]
+    names = ["lang", "phrase", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches, limit):
@@ -172,7 +174,7 @@ def _phrase_counts(docs: DataFrame, held, limit: int) -> DataFrame:
             often, pair = (bitmap.holds(held.value, h) for h in _hashes(shard, lang))
             pair = np.concatenate([pair, np.zeros(LONGEST, bool)])
             text = pa.array(shard.words, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([None], pa.string()), pa.array([int((ids > 0).sum())], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int((ids > 0).sum())], pa.int64())], names=names)
             for n, at, count in intervals(ids, LONGEST):
                 ok = often[at] if n == 1 else np.all([pair[at + j] for j in range(n - 1)], axis=0)
                 at, count = at[ok], count[ok]
@@ -180,9 +182,10 @@ def _phrase_counts(docs: DataFrame, held, limit: int) -> DataFrame:
                     own = at[s : s + (1 << 15)]
                     parts = [text.take(pa.array(ids[own + j])) for j in range(n)]
                     phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(np.full(len(own), n, np.int32)), phrase, pa.array(count[s : s + (1 << 15)])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), phrase, pa.array(count[s : s + (1 << 15)])], names=names)
 
-    return docs.mapInArrow(run, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+    counts = docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return counts.select("lang", F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " "))).alias("size"), "phrase", "f")
 
 
 def frequent(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
@@ -190,7 +193,7 @@ def frequent(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     and for each language a row of size 0 with the count of all words."""
     slim = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     often = _hash_counts(slim, limit).where(F.col("n") >= LEAST)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap.gather(often, "h"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap.gather(often.select(F.shiftleft("h", 64 - COUNTED).alias("h")), "h"))
     return cut(_phrase_counts(slim, held, limit).where((F.col("f") >= LEAST) | (F.col("size") == 0)))
 
 
