@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import layout, overlap, selection
+from millrace.operators.scan import prefix_sums
 from millrace.operators.selection import Source
 from millrace.session import cut, scratch
 
@@ -80,8 +81,8 @@ def run_jobs(spark: SparkSession, source: Source, jobs: DataFrame, build: Build,
     rows.select(*keys, "ids", F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), "n_bytes", "reason").write.parquet(path)
     stored = spark.read.parquet(path)
     slim = stored.select(*keys, "n_tokens", "n_bytes", "reason")
-    before, bytes_before = selection.prefix_sum("n_tokens", ["file"], ["row"]), selection.prefix_sum("n_bytes", ["file"], ["row"])
-    cut_rows = slim.withColumn("_t", before).withColumn("_b", bytes_before).where((F.col("_t") < F.col("budget")) & (F.col("_b") < build.max_bytes))
+    sums = prefix_sums(slim, {"_t": "n_tokens", "_b": "n_bytes"}, ["file"], ["row"])
+    cut_rows = sums.where((F.col("_t") < F.col("budget")) & (F.col("_b") < build.max_bytes))
     also = ("file_idx", "split", "budget", "n_bytes", "reason")
     placed = cut(layout.pack_shards(cut_rows, limit, ["file"], "row", also=also).withColumn("source", F.lit(source.name)))
     tokens = stored.where("reason IS NULL").select("file", "row", "ids").join(placed.where("reason IS NULL").select("source", "split", "file_idx", "part", "file", "row"), ["file", "row"])

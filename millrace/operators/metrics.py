@@ -116,13 +116,13 @@ def perplexities(scored: DataFrame, by: list[str]) -> DataFrame:
 def unigram_nats(tokens: DataFrame, key: str, token: str = "token") -> DataFrame:
     """A stand-in scorer: negative log of each token's share of the corpus, summed per ``key``.
 
-    Counts are partial-aggregated. The ``HOT`` most frequent tokens are broadcast, so none of them gathers its rows in
+    Tokens are counted once, per key, and those counts give the corpus's. The ``HOT`` most frequent tokens are broadcast, so none of them gathers its rows in
     one task; the rest of the table, which grows with the corpus, is joined by a shuffle.
     """
-    table = cut(tokens.groupBy(token).agg(F.count(F.lit(1)).alias("c")))
+    per = cut(tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("tf")))
+    table = cut(per.groupBy(token).agg(F.sum("tf").alias("c")))
     total = F.broadcast(table.agg(F.sum("c").alias("total")))
     hot = F.broadcast(cut(table.orderBy(F.col("c").desc(), token).limit(HOT)))
-    per = tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("tf"))
     cold = per.join(hot.select(token), token, "left_anti").join(table, token)
     nats = -F.sum(F.col("tf") * F.log(F.col("c") / F.col("total")))
     return per.join(hot, token).unionByName(cold).crossJoin(total).groupBy(key).agg(nats.alias("nats"), F.sum("tf").alias("n_tokens"))

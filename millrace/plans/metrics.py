@@ -9,17 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import layout, metrics
 from millrace.session import table
 
-TOTAL, BASELINE = 400, 1
-#: Fixed values, published configurations: (name, vocab, d_model, n_unique_blocks, repeats, n_head, n_kv_head, mlp_hidden, xsa, value_residual).
-CONFIGS = [
-    ("A", 32768, 512, 14, 1, 8, 4, 1536, False, False),
-    ("alt1", 32768, 576, 8, 2, 9, 3, 2304, False, False),
-    ("alt2", 16384, 512, 14, 1, 8, 4, 1536, False, False),
-    ("A_xsa", 32768, 512, 14, 1, 8, 4, 1536, True, False),
-    ("A_vres", 32768, 512, 14, 1, 8, 4, 1536, False, True),
-    ("alt2_vres", 16384, 512, 14, 1, 8, 4, 1536, False, True),
-]
-CONFIG_SCHEMA = "name string, vocab int, d_model int, n_unique_blocks int, repeats int, n_head int, n_kv_head int, mlp_hidden int, xsa boolean, value_residual boolean"
+BASELINE = 1
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
@@ -68,15 +58,23 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """All steps of schedules with different warm-up and decay shares."""
-    shares = spark.createDataFrame([("both", 0.05, 0.35), ("no_warmup", 0.0, 0.5), ("no_decay", 0.1, 0.0), ("overlap", 0.8, 0.6)], "name string, warmup double, decay double")
-    steps = spark.range(TOTAL).withColumnRenamed("id", "step")
-    out = steps.crossJoin(F.broadcast(shares)).select("name", "step", F.round(metrics.rate_factor(F.col("step"), F.lit(TOTAL), F.col("warmup"), F.col("decay")), 12).alias("lr_mult"))
-    return out
+    """The rate of every logged step; a run's number gives its shares of warm-up and decay, which may be none or overlap."""
+    rows = _steps(spark, d)
+    totals = rows.groupBy("run").agg(F.count(F.lit(1)).alias("total"))
+    warmup, decay = (F.col("run") % 5).cast("double") / 10, (F.col("run") % 8).cast("double") / 10
+    out = rows.join(totals, "run").select("run", "step", metrics.rate_factor(F.col("step"), F.col("total"), warmup, decay).alias("lr_mult"))
+    return out.withColumn("lr_mult", F.round("lr_mult", 12))
 
 
 def param_counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.param_counts(spark.createDataFrame(CONFIGS, CONFIG_SCHEMA)).select("name", "once", "twice", "embedding", "non_embedding", "under_cap")
+    """Parts stand in for configurations: their numbers and sizes give vocabulary, widths, heads and flags."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    fields = {
+        "name": key.cast("string"), "vocab": (1000 + key % 30_000).cast("int"), "d_model": 64 * (1 + size % 12), "n_unique_blocks": 1 + size % 14, "repeats": (1 + key % 2).cast("int"), "n_head": 1 + size % 12,
+        "n_kv_head": 1 + size % 4, "mlp_hidden": 32 * size, "xsa": key % 3 == 0, "value_residual": key % 5 == 0,
+    }
+    configs = table(spark, d, "part").select(*(c.alias(n) for n, c in fields.items()))
+    return metrics.param_counts(configs).select("name", "once", "twice", "embedding", "non_embedding", "under_cap")
 
 
 def checkpoint_average(spark: SparkSession, d: str) -> DataFrame:
@@ -174,9 +172,9 @@ def greedy_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _S = "s AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, event_type, value AS loss FROM events)"
-_LR = f"""p(name, warmup, decay) AS (VALUES ('both', CAST(0.05 AS DOUBLE), CAST(0.35 AS DOUBLE)), ('no_warmup', 0.0, 0.5), ('no_decay', 0.1, 0.0), ('overlap', 0.8, 0.6)),
-q AS (SELECT name, step, CASE WHEN floor(warmup * {TOTAL}) > 0 THEN least(1.0, (step + 1) / floor(warmup * {TOTAL})) ELSE 1.0 END AS warm, {TOTAL} - floor(decay * {TOTAL}) AS start FROM p, range({TOTAL}) r(step))"""
-_VALUES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in c) + ")" for c in CONFIGS)
+_LR = f"""{_S}, t AS (SELECT run, count(*) AS total FROM s GROUP BY run),
+p AS (SELECT run, step, total, CAST(run % 5 AS DOUBLE) / 10 AS warmup, CAST(run % 8 AS DOUBLE) / 10 AS decay FROM s JOIN t USING (run)),
+q AS (SELECT run, step, total, CASE WHEN floor(warmup * total) > 0 THEN least(1.0, (step + 1) / floor(warmup * total)) ELSE 1.0 END AS warm, total - floor(decay * total) AS start FROM p)"""
 
 QUERIES = {
     f.__name__: f
@@ -196,8 +194,9 @@ ORACLE_SQL = {
     "truncated_log": f"WITH {_S} SELECT run, step, loss FROM s WHERE step <= 20",
     "run_status": f"""WITH {_S} SELECT run, round(sum(loss), 6) AS gpu_s, arg_max(event_type, step) AS state, max(step) AS step,
   arg_max(loss, step) FILTER (WHERE event_type != 'error') AS loss, arg_max(loss, step) FILTER (WHERE event_type = 'view') AS val_bpb FROM s GROUP BY run""",
-    "lr_schedule": f"""WITH {_LR} SELECT name, step, round(CASE WHEN step < start THEN warm ELSE least(warm, greatest(0.0, CASE WHEN {TOTAL - 1} > start THEN ({TOTAL - 1} - step) / ({TOTAL - 1} - start) ELSE 0.0 END)) END, 12) AS lr_mult FROM q""",
-    "param_counts": f"""WITH c(name, vocab, d, u, r, h, kv, m, xsa, vres) AS (VALUES {_VALUES}),
+    "lr_schedule": f"""WITH {_LR} SELECT run, step, round(CASE WHEN step < start THEN warm ELSE least(warm, greatest(0.0, CASE WHEN total - 1 > start THEN (total - 1 - step) / (total - 1 - start) ELSE 0.0 END)) END, 12) AS lr_mult FROM q""",
+    "param_counts": """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS name, 1000 + p_partkey % 30000 AS vocab, 64 * (1 + p_size % 12) AS d, 1 + p_size % 14 AS u, 1 + p_partkey % 2 AS r, 1 + p_size % 12 AS h, 1 + p_size % 4 AS kv, 32 * p_size AS m,
+  p_partkey % 3 = 0 AS xsa, p_partkey % 5 = 0 AS vres FROM part),
 n AS (SELECT name, vocab * d AS embedding, u * (2 * d * d + 2 * d * (kv * (d // h)) + 2 * d * m + 2 * d) + d + (u * r) // 2 + CASE WHEN xsa THEN u * r * h ELSE 0 END + CASE WHEN vres THEN u * r - 1 ELSE 0 END AS rest FROM c)
 SELECT name, CAST(embedding + rest AS BIGINT) AS once, CAST(2 * embedding + rest AS BIGINT) AS twice, CAST(embedding AS BIGINT) AS embedding, CAST(rest AS BIGINT) AS non_embedding, embedding + rest < 50000000 AS under_cap FROM n""",
     "checkpoint_average": "SELECT label AS tensor, idx - 1 AS idx, round(avg(v), 4) AS value FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS idx FROM embeddings) GROUP BY ALL",

@@ -10,17 +10,15 @@ from millrace.plans.corpus import _ALL, _entries
 from millrace.plans.windows import _tokens
 from millrace.session import table
 
-WIDTH, ROWS, STEPS, RUN = 128, 32, (6, 3), 300
-#: A published mix whose remainders are nearly tied, so that the order of operations decides.
-MIXES = {
-    "mild_wiki": {"fwedu_hq": 0.40, "finemath": 0.20, "fwedu": 0.20, "dclm": 0.15, "wiki": 0.05},
-}
+WIDTH, ROWS, STEPS, RUN = 64, 64, (6, 3), 300
 MIX_ROWS = 64
 
 
 def mix_allocation(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(m, s, w) for m, mix in MIXES.items() for s, w in mix.items()]
-    return mixture.allocate(spark.createDataFrame(rows, "mix_name string, source string, weight double"), MIX_ROWS)
+    """A mix for each language: a tenth for each document of a source. Many weights are equal or nearly so, and tenths are not
+    exact in doubles, so remainders tie or nearly tie and the order of operations decides."""
+    weight = (F.count(F.lit(1)).cast("double") * F.lit(0.1)).alias("weight")
+    return mixture.allocate(table(spark, d, "documents").groupBy(F.col("lang").alias("mix_name"), "source").agg(weight), MIX_ROWS)
 
 
 def _mixes(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +62,9 @@ def batch_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The inputs and targets of the batches, as sums and ends; shards lie in runs of ``RUN`` tokens."""
     rows = mixture.batches(_train(spark, d), _scheduled(spark, d), WIDTH, 4, 4)
     path = F.format_string("%s_%04d_%02d.bin", "source", "file_idx", "part").alias("path")
-    starts = F.sequence(F.lit(0).cast("long"), F.size("tokens").cast("long") - 1, F.lit(RUN).cast("long"))
-    runs = _tokens(spark, d).select(path, F.explode(starts).alias("start"), "tokens").withColumn("tokens", F.slice("tokens", (F.col("start") + 1).cast("int"), F.lit(RUN)))
+    starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(RUN))
+    cut = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), F.slice("tokens", s + 1, F.lit(RUN)).alias("tokens")))
+    runs = _tokens(spark, d).select(path, F.explode(cut).alias("run")).select("path", "run.*")
     out = mixture.gather(rows, runs, WIDTH, RUN)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("step", F.col("row").cast("long").alias("row"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.element_at("x", 1).cast("long").alias("x_first"), F.element_at("y", -1).cast("long").alias("y_last"))
@@ -110,11 +109,10 @@ wanted AS (SELECT source, first_step + unnest(range(0, steps)) AS step, first_st
 hits AS (SELECT step, w.source, path, (k - first_row) * {WIDTH} AS start, k FROM wanted w JOIN every e ON e.source = w.source
   AND k >= from_row + (step - first_step) * rows_per_step AND k < from_row + (step - first_step + 1) * rows_per_step WHERE step BETWEEN 4 AND 7)"""
 _FULL = f"{_ALL}, {_MIX}, {_allocate(ROWS)}, {_PLAN}"
-_VALUES = ", ".join(f"('{m}', '{s}', CAST({w} AS DOUBLE))" for m, mix in MIXES.items() for s, w in mix.items())
 
 QUERIES = {f.__name__: f for f in (mix_allocation, source_allocation, training_rows, training_batches, batch_shards, batch_tokens, data_supply, loader_cursors, mix_without_shards)}
 ORACLE_SQL = {
-    "mix_allocation": f"WITH m(mix_name, source, weight) AS (VALUES {_VALUES}), {_allocate(MIX_ROWS)} SELECT * FROM alloc",
+    "mix_allocation": f"WITH m AS (SELECT lang AS mix_name, source, CAST(count(*) AS DOUBLE) * CAST(0.1 AS DOUBLE) AS weight FROM documents GROUP BY ALL), {_allocate(MIX_ROWS)} SELECT * FROM alloc",
     "source_allocation": f"WITH {_MIX}, {_allocate(ROWS)} SELECT * FROM alloc",
     "training_rows": f"{_FULL} SELECT source, ord, n_rows, first_row FROM placed",
     "training_batches": f"{_FULL} SELECT CAST(step AS BIGINT) AS step, row_number() OVER (PARTITION BY step ORDER BY source, k) - 1 AS row, source, path, CAST(start AS BIGINT) AS start FROM hits",

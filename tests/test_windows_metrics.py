@@ -61,19 +61,21 @@ def test_log(spark):
 
 
 def test_param_counts(spark):
-    from millrace.plans.metrics import param_counts
-
-    # Totals that must come out: fixed values.
-    got = {r.name: (r.once, r.twice) for r in param_counts(spark, "").collect()}
+    """Published configurations and the totals that must come out."""
+    schema = "name string, vocab int, d_model int, n_unique_blocks int, repeats int, n_head int, n_kv_head int, mlp_hidden int, xsa boolean, value_residual boolean"
+    plain = ("A", 32768, 512, 14, 1, 8, 4, 1536, False, False)
+    configs = [plain, ("alt1", 32768, 576, 8, 2, 9, 3, 2304, False, False), ("alt2", 16384, *plain[2:]), ("A_xsa", *plain[1:8], True, False), ("A_vres", *plain[1:8], False, True), ("alt2_vres", 16384, *plain[2:8], False, True)]
+    got = {r.name: (r.once, r.twice) for r in metrics.param_counts(spark.createDataFrame(configs, schema)).collect()}
     assert got["A"][0] == 49_822_215 and got["alt1"][0] == 47_195_720 and got["alt2"] == (41_433_607, 49_822_215)
     assert got["A_xsa"][0] == 49_822_327 and got["A_vres"][0] == 49_822_228 and got["alt2_vres"] == (41_433_620, 49_822_228)
 
 
 def test_lr_ends_at_zero(spark):
-    from millrace.plans.metrics import TOTAL, lr_schedule
-
-    rows = {(r.name, r.step): r.lr_mult for r in lr_schedule(spark, "").collect()}
-    assert rows["both", TOTAL - 1] == 0 and rows["both", 0] == pytest.approx(1 / 20) and rows["no_decay", TOTAL - 1] == 1
+    steps = spark.range(400).withColumnRenamed("id", "step")
+    rate = lambda up, down: [r[0] for r in steps.select(metrics.rate_factor(F.col("step"), F.lit(400), F.lit(up), F.lit(down))).collect()]
+    both = rate(0.05, 0.35)
+    assert both[-1] == 0 and both[0] == pytest.approx(1 / 20) and max(both) == 1 and rate(0.1, 0.0)[-1] == 1
+    assert rate(0.0, 0.5)[0] == 1 and max(rate(0.8, 0.6)) < 1
 
 
 def test_uniform_model_bits(spark):
