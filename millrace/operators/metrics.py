@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
 from millrace.session import cut
 
 #: Frequent tokens that are broadcast.
@@ -36,21 +36,19 @@ def run_status(attempts: DataFrame, by: str = "run") -> DataFrame:
 
 def ema(log: DataFrame, by: str, order: str, value: str, decay: float = 0.98) -> DataFrame:
     """The log with ``ema``: the exponential moving average of each run in order; the first is the first value."""
+    return scan.ema(log, value, decay, [by], [order])
 
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return frame.assign(ema=frame[value].astype(float).ewm(alpha=1 - decay, adjust=False).mean())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", ema double"
-    return log.groupBy(by).applyInPandas(smooth, schema)
+def lower_percentile(log: DataFrame, by: str, value: str, share: float = 0.99) -> DataFrame:
+    """(by, percentile): the value at place floor(share * (n - 1)) of each group's ascending order, not interpolated; nulls are
+    left out."""
+    return scan.kth(log, [by], value, share, {"percentile": lambda n: F.floor(F.lit(share) * (n - 1))}).drop("n")
 
 
-def lower_percentile(log: DataFrame, by: str, value: str, share: float = 0.99) -> DataFrame:
-    """(by, percentile): the value at place floor(share * (n - 1)) of each group's ascending order, not interpolated."""
-    group = Window.partitionBy(by)
-    known = log.where(F.col(value).isNotNull())
-    placed = known.select(by, F.col(value).alias("percentile"), F.row_number().over(group.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(group).alias("_n"))
-    return placed.where(F.col("_r") == F.floor(F.lit(share) * (F.col("_n") - 1)) + 1).drop("_r", "_n")
+def medians(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """(by, median): exact, the mean of the two middle values where their count is even; nulls are left out."""
+    middle = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
+    return scan.kth(rows, by, value, 0.5, middle).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 
 def with_value(log: DataFrame, column: str = "val_bpb") -> DataFrame:
@@ -65,7 +63,7 @@ def step_means(parts: DataFrame, by: list[str], columns: list[str]) -> DataFrame
 
 def median_rate(log: DataFrame, by: list[str], skip: int = 50) -> DataFrame:
     """Exact median of tokens per second without the first ``skip`` steps."""
-    return log.where(F.col("step") >= skip).groupBy(*by).agg(F.median("tok_per_s").alias("median_tok_per_s"))
+    return medians(log.where(F.col("step") >= skip), by, "tok_per_s", "median_tok_per_s")
 
 
 def rate_factor(step: Column, steps: Column, rising: Column, falling: Column) -> Column:
@@ -173,10 +171,10 @@ def disclosure(tokens: Column, hardware: Column, hours: Column) -> Column:
 
 
 def bracket_stats(table: DataFrame, by: str, value: str) -> DataFrame:
-    """Rows with their bracket's size, mean, median, and their percentile rank in it."""
-    w = Window.partitionBy(by)
-    stats = table.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
-    return table.withColumn("percent_rank", F.percent_rank().over(w.orderBy(value))).join(stats, by)
+    """Rows with their bracket's size, mean, median, and their percentile rank in it: the share of the others that are smaller."""
+    stats = table.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(medians(table, [by], value), by, "left")
+    share = F.when(F.col("n") > 1, F.col("_before") / (F.col("n") - 1)).otherwise(0.0)
+    return scan.ranks(table, [by], value, "_before").join(stats, by).withColumn("percent_rank", share).drop("_before")
 
 
 def least_squares(table: DataFrame, y: str, x: str, by: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running sums over large groups, block by block.
+"""Running sums, folds, averages, ranks and order statistics of groups of any size.
 
 A window over a group puts the group into one task. Here rows are dealt by ranges of (group, order) instead, so that
 a group of any size lies in as many tasks as it needs; a block is what a range has of a group. Sums inside a block
@@ -7,6 +7,8 @@ are a window over the block, and what comes before a block is a window over bloc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -136,3 +138,80 @@ def fold(df: DataFrame, size: str, limit: int, by: list[str], order: list[str])
     joined = sums.join(entries, [sums[c].eqNullSafe(entries[f"_of_{c}"]) for c in keys], "left")
     joined = joined.select(*sums.columns, F.coalesce("opened", F.lit(0)).alias("opened"), F.coalesce("first", F.lit(0)).alias("first"))
     return joined.groupBy(*keys).applyInPandas(numbered, ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", part int")
+
+
+def ranks(df: DataFrame, by: list[str], value: str, name: str = "before") -> DataFrame:
+    """``df`` with how many rows of the group have a smaller value, nulls being the smallest. Equal values are counted before
+    they are summed, so ties of any number are one row in the scan."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    before = prefix_sums(counts, {name: "_k"}, by, [value]).select(*(F.col(c).alias(f"_of_{c}") for c in (*by, value)), name)
+    return df.join(before, [df[c].eqNullSafe(before[f"_of_{c}"]) for c in (*by, value)]).drop(*(f"_of_{c}" for c in (*by, value)))
+
+
+def kth(df: DataFrame, by: list[str], value: str, share: float, places: dict[str, Callable[[Column], Column]], accuracy: int = 10_000) -> DataFrame:
+    """Per group ``n``, the count of values that are not null, and for each name the value at a place of the ascending order,
+    from 0, that ``places`` works out from ``n`` and that lies about ``share`` of the way.
+
+    A mergeable sketch brackets the place by two values of the group with few others between them; the rows below are
+    counted and those between are counted by value, so only some 6 / ``accuracy`` of a group meet in one task. Groups
+    of ``accuracy`` rows or fewer are taken as they are. A place outside its bracket is an error, never a near value.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = [max(share - 3 / accuracy, 0.0), min(share + 3 / accuracy, 1.0)]
+    about = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", ends, accuracy).alias("_p"))
+    end = lambda i, whole: F.when((F.col("n") <= accuracy) | F.lit(ends[i] == float(i)), F.col(whole)).otherwise(F.col("_p")[i])
+    about = cut(about.select(*by, "n", end(0, "_lo").alias("_lo"), end(1, "_hi").alias("_hi")))
+    about = F.broadcast(about) if about.count() <= SMALL else about
+    renamed = about.select(*(F.col(c).alias(f"_of_{c}") for c in by), "n", "_lo", "_hi")
+    met = known.join(renamed, [known[c].eqNullSafe(renamed[f"_of_{c}"]) for c in by]).drop(*(f"_of_{c}" for c in by))
+    # Rows below the bracket are one value, a null; the others keep theirs.
+    counts = met.where("_v <= _hi").select(*by, "n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).groupBy(*by, "n", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("_upto", upto)
+    picks = [F.min(F.when(F.col("_upto") > place(F.col("n")), F.struct("_upto", "_v"))).alias(name) for name, place in places.items()]
+    found = placed.groupBy(*by, "n").agg(*picks)
+    missed = F.raise_error(F.lit("a place lies outside its bracket"))
+    checked = [F.when(F.col(name)["_v"].isNotNull(), F.col(name)["_v"]).otherwise(missed.cast(df.schema[value].dataType)).alias(name) for name in places]
+    return found.select(*by, "n", *checked)
+
+
+def ema(df: DataFrame, value: str, decay: float, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``ema``, the exponential moving average of each group in order; the first is the first value.
+
+    An average is its block's own, begun at 0, plus what comes into the block times a power of ``decay``; what comes in
+    is chained over the last averages of blocks, one row a block. Values must not be null.
+    """
+    rows, block = blocks(df, by, order)
+    keys, given = [*by, block], df.columns
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def own(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        frame = frame.sort_values(order, kind="stable")
+        x = frame[value].to_numpy(np.float64)
+        # With a 0 before them, pandas averages from 0; powers of the decay tell what is left of what came in.
+        local = pd.Series(np.append(0.0, x)).ewm(alpha=1 - decay, adjust=False).mean().to_numpy()[1:]
+        return frame, local, decay ** np.arange(1, len(x) + 1)
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, local, power = own(frame)
+        return pd.DataFrame({c: frame[c].iloc[:1].to_list() for c in keys} | {"first": [float(frame[value].iloc[0])], "last": [local[-1]], "power": [power[-1]]})
+
+    def chained(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(block, kind="stable")
+        carry, out = float(frame["first"].iloc[0]), []  # as if the first value had always been the average
+        for last, power in zip(frame["last"], frame["power"], strict=True):
+            out.append(carry)
+            carry = last + power * carry
+        return frame[keys].assign(carry=out)
+
+    def averaged(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, local, power = own(frame)
+        return frame.assign(ema=local + power * frame["carry"].to_numpy())[[*given, "ema"]]
+
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    summary = rows.groupBy(*keys).applyInPandas(told, f"{head}, first double, last double, power double")
+    carries = cut(summary.groupBy(*by).applyInPandas(chained, f"{head}, carry double"))
+    carries = F.broadcast(carries) if carries.count() <= SMALL else carries
+    renamed = carries.select(*(F.col(c).alias(f"_of_{c}") for c in keys), "carry")
+    joined = rows.join(renamed, [rows[c].eqNullSafe(renamed[f"_of_{c}"]) for c in keys]).drop(*(f"_of_{c}" for c in keys))
+    return joined.groupBy(*keys).applyInPandas(averaged, ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", ema double")
