@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import scan
 from millrace.operators.selection import prefix_sum
+from millrace.session import cut as cut_lineage
 
 PAD, IGNORE = 2, -100
 
@@ -66,10 +68,10 @@ def pages(lines: DataFrame, by: list[str], order: str, line: str = "line") -> Da
 
     Lines before the first heading are a page of their own; one line end at a page's end is removed.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    number = F.sum(F.when(T.starts_page(F.col(line)), 1).otherwise(0)).over(w)
+    starts = F.when(T.starts_page(F.col(line)), 1).otherwise(0)
+    rows = scan.prefix_sums(lines, {"_pages": starts}, by, [order])
     shown = F.when(F.col(line) == "", " \n").otherwise(F.coalesce(F.col(line), F.lit("")))
-    grouped = lines.withColumn("page", number).withColumn("_shown", shown).groupBy(*by, "page")
+    grouped = rows.withColumn("page", F.col("_pages") + starts).withColumn("_shown", shown).groupBy(*by, "page")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_shown"))), lambda x: x["_shown"]), "")
     out = grouped.agg(text.alias("text")).where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
     return out.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
@@ -92,6 +94,34 @@ def split_on(tokens: Column, mark: int, most: int) -> Column:
     return F.when(F.size(marks) > 0, T.let(edges, cut)).otherwise(F.array().cast("array<array<int>>"))
 
 
+def split_runs(runs: DataFrame, mark: int, by: list[str], start: str = "start", tokens: str = "tokens", most: int | None = None) -> DataFrame:
+    """Documents (by, doc, start, tokens) of token streams that lie in runs, as shards are read: ``split_on`` for streams of any
+    length, of which no more than a document is ever in one place.
+
+    A run is cut at its marks. What stands before its first mark goes on with the document of the runs before; how many
+    marks those have is a running sum over runs, one number a run, that gives each cut its document. ``doc`` counts from
+    0 in a stream, ``start`` is the place of its mark. With ``most``, documents whose mark lies at or after it are left out.
+    """
+    t, at = F.col(tokens), F.col(start)
+    marks = F.filter(F.transform(t, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull())
+    slim = scan.prefix_sums(runs.select(*by, start, F.size(marks).alias("_n")), {"_before": "_n"}, by, [start]).drop("_n")
+    slim = cut_lineage(slim)
+    slim = F.broadcast(slim) if slim.count() <= scan.SMALL else slim
+
+    def pieces(m: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(-1)), m)
+        ends = F.concat(m, F.array(F.size(t)))
+        return F.zip_with(cuts, ends, lambda a, b: F.struct(F.when(a >= 0, at + a).alias("mark"), F.slice(t, a + 2, b - a - 1).alias("t")))
+
+    renamed = slim.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, start)), "_before")
+    met = runs.join(renamed, [runs[c].eqNullSafe(renamed[f"_of_{c}"]) for c in (*by, start)])
+    each = met.select(*by, at.alias("_at"), "_before", F.posexplode(T.let(marks, pieces)).alias("_k", "_piece"))
+    named = each.select(*by, "_at", (F.col("_before") + F.col("_k") - 1).cast("long").alias("doc"), "_piece.mark", "_piece.t").where("doc >= 0")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "t"))), lambda x: x["t"]))
+    out = named.groupBy(*by, "doc").agg(F.min("mark").alias("start"), whole.alias("tokens"))
+    return out if most is None else out.where(F.col("start") < most)
+
+
 def caption_chunks(text: Column, most: int | Column) -> Column:
     """Words packed greedily into lines of at most ``most`` characters; a longer word has its own line."""
     ws = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")

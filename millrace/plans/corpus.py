@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import layout, selection
+from millrace.operators import layout, overlap, selection
+from millrace.plans.overlap import _FOUND, _STREAM, _WORDS
 from millrace.session import table
 
 SHARD_TOKENS, BUDGET_TOKENS, BUDGET_BYTES = 5000, 9000, 80_000
@@ -72,14 +73,17 @@ def packed_shards(spark: SparkSession, d: str) -> DataFrame:
     return packed(spark, d).select("doc_id", *FILE, "part")
 
 
+def _path() -> Column:
+    return F.format_string("%s_%04d_%02d.bin", "source", "file_idx", "part")
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     """A manifest of the packed shards: each source's last shard is its validation split."""
     totals = layout.shard_totals(packed(spark, d), FILE)
     w = Window.partitionBy("source")
     totals = totals.withColumn("ord", F.row_number().over(w.orderBy("file_idx", "part")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     split = F.when(F.col("ord") == F.col("n") - 1, "val").otherwise("train")
-    path = F.format_string("%s_%04d_%02d.bin", "source", "file_idx", "part")
-    return totals.select("source", split.alias("split"), F.col("ord").cast("long").alias("ord"), path.alias("path"), "n_tokens", "n_bytes", "n_docs")
+    return totals.select("source", split.alias("split"), F.col("ord").cast("long").alias("ord"), _path().alias("path"), "n_tokens", "n_bytes", "n_docs")
 
 
 def manifest_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -93,13 +97,17 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold benchmark text count as dropped from the shard that they would have been in."""
     targets = table(spark, d, "documents").select("source").distinct().withColumn("target", F.lit(SPLIT_TARGET).cast("long"))
-    entries = _entries(spark, d).select("source", "split", F.col("ord").alias("file_idx"), "n_tokens", F.lit(0).cast("long").alias("n_docs_dropped"))
-    return layout.progress(targets, entries)
+    grams = overlap.stream_grams(table(spark, d, "benchmark"), "item_id")
+    hit = overlap.flags(table(spark, d, "documents").select("doc_id", "text"), grams).where("flagged").select("doc_id")
+    dropped = packed(spark, d).join(hit, "doc_id").groupBy(*FILE, "part").agg(F.count(F.lit(1)).alias("n_docs_dropped"))
+    entries = _entries(spark, d).join(dropped.select(_path().alias("path"), "n_docs_dropped"), "path", "left")
+    return layout.progress(targets, entries.select("source", "split", F.col("ord").alias("file_idx"), "n_tokens", F.coalesce("n_docs_dropped", F.lit(0)).alias("n_docs_dropped")))
 
 
 def job_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of odd length have finished two shards, read to their end or not by turns; others start."""
+    """All sources but one have finished two shards, of which the first was read to its end; that one starts."""
     entries = _entries(spark, d)
     results = entries.where("ord < 2 AND source != 'src0'").select("source", "n_tokens", (F.col("ord") == 0).alias("exhausted"))
     targets = entries.groupBy("source").agg(F.count(F.lit(1)).alias("n_files")).withColumn("target", F.lit(4 * SPLIT_TARGET).cast("long"))
@@ -168,9 +176,10 @@ SELECT doc_id, source, batch FROM t JOIN p USING (source, file_idx, batch) JOIN
     "manifest_check": f"""{_ALL}, t AS (SELECT source, split, count(*) AS n_shards, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM entries GROUP BY ALL)
 SELECT *, CAST(CASE WHEN split = 'train' THEN {SPLIT_TARGET} ELSE 0 END AS BIGINT) AS target, round(n_tokens / greatest(1, CASE WHEN split = 'train' THEN {SPLIT_TARGET} ELSE 0 END), 9) AS ratio,
        round(n_bytes / greatest(1, n_tokens), 9) AS bytes_per_token FROM t""",
-    "source_progress": f"""{_ALL} SELECT source, CAST({SPLIT_TARGET} AS BIGINT) AS target, count(DISTINCT CASE WHEN split = 'train' THEN ord END) AS n_files,
+    "source_progress": f"""{_ALL}, {_WORDS}{_STREAM}{_FOUND}, hit AS (SELECT source, count(*) AS n_docs_dropped FROM documents WHERE doc_id IN (SELECT doc_id FROM found) GROUP BY source)
+SELECT source, CAST({SPLIT_TARGET} AS BIGINT) AS target, count(DISTINCT CASE WHEN split = 'train' THEN ord END) AS n_files,
   CAST(coalesce(sum(n_tokens) FILTER (WHERE split = 'train'), 0) AS BIGINT) AS train_tokens, CAST(coalesce(sum(n_tokens) FILTER (WHERE split = 'val'), 0) AS BIGINT) AS val_tokens,
-  CAST(0 AS BIGINT) AS n_docs_dropped FROM entries GROUP BY source""",
+  coalesce(any_value(n_docs_dropped), 0) AS n_docs_dropped FROM entries LEFT JOIN hit USING (source) GROUP BY source""",
     "job_plan": f"""{_ALL}, r AS (SELECT source, sum(n_tokens) AS have, count(*) AS n_done, coalesce(avg(n_tokens) FILTER (WHERE ord = 0), avg(n_tokens)) AS mean FROM entries WHERE ord < 2 AND source != 'src0' GROUP BY source),
 t AS (SELECT source, count(*) AS n_files, {4 * SPLIT_TARGET} AS target FROM entries GROUP BY source),
 j AS (SELECT source, target - coalesce(have, 0) AS rest, n_files - coalesce(n_done, 0) AS l, have, mean FROM t LEFT JOIN r USING (source)),

@@ -11,7 +11,7 @@ from millrace.plans.windows import _tokens
 from millrace.session import table
 
 WIDTH, ROWS, STEPS, RUN = 64, 64, (6, 3), 300
-MIX_ROWS = 64
+MIX_ROWS, SEED = 64, 1337
 
 
 def mix_allocation(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +88,37 @@ def mix_without_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixture.missing_sources(_mixes(spark, d), train.crossJoin(mean).where(F.col("n_bytes") > 1.2 * F.col("mean")))
 
 
+def seeded_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which each source's train shards are read under a seed, as numpy's generator permutes them."""
+    return mixture.numpy_shard_order(_train(spark, d).drop("place"), SEED).select("source", "path", F.col("place").cast("long").alias("place"))
+
+
+def pinned_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Shard lists by hash, but for sources of which a run has stored a list: here those of more documents than the mean, by
+    descending length."""
+    train = _train(spark, d)
+    order = F.md5(F.concat_ws("|", F.lit(str(SEED)), "path"))
+    listed = lambda rows, key: rows.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), "path"))), lambda x: x["path"]).alias("shards"))
+    sizes = train.groupBy("source").agg(F.sum("n_docs").alias("_docs"))
+    mean = F.broadcast(sizes.agg(F.avg("_docs").alias("_mean")))  # one row
+    stored = sizes.crossJoin(mean).where(F.col("_docs") > F.col("_mean")).select("source")
+    lists = mixture.pinned_order(listed(train, order), listed(train.join(stored, "source", "left_semi"), -F.col("n_tokens")))
+    return lists.select("source", F.array_join("shards", "|").alias("shards"))
+
+
+def cursor_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose cursors do not stand where the schedule says they should: cursors as before step 7, and the
+    schedule at step 7, when none may differ, and at step 8, when all do that give rows by then."""
+    train, scheduled = _train(spark, d), _scheduled(spark, d)
+    implied = mixture.rows_consumed(train, mixture.cursors_at(train, scheduled, WIDTH, 7), WIDTH)
+    out = []
+    for step in (7, 8):
+        done = F.greatest(F.lit(0), F.least(F.lit(step) - F.col("first_step"), F.col("steps"))) * F.col("rows_per_step")
+        expected = scheduled.groupBy("source").agg(F.sum(done).alias("n"))
+        out.append(mixture.reconcile(expected, implied.select("source", F.col("rows_consumed").alias("n"))).withColumn("step", F.lit(step).cast("long")))
+    return out[0].unionByName(out[1])
+
+
 _MIX = f"""m AS (
   SELECT 'docs' AS mix_name, source, CAST(count(*) AS DOUBLE) AS weight FROM documents GROUP BY source
   UNION ALL SELECT 'bytes', source, greatest(b - sum(b) OVER () / count(*) OVER (), 0) FROM (SELECT source, CAST(sum(strlen(text)) AS DOUBLE) AS b FROM documents GROUP BY source))"""
@@ -110,7 +141,7 @@ hits AS (SELECT step, w.source, path, (k - first_row) * {WIDTH} AS start, k FROM
   AND k >= from_row + (step - first_step) * rows_per_step AND k < from_row + (step - first_step + 1) * rows_per_step WHERE step BETWEEN 4 AND 7)"""
 _FULL = f"{_ALL}, {_MIX}, {_allocate(ROWS)}, {_PLAN}"
 
-QUERIES = {f.__name__: f for f in (mix_allocation, source_allocation, training_rows, training_batches, batch_shards, batch_tokens, data_supply, loader_cursors, mix_without_shards)}
+QUERIES = {f.__name__: f for f in (mix_allocation, source_allocation, training_rows, training_batches, batch_shards, batch_tokens, data_supply, loader_cursors, mix_without_shards, seeded_shards, pinned_shards, cursor_gaps)}
 ORACLE_SQL = {
     "mix_allocation": f"WITH m AS (SELECT lang AS mix_name, source, CAST(count(*) AS DOUBLE) * CAST(0.1 AS DOUBLE) AS weight FROM documents GROUP BY ALL), {_allocate(MIX_ROWS)} SELECT * FROM alloc",
     "source_allocation": f"WITH {_MIX}, {_allocate(ROWS)} SELECT * FROM alloc",
@@ -128,5 +159,10 @@ SELECT source, rows_needed, coalesce(rows_left, 0) AS rows_left, rows_left IS NU
 c AS (SELECT source, n, min(ord) AS shard_idx, arg_min(first_row, ord) AS f FROM placed JOIN n USING (source) WHERE n >= first_row AND n <= first_row + n_rows GROUP BY source, n),
 s AS (SELECT source, sum(n_rows) AS total FROM placed GROUP BY source)
 SELECT source, shard_idx, (n - f) * {WIDTH} AS "offset", n AS rows_consumed, CAST(total - n AS BIGINT) AS rows_left FROM c JOIN s USING (source)""",
+    "pinned_shards": f"""{_ALL}, t AS (SELECT * FROM entries WHERE split = 'train'), z AS (SELECT source, sum(n_docs) AS docs FROM t GROUP BY source),
+p AS (SELECT source, docs > (SELECT avg(docs) FROM z) AS pinned FROM z)
+SELECT source, CASE WHEN pinned THEN string_agg(path, '|' ORDER BY -n_tokens, path) ELSE string_agg(path, '|' ORDER BY md5('{SEED}|' || path), path) END AS shards FROM t JOIN p USING (source) GROUP BY source, pinned""",
+    "cursor_gaps": f"""{_FULL}, n AS (SELECT step, source, CAST(sum(greatest(0, least(step - first_step, steps)) * rows_per_step) AS BIGINT) AS n FROM sched, (VALUES (7), (8)) s(step) GROUP BY step, source)
+SELECT CAST(b.step AS BIGINT) AS step, source, b.n AS expected, a.n AS implied FROM n a JOIN n b USING (source) WHERE a.step = 7 AND a.n != b.n""",
     "mix_without_shards": f"{_FULL} SELECT DISTINCT source FROM m WHERE weight > 0 AND source NOT IN (SELECT source FROM entries WHERE split = 'train' AND n_bytes > 1.2 * (SELECT sum(n_bytes) / count(*) FROM entries WHERE split = 'train'))",
 }

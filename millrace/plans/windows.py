@@ -15,6 +15,7 @@ from millrace.session import table
 WIDTH, ROWS = 64, 16
 CTX, STRIDE = 128, 48
 CAPTION = 42
+RUN = 300
 
 
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +74,15 @@ def stream_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(*SHARD, F.col("place").cast("long").alias("place"), F.size("doc").cast("long").alias("n_tokens"))
 
 
+def shard_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents of each packed shard, put together from runs of ``RUN`` tokens: longer ones lie in three runs and more."""
+    starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(RUN))
+    runs = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start"), F.slice("tokens", s + 1, F.lit(RUN)).alias("tokens")))
+    docs = windows.split_runs(_tokens(spark, d).select(*SHARD, F.explode(runs).alias("run")).select(*SHARD, "run.*"), 0, SHARD)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return docs.select(*SHARD, "doc", "start", F.size("tokens").cast("long").alias("n_tokens"), total.alias("token_sum"))
+
+
 def unigram_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """A unigram model of the corpus itself scores it: a stand-in for a trained model."""
     docs = table(spark, d, "documents")
@@ -120,7 +130,7 @@ nats AS (SELECT doc_id, -sum(ln(c / n)) AS nats, count(*) AS n_tokens FROM tok J
 
 QUERIES = {
     f.__name__: f
-    for f in (title_keys, heading_titles, page_texts, validation_windows, validation_batches, scoring_spans, stream_documents, unigram_perplexity, validation_bpb, caption_lines, caption_cues, whitespace_words)
+    for f in (title_keys, heading_titles, page_texts, validation_windows, validation_batches, scoring_spans, stream_documents, shard_documents, unigram_perplexity, validation_bpb, caption_lines, caption_cues, whitespace_words)
 }
 ORACLE_SQL = {
     "title_keys": f"SELECT page_id, replace({_KEY.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, 'ß', 'ss') AS title_key FROM pages",
@@ -139,6 +149,9 @@ SELECT doc_id, n AS n_tokens, j * {STRIDE} AS begin, least(j * {STRIDE} + {CTX},
 p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, file_idx, part ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fold),
 f AS (SELECT source, file_idx, part, min(before) FILTER (WHERE before >= 2000) AS stop FROM p GROUP BY ALL)
 SELECT source, file_idx, part, row_number() OVER (PARTITION BY source, file_idx, part ORDER BY doc_id) - 1 AS place, n_tokens - 1 AS n_tokens FROM p JOIN f USING (source, file_idx, part) WHERE before < coalesce(stop, 1e18)""",
+    "shard_documents": f"""WITH RECURSIVE {_DOCS}, {_PACK}, k AS (SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) + 2)), 0) AS BIGINT) AS token_sum FROM documents)
+SELECT source, file_idx, part, row_number() OVER w - 1 AS doc, CAST(coalesce(sum(n_tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n_tokens - 1 AS n_tokens, token_sum
+FROM fold JOIN k USING (doc_id) WINDOW w AS (PARTITION BY source, file_idx, part ORDER BY doc_id)""",
     "unigram_perplexity": f"""WITH {_NATS} SELECT lang, count(*) AS n_docs, round(sum(nats), 4) AS total_nats, round(exp(sum(nats) / sum(n_tokens)), 4) AS token_ppl,
   round(exp(sum(nats) / sum(len(regexp_split_to_array(text, '\\s+')))), 4) AS word_ppl, round(sum(nats) / (ln(2) * sum(strlen(text))), 4) AS bits_per_byte FROM documents JOIN nats USING (doc_id) GROUP BY lang""",
     "validation_bpb": f"WITH {_NATS} SELECT source, round(sum(nats) / (ln(2) * sum(strlen(text))), 6) AS bpb FROM documents JOIN nats USING (doc_id) GROUP BY source",

@@ -10,9 +10,9 @@ import pytest
 from millrace.plans import registry
 
 #: Queries that refuse the smallest tables, in which most sources have too few rows for a batch.
-LARGER = {"training_batches", "batch_shards", "batch_tokens"}
+LARGER = {"training_batches", "batch_shards", "batch_tokens", "cursor_gaps", "loader_cursors"}
 #: Queries without SQL: whole tables are compared with the tokenizers library in test_text.py, or row by row below.
-ELSEWHERE = {"piece_counts", "encoded_docs", "caption_cues"}
+ELSEWHERE = {"piece_counts", "encoded_docs", "caption_cues", "seeded_shards"}
 
 
 @functools.cache
@@ -68,6 +68,20 @@ def test_caption_cues_as_brute_force(spark, sf):
     assert all(re.fullmatch(r"\d\d:[0-5]\d:[0-5]\d,\d{3}", r.start) for r in got)
 
 
+def test_seeded_shards_as_numpy(spark, sf):
+    import zlib
+
+    import numpy as np
+
+    from millrace.plans import corpus, mixture
+
+    own = {}
+    for r in corpus._entries(spark, sf).where("split = 'train'").orderBy("source", "ord").collect():
+        own.setdefault(r.source, []).append(r.path)
+    want = sorted((s, paths[i], k) for s, paths in own.items() for k, i in enumerate(np.random.default_rng([mixture.SEED, zlib.crc32(s.encode())]).permutation(len(paths))))
+    assert sorted(tuple(r) for r in mixture.seeded_shards(spark, sf).collect()) == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

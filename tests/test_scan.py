@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import layout, scan, selection
+from millrace.operators import layout, scan, selection, windows
 
 
 @pytest.fixture(params=[1, 23])
@@ -113,3 +113,19 @@ def test_ema_over_blocks(spark, parts):
         for _, i, v in sorted(r for r in rows if r[0] == g):
             at = v if at is None else 0.98 * at + 0.02 * v
             assert got[g, i] == pytest.approx(at, rel=1e-12)
+
+
+@pytest.mark.parametrize("most", [None, 0, 30, 10**6])
+def test_documents_over_runs(spark, parts, most):
+    """Streams that begin with and without a mark, documents of none to many runs, an empty stream, against whole lists."""
+    rnd = random.Random(parts)
+    streams = {"a": [rnd.choice([0] + [5] * 40) for _ in range(900)], "b": [7, 7, 0] + [1] * 200 + [0, 0, 2], "c": [0] * 5, "d": [3] * 50, None: [0, 4]}
+    runs = spark.createDataFrame([(k, s, t[s : s + 16]) for k, t in streams.items() for s in range(0, len(t), 16)] + [("e", 0, [])], "path string, start long, tokens array<int>").repartition(4)
+    got = {(r.path, r.doc): (r.start, r.tokens) for r in windows.split_runs(runs, 0, ["path"], most=most).collect()}
+    want = {}
+    for k, t in streams.items():
+        at = [i for i, x in enumerate(t) if x == 0]
+        for doc, (a, b) in enumerate(zip(at, [*at[1:], len(t)], strict=False)):
+            if most is None or a < most:
+                want[k, doc] = (a, t[a + 1 : b])
+    assert got == want
