@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import backoff, bpe, minhash, nbsvm, nnpu, packing, phrases, pii, progressive, quality_rules, sharding, spelling, substrings
-from millrace.session import table
+from millrace.session import spread, table
 
 SMALL_SHARD = 64 << 10
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.components(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.components(_docs(spark, sf_dir), percent=85)
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,29 +25,29 @@ def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive.digests(progressive.store(table(spark, sf_dir, "documents")))
+    return progressive.digests(progressive.store(_docs(spark, sf_dir)))
 
 
 def op4_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="word_bpe_49k.json"))
+    return bpe.digests(_docs(spark, sf_dir), bpe.read_vocabulary(name="word_bpe_49k.json"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(_docs(spark, sf_dir))
 
 
 def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return nbsvm.classify(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return nnpu.classify(docs, nnpu.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -57,19 +61,19 @@ def sharding_by_64_kib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(name="byte_bpe_50k.json"))
+    return packing.pack(_docs(spark, sf_dir), bpe.read_vocabulary(name="byte_bpe_50k.json"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.variants(table(spark, sf_dir, "documents"))
+    return spelling.variants(_docs(spark, sf_dir))
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents")).drop("text")
+    return substrings.dedup(_docs(spark, sf_dir)).drop("text")
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.collocations(table(spark, sf_dir, "documents"))
+    return phrases.collocations(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
