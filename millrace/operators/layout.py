@@ -9,6 +9,10 @@ from millrace.operators import scan
 from millrace.operators.selection import prefix_sum
 
 
+#: Rows up to which a narrow table is broadcast.
+SMALL = 200_000
+
+
 def pack_shards(docs: DataFrame, limit: int, by: list[str], order: str, size: str = "n_tokens", also: tuple[str, ...] = ()) -> DataFrame:
     """Each row with ``part``: rows fill a shard in order, and a shard closes once it reaches ``limit``; a row never straddles
     shards. A file (``by``) of any length is folded over many tasks; only keys, sizes and the columns ``also`` take part.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import bloom, wordhash
 from millrace.functions import text as T
-from millrace.session import cut, fresh
+from millrace.session import cut, fresh, spread
 
 #: Rows up to which a narrow table is broadcast.
 SMALL = 200_000
@@ -122,7 +122,7 @@ def matches(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str =
     n = wanted.count()
     hashes = cut(wanted.mapInArrow(_gram_hashes, "whole boolean, h long").distinct())
     held = spark.sparkContext.broadcast((bloom.build(hashes.where("NOT whole"), "h", hashes.where("NOT whole").count()), bloom.build(hashes.where("whole"), "h", n)))
-    slim = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    slim = spread(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")))
     kind = slim.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import layout, metrics
-from millrace.session import table
+from millrace.session import scratch, table
+from millrace.sources import tables
 
 BASELINE = 1
 
@@ -51,6 +52,15 @@ def truncated_log(spark: SparkSession, d: str) -> DataFrame:
     return metrics.truncate_log(_steps(spark, d), 20).select("run", "step", "loss")
 
 
+def resumed_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log that is written and read back: each run's first attempt reaches step 30, its second goes on from step 20 and logs
+    half of each value, and every third run has had no second one."""
+    rows, path = _steps(spark, d).select("run", "step", "loss"), f"{scratch(spark, 'log')}/steps"
+    tables.append_log(rows.where("step <= 30"), path, 0)
+    tables.append_log(rows.where("step >= 20 AND run % 3 != 0").withColumn("loss", F.col("loss") / 2), path, 1)
+    return tables.read_log(spark, path, "run long, step long, loss double", ["run"]).select("run", "step", "loss", F.col("attempt").cast("long").alias("attempt"))
+
+
 def run_status(spark: SparkSession, d: str) -> DataFrame:
     rows = _steps(spark, d)
     attempts = rows.select("run", F.col("step").alias("attempt"), F.col("loss").alias("gpu_s"), F.col("event_type").alias("state"), "step", F.when(F.col("event_type") != "error", F.col("loss")).alias("loss"), F.when(F.col("event_type") == "view", F.col("loss")).alias("val_bpb"))
@@ -179,7 +189,7 @@ q AS (SELECT run, step, total, CASE WHEN floor(warmup * total) > 0 THEN least(1.
 QUERIES = {
     f.__name__: f
     for f in (
-        log_dedupe, log_ema, log_p99, val_points, micro_batch_means, median_throughput, truncated_log, run_status, lr_schedule, param_counts, checkpoint_average, last_checkpoints, metric_rows, metric_table, baseline_deltas,
+        log_dedupe, log_ema, log_p99, val_points, micro_batch_means, median_throughput, truncated_log, resumed_log, run_status, lr_schedule, param_counts, checkpoint_average, last_checkpoints, metric_rows, metric_table, baseline_deltas,
         category_accuracy, score_index, compute_costs, disclosure_levels, bracket_ranks, line_fit, plane_fit, largest_residuals, top_k_tokens, greedy_tokens,
     )
 }
@@ -192,6 +202,9 @@ ORACLE_SQL = {
     "micro_batch_means": f"WITH {_S} SELECT run, step // 4 AS step, count(*) AS n_parts, round(avg(loss), 8) AS loss FROM s GROUP BY ALL",
     "median_throughput": f"WITH {_S} SELECT run, round(median(loss), 9) AS median_tok_per_s FROM s WHERE step >= 50 GROUP BY run",
     "truncated_log": f"WITH {_S} SELECT run, step, loss FROM s WHERE step <= 20",
+    "resumed_log": f"""WITH {_S}, a AS (SELECT run, step, loss, 0 AS attempt FROM s WHERE step <= 30 UNION ALL SELECT run, step, loss / 2, 1 FROM s WHERE step >= 20 AND run % 3 != 0),
+b AS (SELECT run, min(step) AS began FROM a WHERE attempt = 1 GROUP BY run)
+SELECT run, step, loss, CAST(attempt AS BIGINT) AS attempt FROM a LEFT JOIN b USING (run) WHERE attempt = 1 OR began IS NULL OR step < began""",
     "run_status": f"""WITH {_S} SELECT run, round(sum(loss), 6) AS gpu_s, arg_max(event_type, step) AS state, max(step) AS step,
   arg_max(loss, step) FILTER (WHERE event_type != 'error') AS loss, arg_max(loss, step) FILTER (WHERE event_type = 'view') AS val_bpb FROM s GROUP BY run""",
     "lr_schedule": f"""WITH {_LR} SELECT run, step, round(CASE WHEN step < start THEN warm ELSE least(warm, greatest(0.0, CASE WHEN total - 1 > start THEN (total - 1 - step) / (total - 1 - start) ELSE 0.0 END)) END, 12) AS lr_mult FROM q""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import overlap
-from millrace.session import table
+from millrace.session import spread, table
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def overlap_bench_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:
     # Documents have no titles: their first line stands in for one, and page titles for the known ones.
-    docs = table(spark, d, "documents").select("doc_id", "source", "text", F.substring_index("text", "\n", 1).alias("title"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("*", F.substring_index("text", "\n", 1).alias("title"))
     titles = table(spark, d, "pages").select(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
     return overlap.drop_reasons(docs, _grams(spark, d), titles)
 

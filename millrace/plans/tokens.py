@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import tokenize
-from millrace.session import table
+from millrace.operators import layout, mixture, scan
+from millrace.session import cut, spread, table
 
 BOS = 50256
+SHARD_IDS, WINDOW, RUN, SEED = 5000, 64, 256, 3
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -22,13 +24,17 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
         return f.read()
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def piece_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.piece_counts(table(spark, d, "documents"))
+    return tokenize.piece_counts(_texts(spark, d))
 
 
 def encoded_docs(spark: SparkSession, d: str) -> DataFrame:
     encode = tokenize.encoder(spark, vocabulary(), BOS)
-    ids = table(spark, d, "documents").select("doc_id", encode("text").alias("ids"))
+    ids = _texts(spark, d).select("doc_id", encode("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), tokenize.digest("ids").alias("ids_sha"))
 
 
@@ -36,7 +42,26 @@ def decoded_docs(spark: SparkSession, d: str) -> DataFrame:
     """A digest of each document after encoding and decoding, which must give it back."""
     source = vocabulary()
     encode, decode = tokenize.encoder(spark, source), tokenize.decoder(spark, source)
-    return table(spark, d, "documents").select("doc_id", F.sha2(decode(encode("text")), 256).alias("text_sha"))
+    return _texts(spark, d).select("doc_id", F.sha2(decode(encode("text")), 256).alias("text_sha"))
+
+
+def decoded_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Two seeded windows of each source's shards of ids, as text: documents are encoded, packed into shards of ``SHARD_IDS``,
+    and the windows' ids gathered from runs of ``RUN`` and decoded. Sources whose ids do not fill a window have none."""
+    source = vocabulary()
+    encode, decode = tokenize.encoder(spark, source, BOS), tokenize.decoder(spark, source)
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    ids = cut(docs.select("source", "doc_id", encode("text").alias("ids")).withColumn("n_tokens", F.size("ids").cast("long")))
+    packed = layout.pack_shards(ids.drop("ids"), SHARD_IDS, ["source"], "doc_id")
+    packed = cut(scan.prefix_sums(packed, {"at": "n_tokens"}, ["source", "part"], ["doc_id"]).withColumn("path", F.format_string("%s_%04d.bin", "source", "part")))
+    entries = packed.groupBy("source", "path", F.col("part").alias("ord")).agg(F.sum("n_tokens").alias("n_tokens")).where(F.col("n_tokens") > WINDOW)
+    drawn = layout.random_windows(entries, WINDOW, SEED, 2)
+    # Only the windows' shards are cut into runs, a document's ids after the other's.
+    own = packed.join(drawn.select("path").distinct(), "path", "left_semi").join(ids.select("source", "doc_id", "ids"), ["source", "doc_id"])
+    spots = own.select("path", "at", F.posexplode("ids").alias("i", "id")).select("path", (F.col("at") + F.col("i")).alias("place"), "id")
+    runs = spots.groupBy("path", (F.floor(F.col("place") / RUN) * RUN).alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("tokens"))
+    met = mixture.gather(drawn.select(F.col("k").alias("step"), F.col("source").alias("row"), "path", "start"), runs, WINDOW, RUN)
+    return met.select(F.col("row").alias("source"), F.col("step").cast("long").alias("k"), "path", F.col("start").cast("long").alias("start"), decode("x").alias("text"))
 
 
 def item_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +84,7 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (piece_counts, encoded_docs, decoded_docs, item_candidates, word_counts)}
+QUERIES = {f.__name__: f for f in (piece_counts, encoded_docs, decoded_docs, decoded_windows, item_candidates, word_counts)}
 ORACLE_SQL = {
     "decoded_docs": "SELECT doc_id, sha256(text) AS text_sha FROM documents",
     "item_candidates": """WITH o AS (SELECT item_id, text, place, CASE place WHEN 0 THEN 'a' ELSE 'this' END AS x FROM benchmark, range(2) r(place))

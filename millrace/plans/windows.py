@@ -10,7 +10,7 @@ from millrace.functions import text as T
 from millrace.operators import metrics, windows
 from millrace.operators.selection import prefix_sum
 from millrace.plans.corpus import _DOCS, _PACK, FILE, packed
-from millrace.session import table
+from millrace.session import spread, table
 
 WIDTH, ROWS = 64, 16
 CTX, STRIDE = 128, 48
@@ -86,7 +86,7 @@ def shard_documents(spark: SparkSession, d: str) -> DataFrame:
 def unigram_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """A unigram model of the corpus itself scores it: a stand-in for a trained model."""
     docs = table(spark, d, "documents")
-    tokens = docs.select("doc_id", F.explode(T.words("text")).alias("token"))
+    tokens = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(T.words("text")).alias("token"))
     scored = metrics.unigram_nats(tokens, "doc_id").join(docs.select("doc_id", "lang", T.space_words("text").alias("n_words"), F.octet_length("text").alias("n_bytes")), "doc_id")
     out = metrics.perplexities(scored, ["lang"])
     return out.select("lang", "n_docs", *[F.round(c, 4).alias(c) for c in ("total_nats", "token_ppl", "word_ppl", "bits_per_byte")])
@@ -94,7 +94,7 @@ def unigram_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def validation_bpb(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    tokens = docs.select("doc_id", F.explode(T.words("text")).alias("token"))
+    tokens = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(T.words("text")).alias("token"))
     scored = metrics.unigram_nats(tokens, "doc_id").join(docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes")), "doc_id")
     batches = scored.select("source", (F.col("nats") / F.col("n_tokens")).alias("mean_loss"), F.col("n_tokens").alias("n"), "n_bytes")
     return metrics.bits_per_byte(batches, ["source"]).select("source", F.round("bpb", 6).alias("bpb"))

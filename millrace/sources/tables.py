@@ -56,6 +56,24 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+def append_log(log: DataFrame, path: str, attempt: int) -> None:
+    """Append the steps of one attempt of a run as lines of JSON. Earlier lines stay: a run that resumes before its last step
+    logs some steps again, which ``read_log`` tells apart by ``attempt``. An attempt that is written again after a failure replaces itself."""
+    rows = log.withColumn("attempt", F.lit(attempt))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt").json(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str, by: list[str], step: str = "step") -> DataFrame:
+    """The log of runs that may have been resumed: of each step what the last attempt has logged, and of a run nothing beyond
+    where its last attempt began that this one has not reached again."""
+    rows = read_json(spark, path, f"{schema}, attempt int")
+    begun = rows.groupBy(*by, "attempt").agg(F.min(step).alias("_from"))
+    later = begun.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("attempt").alias("_later"), "_from")
+    same = [rows[c].eqNullSafe(later[f"_of_{c}"]) for c in by]
+    # A line counts unless a later attempt began at or before its step: what that one has not logged again was lost.
+    return rows.join(F.broadcast(later) if later.count() <= layout.SMALL else later, [*same, later["_later"] > rows["attempt"], later["_from"] <= rows[step]], "left_anti")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

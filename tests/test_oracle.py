@@ -12,7 +12,7 @@ from millrace.plans import registry
 #: Queries that refuse the smallest tables, in which most sources have too few rows for a batch.
 LARGER = {"training_batches", "batch_shards", "batch_tokens", "cursor_gaps", "loader_cursors"}
 #: Queries without SQL: whole tables are compared with the tokenizers library in test_text.py, or row by row below.
-ELSEWHERE = {"piece_counts", "encoded_docs", "caption_cues", "seeded_shards"}
+ELSEWHERE = {"piece_counts", "encoded_docs", "caption_cues", "seeded_shards", "decoded_windows"}
 
 
 @functools.cache
@@ -68,6 +68,31 @@ def test_caption_cues_as_brute_force(spark, sf):
     assert all(re.fullmatch(r"\d\d:[0-5]\d:[0-5]\d,\d{3}", r.start) for r in got)
 
 
+def test_decoded_windows_as_the_library(spark, sf):
+    """The windows in plain Python: shards as lists of ids, draws by MD5, texts by the tokenizers library."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from millrace.plans import tokens as plan
+
+    tok, shards = Tokenizer.from_str(plan.vocabulary()), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        own = shards.setdefault(r.source, [[]])
+        if len(own[-1]) >= plan.SHARD_IDS:
+            own.append([])
+        own[-1] += [plan.BOS, *tok.encode(r.text, add_special_tokens=False).ids]
+    draw = lambda salt, s, k: int(hashlib.md5(f"{plan.SEED}|{salt}|{s}|{k}".encode()).hexdigest()[:8], 16)
+    want = []
+    for s, own in shards.items():
+        own = [(i, x) for i, x in enumerate(own) if len(x) > plan.WINDOW]
+        for k in range(2 if own else 0):
+            i, x = own[draw("shard", s, k) % len(own)]
+            at = draw("start", s, k) % max(1, len(x) - plan.WINDOW)
+            want.append((s, k, f"{s}_{i:04d}.bin", at, tok.decode(x[at : at + plan.WINDOW], skip_special_tokens=False)))
+    assert sorted(tuple(r) for r in plan.decoded_windows(spark, sf).collect()) == sorted(want) and len(want) > 10
+
+
 def test_seeded_shards_as_numpy(spark, sf):
     import zlib
 
