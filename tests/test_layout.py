@@ -61,9 +61,9 @@ def test_val_quota(spark):
 
 
 def test_allocation_needs_doubles(spark):
-    from millrace.plans.mixture import mix_allocation
-
-    got = {r.source: r.rows_per_step for r in mix_allocation(spark, "").where("mix_name = 'mild_wiki'").collect()}
+    """A published mix whose remainders are nearly tied, so that the order of operations decides."""
+    mix = [("mild_wiki", s, w) for s, w in {"fwedu_hq": 0.40, "finemath": 0.20, "fwedu": 0.20, "dclm": 0.15, "wiki": 0.05}.items()]
+    got = {r.source: r.rows_per_step for r in mixture.allocate(spark.createDataFrame(mix, "mix_name string, source string, weight double"), 64).collect()}
     assert got == {"fwedu_hq": 26, "finemath": 13, "fwedu": 13, "dclm": 9, "wiki": 3}
     bad = spark.createDataFrame([("m", "a", -1.0), ("m", "b", 2.0)], "mix_name string, source string, weight double")
     with pytest.raises(Exception, match="weights"):
