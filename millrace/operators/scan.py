@@ -22,9 +22,13 @@ SMALL = 200_000
 
 def blocks(df: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, str]:
     """``df``, computed once, and the name of a new column: the range that a row lies in, ascending in (by, order). Rows
-    of one order lie together."""
+    of one order lie together.
+
+    Ranges are found from a sample, which is a pass of its own: rows are stored before it, so that what made them is not
+    done again, and after it, so that all later steps see the same ranges. Pass rows without their texts.
+    """
     name = fresh(df, "_block")
-    return cut(df.repartitionByRange(*by, *order).withColumn(name, F.spark_partition_id())), name
+    return cut(cut(df).repartitionByRange(*by, *order).withColumn(name, F.spark_partition_id())), name
 
 
 def prefix_sums(df: DataFrame, sums: dict[str, Column | str], by: list[str], order: list[str], block: str | None = None) -> DataFrame:
@@ -129,7 +133,9 @@ def fold(df: DataFrame, size: str, limit: int, by: list[str], order: list[str])
         part = int(frame["first"].iloc[0]) + own.parts(int(frame["opened"].iloc[0]))
         return frame.assign(part=part.astype(np.int32))[[*given, "part"]]
 
-    several = sums.groupBy(*by).agg(F.min(block).alias("_lo"), F.max(block).alias("_hi")).where("_lo < _hi").select(*(F.col(c).alias(f"_of_{c}") for c in by))
+    several = cut(sums.groupBy(*by).agg(F.min(block).alias("_lo"), F.max(block).alias("_hi")).where("_lo < _hi").select(*(F.col(c).alias(f"_of_{c}") for c in by)))
+    if several.isEmpty():
+        return _numbered(sums.withColumns({"opened": F.lit(0).cast("long"), "first": F.lit(0).cast("long")}), keys, kinds, given, numbered)
     long = sums.join(several, [sums[c].eqNullSafe(several[f"_of_{c}"]) for c in by], "left_semi").select(*keys, size, "_before")
     tables = long.groupBy(*keys).applyInPandas(told, f"{head}, base long, upto array<long>, opened array<long>, closed array<long>")
     entries = cut(tables.groupBy(*by).applyInPandas(chained, f"{head}, opened long, first long"))
@@ -137,7 +143,11 @@ def fold(df: DataFrame, size: str, limit: int, by: list[str], order: list[str])
     entries = entries.select(*(F.col(c).alias(f"_of_{c}") for c in keys), "opened", "first")
     joined = sums.join(entries, [sums[c].eqNullSafe(entries[f"_of_{c}"]) for c in keys], "left")
     joined = joined.select(*sums.columns, F.coalesce("opened", F.lit(0)).alias("opened"), F.coalesce("first", F.lit(0)).alias("first"))
-    return joined.groupBy(*keys).applyInPandas(numbered, ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", part int")
+    return _numbered(joined, keys, kinds, given, numbered)
+
+
+def _numbered(rows: DataFrame, keys: list[str], kinds: dict[str, str], given: list[str], number: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    return rows.groupBy(*keys).applyInPandas(number, ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", part int")
 
 
 def ranks(df: DataFrame, by: list[str], value: str, name: str = "before") -> DataFrame:
