@@ -446,3 +446,20 @@ def dedup(docs: DataFrame, group: int = GROUP, shard: int = SHARD, id_col: str =
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
     )
+
+
+#: The query as SQL, on texts in hex, which is cut into parts first as SQL counts characters from a string's start; ids must
+#: be unique and not null there.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+part AS (SELECT doc_id, n, c, substr(x, 2 * c + 1, {2 * (2 * LENGTH - 1)}) AS p FROM (SELECT doc_id, x, n, unnest(range(0, n - {LENGTH - 1}, {LENGTH})) AS c FROM d)),
+w AS (SELECT doc_id, c + j AS i, md5(substr(p, 2 * j + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, c, p, unnest(range(0, least({LENGTH}, n - {LENGTH - 1} - c))) AS j FROM part)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, -1) AS new FROM w SEMI JOIN r USING (h)),
+run AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS b FROM run GROUP BY ALL),
+edge AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM span),
+kept AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+  string_agg(CASE WHEN k = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' ORDER BY a) AS x FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
