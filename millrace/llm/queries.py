@@ -99,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_stupid_backoff": backoff.ORACLE_SQL,
     "op9_extendible_sharding": sharding.oracle_sql(sharding.LIMIT_BYTES),
+    "op11_spelling_variants": spelling.ORACLE_SQL,
     "op12_suffix_dedup": substrings.ORACLE_SQL,
     "op13_phrase_collocations": phrases.ORACLE_SQL,
     "sharding_by_64_kib": sharding.oracle_sql(SMALL_SHARD),

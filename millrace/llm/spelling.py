@@ -271,3 +271,26 @@ def variants(docs: DataFrame, hot: int = HOT, shard: int = SHARD, id_col: str =
     )
     root = roots(known.where("form IS NOT NULL"))
     return known.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The query as SQL: the checksum byte by byte over a table, near words by the texts that one letter left out gives.
+ORACLE_SQL = f"""
+WITH RECURSIVE bit(k, i, c) AS (SELECT 0, i, i FROM range(256) r(i) UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+own AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= {LETTERS} GROUP BY ALL),
+hx AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM own),
+crc AS (SELECT w, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM hx, tab),
+found AS (SELECT CASE WHEN h % {ALTER} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM found WHERE length(word) >= {LETTERS} GROUP BY word HAVING sum(k) >= {LEAST}),
+hole AS (SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+less AS (SELECT DISTINCT h.word, v.word AS other, h.n AS n, v.n AS m FROM hole h JOIN v ON v.word = h.a || h.b),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM hole x JOIN hole y ON x.a = y.a AND x.b = y.b AND x.word != y.word
+  UNION SELECT word, other, m FROM less UNION SELECT other, word, n FROM less),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * n THEN other END AS form, CASE WHEN m >= {RATIO} * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, root, step) AS (SELECT word, word, 0 FROM known UNION ALL SELECT c.word, k.form, step + 1 FROM chain c JOIN known k ON k.word = c.root WHERE k.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)
+"""
