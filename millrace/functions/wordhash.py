@@ -10,7 +10,7 @@ import numpy as np
 #: The polynomial's base, odd and so invertible modulo 2 ** 64.
 _FACTOR = 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -57,10 +57,23 @@ def _segments(text: bytes) -> Iterator[bytes]:
 
 
 def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in turn, and where each text's words start (one place more than texts)."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if (sizes > SEGMENT).any():
-        parts = [np.concatenate([np.zeros(0, np.uint64), *(located(x)[0] for x in _segments(t))]) for t in texts]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    h, start, _ = located(b" ".join(texts))
-    return h, np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes + 1)]))
+    """Hashes of all words of the texts in turn, and where each text's words start (one place more than texts).
+
+    Texts are hashed together up to ``SEGMENT`` bytes, and longer ones in parts, so the arrays of a byte's width stay small.
+    """
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    found, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + SEGMENT, side="right")))
+        if ends[at] - before > SEGMENT:
+            parts = [located(x)[0] for x in _segments(texts[at])]
+            found += parts
+            counts.append(np.array([sum(len(h) for h in parts)], np.int64))
+            at += 1
+            continue
+        h, start, _ = located(b" ".join(texts[at:stop]))
+        found.append(h)
+        counts.append(np.diff(np.searchsorted(start, np.concatenate([[0], ends[at:stop] - before]))))
+        at = stop
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
