@@ -134,6 +134,8 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), bands, pa.array([r.tobytes() for r in short], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "print_a", "print_b", "bands", "short"],
             )
+        memo.clear()
+        words.release()
 
     schema = "doc_id long, text_key long, n_shingles long, print_a long, print_b long, bands array<long>, short binary"
     return _named(docs).mapInArrow(run, schema)
@@ -175,6 +177,8 @@ def _hashed_sets(docs: DataFrame) -> DataFrame:
             prints = np.array([words.mix(s).sum() for s in sets], np.uint64).view(np.int64)
             right = pa.array(prints == batch.column("print_a").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(right), pa.array([s.tobytes() for s in sets], pa.binary()).filter(right)], names=["node", "hashes"])
+        memo.clear()
+        words.release()
 
     return docs.mapInArrow(run, "node long, hashes binary")
 

@@ -126,6 +126,8 @@ def judge(docs: DataFrame, forest: trees.Forest | None) -> DataFrame:
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
             columns = [batch.column("doc_id"), *(pa.array(counts[:, j]) for j in range(len(BASE)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(~failed & (p >= 0.5)), pa.array(p)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
+        memo.clear()
+        words.release()
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, schema)
@@ -142,5 +144,7 @@ def keep(docs: DataFrame, forest: trees.Forest | None) -> DataFrame:
             p = held.value.probability(features) if held.value is not None else np.ones(len(texts))
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
             yield batch.filter(pa.array(~failed & (p >= 0.5)))
+        memo.clear()
+        words.release()
 
     return docs.mapInArrow(passing, docs.schema)

@@ -244,6 +244,8 @@ def near(vocabulary: DataFrame, hot: int = HOT, shard: int = SHARD) -> DataFrame
                 held, size = [], 0
         if held:
             yield scanned(held)
+        held = []
+        words.release()
 
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "word string, c long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("w"))).alias("b")

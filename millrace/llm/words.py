@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,11 +12,11 @@ import xxhash
 
 from millrace.functions.wordhash import hashes, mix
 
-__all__ = ["Memo", "groups", "hash_memo", "hashes", "mix", "offsets", "powers", "ranges", "split", "step", "text_batches", "windows", "within"]
+__all__ = ["Memo", "groups", "hash_memo", "hashes", "mix", "offsets", "powers", "ranges", "release", "split", "step", "text_batches", "windows", "within"]
 
 #: A window's hash is a sum of its words' 64-bit hashes times these odd factors, then mixed.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-MEMO = 1 << 19
+MEMO = 1 << 18
 
 
 class Memo(dict):
@@ -99,6 +101,13 @@ def _ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * powers(_BACK, len(raw) + 1)[start])
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, as workers go on to tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20):
     """Slices of the batches with at most ``max_bytes`` of text (or one row), and their texts' UTF-8 bytes."""
     for batch in batches:
