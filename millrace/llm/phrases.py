@@ -5,8 +5,9 @@
    lengths of common prefixes of neighbours in the array cut it into intervals, one for each phrase, and an interval's
    length is how often the shard has the phrase. Pieces end a suffix.
 2. A first pass counts words and pairs of words by their hash. Only those that reach ``LEAST`` may be in a phrase that
-   does; they make a bitmap of fixed size (``bitmap``), which is broadcast. Hashes that collide only let more through.
-3. A second pass over the shards gives the words and phrases themselves, all of whose pairs are in the bitmap;
+   does; they make a bitmap of fixed size (``bitmap``), which is broadcast. A second pass does the same for three words
+   whose pairs are in it. Hashes that collide only let more through.
+3. A third pass over the shards gives the words and phrases themselves, of which all pairs and threes are in the bitmaps;
    Spark merges them by language and phrase, so counts are of the words, never of hashes.
 4. Scores, parts and the phrases that hold others are joins on the phrases that reach ``LEAST``, in exact decimals.
    The ranking keeps each task's first ``TOP`` of a language before anything is shuffled.
@@ -117,13 +118,14 @@ def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray,
         yield n, array[start[whole]], count[whole]
 
 
-def _hashes(shard: Shard, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each place a hash of language and word, and of language and pair of words; the latter is of no use where no pair
-    starts."""
+def _hashes(shard: Shard, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place a hash of language and word, of language and pair of words, and of language and three words; the latter
+    are of no use where a piece has no such phrase."""
     h = shard.hashes[shard.ids]
     ahead = np.concatenate([h[1:], np.zeros(1, np.uint64)])
     one = words.mix(h + np.uint64(xxhash.xxh3_64_intdigest(lang)))
-    return one, words.mix(one + ahead)
+    two = words.mix(one + ahead)
+    return one, two, words.mix(two + np.concatenate([ahead[1:], np.zeros(min(len(ahead), 1), np.uint64)]))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, Shard]]:
@@ -147,13 +149,18 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
     yield from done()
 
 
-def _hash_counts(docs: DataFrame, limit: int) -> DataFrame:
+def _hash_counts(docs: DataFrame, limit: int, pairs=None) -> DataFrame:
+    """(h, n): words and pairs by hash; with a bitmap of ``pairs``, which is broadcast, three words whose pairs are in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches, limit):
             if not len(shard.ids):
                 continue
             hashes = _hashes(shard, lang)
-            for n, at, count in intervals(shard.ids, 2):
+            known = None if pairs is None else np.append(bitmap.holds(pairs.value, hashes[1]), False)
+            for n, at, count in intervals(shard.ids, 2 if pairs is None else LONGEST):
+                if known is not None:
+                    at, count = (at[:0], count[:0]) if n != 3 else (at[own := known[at] & known[at + 1]], count[own])
                 for s in range(0, len(at), 1 << 16):
                     own = slice(s, s + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array((hashes[n - 1][at[own]] >> np.uint64(64 - COUNTED)).view(np.int64)), pa.array(count[own])], names=["h", "n"])
@@ -161,9 +168,9 @@ def _hash_counts(docs: DataFrame, limit: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _phrase_counts(docs: DataFrame, held, limit: int) -> DataFrame:
-    """(lang, phrase, n) a shard: words, and phrases whose pairs are all in the bitmap, and in a row without a phrase
-    all words."""
+def _phrase_counts(docs: DataFrame, pairs, triples, limit: int) -> DataFrame:
+    """(lang, phrase, n) a shard: words, and phrases of which all pairs and threes are in the bitmaps, and in a row
+    without a phrase all words."""
     names = ["lang", "phrase", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +178,13 @@ def _phrase_counts(docs: DataFrame, held, limit: int) -> DataFrame:
             if not len(shard.ids):
                 continue
             ids = shard.ids
-            often, pair = (bitmap.holds(held.value, h) for h in _hashes(shard, lang))
-            pair = np.concatenate([pair, np.zeros(LONGEST, bool)])
+            one, two, three = _hashes(shard, lang)
+            often, pair, triple = bitmap.holds(pairs.value, one), bitmap.holds(pairs.value, two), bitmap.holds(triples.value, three)
+            pair, triple = np.append(pair, [False] * LONGEST), np.append(triple, [False] * LONGEST)
             text = pa.array(shard.words, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int((ids > 0).sum())], pa.int64())], names=names)
             for n, at, count in intervals(ids, LONGEST):
-                ok = often[at] if n == 1 else np.all([pair[at + j] for j in range(n - 1)], axis=0)
+                ok = often[at] if n == 1 else np.all([pair[at + j] for j in range(n - 1)] + [triple[at + j] for j in range(n - 2)], axis=0)
                 at, count = at[ok], count[ok]
                 for s in range(0, len(at), 1 << 15):
                     own = at[s : s + (1 << 15)]
@@ -192,9 +200,11 @@ def frequent(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """(lang, size, phrase, f): phrases of up to four words that occur ``LEAST`` times, and single words that do;
     and for each language a row of size 0 with the count of all words."""
     slim = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    often = _hash_counts(slim, limit).where(F.col("n") >= LEAST)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap.gather(often.select(F.shiftleft("h", 64 - COUNTED).alias("h")), "h"))
-    return cut(_phrase_counts(slim, held, limit).where((F.col("f") >= LEAST) | (F.col("size") == 0)))
+    send = docs.sparkSession.sparkContext.broadcast
+    often = lambda counts: bitmap.gather(counts.where(F.col("n") >= LEAST).select(F.shiftleft("h", 64 - COUNTED).alias("h")), "h")
+    pairs = send(often(_hash_counts(slim, limit)))
+    triples = send(often(_hash_counts(slim, limit, pairs)))
+    return cut(_phrase_counts(slim, pairs, triples, limit).where((F.col("f") >= LEAST) | (F.col("size") == 0)))
 
 
 def _exact(c: Column | str) -> Column:
