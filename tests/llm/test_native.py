@@ -150,6 +150,14 @@ def test_sharding(spark):
     assert {r.shard_id for r in shards(spark, rows, 1 << 30)} == {"b"}
 
 
+def test_ids_that_share_more_bits_than_the_sql_has_levels(spark):
+    """The ids' hashes agree in 25 bits and one text is above the limit: both rows stay, one level below the SQL's last."""
+    rows = [(8546, "z" * 1000), (12037, "y" * 10), (1, "x" * 20)]
+    got = shards(spark, rows, 500)
+    check(rows, got, 500)
+    assert {r.doc_id: r.depth > 24 for r in got} == {8546: True, 12037: True, 1: False}
+
+
 def test_one_id_with_a_third_of_all_rows_splits(spark):
     rows = [(7, "same text")] * 400 + [(i, "x" * 20) for i in range(1000, 1800)]
     check(rows, shards(spark, rows, 300), 300)
