@@ -3,12 +3,13 @@
 1. One pass over whole texts counts, over all documents, how many hold each word, in a table of ``BUCKETS``
    counters by hash (its size does not grow; where words outnumber it, rare ones look alike and frequent ones stay
    apart), and the count and mean length of documents. The table is broadcast.
-2. A corpus-wide inverted index finds each document's best neighbour, wherever that lies: a document is
-   indexed and queried by its ``TERMS`` rarest words that occur in another document too, and neighbours are
-   ranked by BM25 over the words they share. Posting lists are dealt by (word, salt) in lists of about ``LIST``
-   documents: a word of more documents is salted, and a document meets a share of those that hold it. Copies of a
-   text are one entry, and have each other. Tests measure the recall against BM25 over the whole table; without
-   the two limits the search is exact.
+2. A corpus-wide inverted index finds each document's best neighbour, wherever that lies, by BM25 over all words
+   that the two share. The index lies in blocks of about ``BLOCK`` texts, each of which meets each, and of every
+   meeting a text keeps its best neighbour: the search is exact, and its time grows with the square of the texts.
+   Words that are frequent in both blocks go through one matrix product, the others through posting lists. Copies of
+   a text are one entry, and have each other. Callers for whom that is too dear can limit the search: to the ``terms``
+   rarest words of a document, in lists of about ``most`` documents (a word of more is salted, and a document meets a
+   share of those that hold it). Tests measure the recall of that.
 3. Documents that are each other's best neighbours, in chains, form groups, and groups are dealt to the tasks
    whole (those above ``GROUP`` documents in parts, copies of one text row by row where they alone are more), so documents that belong together arrive next to each
    other.
@@ -44,6 +45,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,9 @@ CLOSING = 1
 SHARD_TOKENS = 1 << 19
 BUCKETS = 1 << 24
 TERMS, LIST = 16, 32
+BLOCK, POSTINGS = 8192, 1 << 22  # texts, and about the most words of them, in a block of the exact search
+DENSE = 1 / 1024  # the share of a block's pairs of texts from which a word goes through the matrix product
+STEP = 1 << 17  # scores that are worked out at once
 GROUP = 4096
 SEEN = 1 << 18  # texts that a task remembers
 SMALL = 1 << 20  # (document, group) rows that may be broadcast: 16 MB
@@ -262,12 +267,162 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long, of_a long, of_b long")
 
 
+def _vectors(docs: DataFrame, held) -> DataFrame:
+    """(key, tie, words, impacts): each text's words that another document holds too, as packed numbers of 6 and 2 bytes.
+    A task gives copies of a text once; ``tie`` decides between neighbours of one score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch, texts in words.text_batches(batches):
+            key, new = batch.column("key").to_numpy(), []
+            for i, k in enumerate(key.tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            own = terms_of([texts[i] for i in new])
+            df, size = held.value.df(own.word), np.bincount(own.doc, own.tf, len(new))
+            live = df > 1
+            impact = np.rint(held.value.impact(df[live], own.tf[live], size[own.doc[live]]) * 1024).astype("<u2")
+            word = np.ascontiguousarray(own.word[live].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            off = words.offsets(np.bincount(own.doc[live], minlength=len(new)))
+            binary = lambda data, wide: pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((off * wide).astype(np.int32)), pa.py_buffer(data)])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), batch.column("tie").take(pa.array(new, pa.int64())), binary(word, 6), binary(impact, 2)], names=["key", "tie", "words", "impacts"])
+
+    tie = F.pmod(F.xxhash64("key"), F.lit(4096)).alias("tie")
+    return docs.select("key", tie, "text").mapInArrow(run, "key long, tie long, words binary, impacts binary")
+
+
+@dataclass
+class Block:
+    """Texts by key and tie, those that ties prefer first, and their words in order: how many texts hold each, which, and its impact there."""
+
+    key: np.ndarray
+    tie: np.ndarray
+    word: np.ndarray
+    held: np.ndarray
+    doc: np.ndarray
+    impact: np.ndarray
+
+    KINDS: ClassVar = {"key": "<i8", "tie": "<i8", "word": "<u8", "held": "<i4", "doc": "<u2", "impact": "<u2"}
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, bytes, bytes]]) -> Block:
+        """Of distinct rows as ``_vectors`` gives them."""
+        rows = sorted(rows, key=lambda r: (-r[1], -r[0]))
+        word = np.zeros((sum(len(r[3]) for r in rows) // 2, 8), np.uint8)
+        word[:, :6] = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 6)
+        doc = np.repeat(np.arange(len(rows)), [len(r[3]) // 2 for r in rows])
+        word = word.view("<u8").ravel()
+        order = np.argsort(word, kind="stable")
+        distinct, count = np.unique(word[order], return_counts=True)
+        impact = np.frombuffer(b"".join(r[3] for r in rows), "<u2")
+        return cls(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), distinct, count, doc[order], impact[order])
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([getattr(self, c).astype(kind).tobytes()], pa.binary()) for c, kind in self.KINDS.items()], names=list(self.KINDS))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, side: str, row: int) -> Block:
+        return cls(*(np.frombuffer(batch.column(f"{side}_{c}")[row].as_buffer(), kind) for c, kind in cls.KINDS.items()))
+
+
+def _blocks(docs: DataFrame, held) -> DataFrame:
+    """One row a block, with the columns of ``Block``. Partitions hold about one each."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-held.value.n_docs // BLOCK), min(int((2 * cores) ** 0.5) + 1, -(-held.value.n_docs // 512)), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, tuple] = {}  # by key, as several tasks can have given a text
+        n = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "tie", "words", "impacts")), strict=True):
+                rows[row[0]] = row
+                n += len(row[3]) // 2
+                if n >= POSTINGS or len(rows) >= 2 * BLOCK:
+                    yield Block.of(list(rows.values())).batch()
+                    rows, n = {}, 0
+        if rows:
+            yield Block.of(list(rows.values())).batch()
+        del rows
+        words.release()
+
+    dealt = _vectors(docs, held).repartition(parts, "key").coalesce(parts)
+    return cut(dealt.mapInArrow(run, ", ".join(f"{c} binary" for c in Block.KINDS)))
+
+
+def best(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of ``a`` the place of its best neighbour in ``b``, and the score: the sum of the impacts there of all words that both hold."""
+    wide = len(b.key)
+    at = np.minimum(np.searchsorted(b.word, a.word), max(len(b.word) - 1, 0))
+    x = np.flatnonzero(b.word[at] == a.word) if len(b.word) else np.zeros(0, np.int64)
+    y = at[x]
+    of_a, of_b = a.held[x].astype(np.int64), b.held[y].astype(np.int64)
+    from_a, from_b = (words.offsets(z.held)[:-1][i] for z, i in ((a, x), (b, y)))
+    dense = of_a * of_b >= max(len(a.key) * wide * DENSE, 1)
+    place = lambda n: np.repeat(np.arange(len(n)), n)
+    asked, answer = np.zeros((len(a.key), int(dense.sum())), np.float32), np.zeros((int(dense.sum()), wide), np.float32)
+    asked[a.doc[words.within(from_a[dense], of_a[dense])], place(of_a[dense])] = 1
+    own = words.within(from_b[dense], of_b[dense])
+    answer[place(of_b[dense]), b.doc[own]] = b.impact[own]
+    if answer.sum(0, dtype=np.float64).max(initial=0) >= 1 << 24:  # whole numbers that 32 bits hold no more
+        asked, answer = asked.astype(np.float64), answer.astype(np.float64)
+    from_b, of_b = from_b[~dense], of_b[~dense]
+    doc, term = a.doc[words.within(from_a[~dense], of_a[~dense])], place(of_a[~dense])
+    order = np.argsort(doc, kind="stable")
+    doc, term = doc[order].astype(np.int64), term[order]
+    b_doc, b_impact = b.doc.astype(np.int64), b.impact.astype(np.float64)
+    _, same_a, same_b = np.intersect1d(a.key, b.key, return_indices=True)
+    itself = np.full(len(a.key), -1)
+    itself[same_a] = same_b
+    found, score = np.zeros(len(a.key), np.int64), np.zeros(len(a.key), np.int64)
+    lists = max(STEP // max(wide, 1), 1)
+    for s in range(0, len(a.key), 16 * lists):
+        whole = asked[s : s + 16 * lists] @ answer
+        for i in range(0, len(whole), lists):
+            n = min(lists, len(whole) - i)
+            lo, hi = np.searchsorted(doc, (s + i, s + i + n))
+            t = term[lo:hi]
+            own = words.within(from_b[t], of_b[t])
+            cell = np.repeat((doc[lo:hi] - (s + i)) * wide, of_b[t])
+            cell += b_doc[own]
+            total = whole[i : i + n] + np.bincount(cell, b_impact[own], n * wide).reshape(n, wide)
+            met = np.flatnonzero(itself[s + i : s + i + n] >= 0)
+            total[met, itself[s + i : s + i + n][met]] = -1
+            at = total.argmax(1)
+            found[s + i : s + i + n], score[s + i : s + i + n] = at, total[np.arange(n), at]
+    return found, score
+
+
+def _exact(docs: DataFrame, held) -> DataFrame:
+    """(key, neighbour, score) by all words that two texts share: each block meets each, itself included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = Block.read(batch, "a", row), Block.read(batch, "b", row)
+                found, score = best(a, b)
+                hit = score > 0
+                found = found[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a.key[hit], score[hit], b.tie[found], b.key[found])], names=["key", "s", "tie", "other"])
+            words.release()
+
+    blocks = _blocks(docs, held)
+    a, b = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in Block.KINDS)) for side in "ab")
+    # Pairs of partitions, read from the checkpoint: neither side is shuffled or sent whole.
+    met = a.crossJoin(b.hint("shuffle_replicate_nl")).mapInArrow(run, "key long, s long, tie long, other long")
+    return met.groupBy("key").agg(F.max(F.struct("s", "tie", "other")).alias("m")).select("key", F.col("m.other").alias("neighbour"), F.col("m.s").alias("score"))
+
+
 def neighbours(docs: DataFrame, held, terms: int | None = TERMS, most: int | None = LIST) -> DataFrame:
     """(key, neighbour, score): the best-ranked other text of each one that has any, from rows (key, text); scores in 1024ths.
 
-    With ``terms`` and ``most`` None all shared words count and lists stay whole: an exact search, whose time grows with
-    the square of a word's documents.
+    With ``terms`` and ``most`` None all shared words and all texts count: an exact search, whose time grows with
+    the square of the texts.
     """
+    if terms is None and most is None:
+        return _exact(docs, held)
     salt = F.lit(0).cast("long") if most is None else F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / most))
     lists = _postings(docs, held, terms).select("word", salt.alias("salt"), "key", "impact").repartition("word", "salt").sortWithinPartitions("word", "salt", "key")
     pairs = _pairs(lists).groupBy("a", "b").agg(F.sum("of_a").alias("of_a"), F.sum("of_b").alias("of_b"))
@@ -401,9 +556,9 @@ class Packer:
         self.held = held
 
 
-def pack(docs: DataFrame, source: str, terms: int | None = TERMS, most: int | None = LIST) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``terms`` and ``most`` as for
-    ``neighbours``: None for an exact search."""
+def pack(docs: DataFrame, source: str, terms: int | None = None, most: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The search for neighbours is
+    exact, unless ``terms`` and ``most`` limit it as in ``neighbours``."""
     spark, rows = docs.sparkSession, _keyed(docs)
     held, vocabulary = spark.sparkContext.broadcast(corpus(rows)), spark.sparkContext.broadcast(source)
     routes = cut(grouped(neighbours(rows, held, terms, most), rows))

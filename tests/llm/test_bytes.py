@@ -265,6 +265,62 @@ def test_exact_search(spark, sf):
             assert key not in got
 
 
+@pytest.mark.parametrize("dense", [0.0, 1 / 16, 2.0])
+@pytest.mark.parametrize("step", [1, 1 << 17])
+def test_block_meets_block(monkeypatch, dense, step):
+    """Words by matrix, by lists or by both give the same whole numbers, large ones too; ties go to the first; no text meets itself."""
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "STEP", step)
+    rng = np.random.default_rng(3)
+
+    def rows(first, n):
+        for key in range(first, first + n):
+            w = np.unique(rng.integers(0, 4000, rng.integers(0, 900)) ** 2 % 4096)
+            yield key, key % 3, w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), rng.integers(0, 1 << 16, len(w)).astype("<u2").tobytes()
+
+    held = lambda r: dict(zip((int.from_bytes(r[2][i : i + 6], "little") for i in range(0, len(r[2]), 6)), np.frombuffer(r[3], "<u2").tolist(), strict=True))
+    left = list(rows(0, 70))
+    right = [*rows(100, 90), *left[:20]]
+    a, b = packing.Block.of(left), packing.Block.of(right)
+    found, score = packing.best(a, b)
+    of_left, of_right = {r[0]: held(r) for r in left}, {r[0]: held(r) for r in right}
+    for key, at, s in zip(a.key.tolist(), found, score.tolist(), strict=True):
+        scores = {k: sum(h[w] for w in of_left[key].keys() & h.keys()) for k, h in of_right.items() if k != key}
+        assert s == max(scores.values())
+        assert b.key[at] == max((k for k, x in scores.items() if x == s), key=lambda k: (k % 3, k)) or key == b.key[at] and not s
+    none = packing.Block.of([(1, 0, b"", b"")])
+    assert packing.best(none, b)[1].tolist() == [0] and set(packing.best(a, none)[1].tolist()) <= {0, -1}
+
+
+@pytest.mark.parametrize("block,postings", [(8192, 1 << 22), (40, 1 << 22), (300, 2000)])
+def test_packing_goes_by_the_best_neighbours(spark, monkeypatch, block, postings):
+    """Without parameters too, every text gets its best neighbour by all words in all lists: here rare words that decoys share
+    come first, and words that decide are shared by most texts. Copies in several tasks, and several blocks, change nothing."""
+    for name, value in (("BLOCK", block), ("POSTINGS", postings)):
+        monkeypatch.setattr(packing, name, value)
+    rng = np.random.default_rng(5)
+    texts = [" ".join([f"pair{i // 2 % 90}x{j}" for j in range(18)] + [f"common{c}" for c in rng.choice(60, 25, replace=False)]) for i in range(360)]
+    texts += ["", "alone", "pair3x1", "common1 common2", "common1 " * 400]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string").repartition(6).cache()
+    found, grouped = [], packing.grouped
+    monkeypatch.setattr(packing, "grouped", lambda links, rows: (found.append({r.key: (r.neighbour, r.score) for r in links.collect()}), grouped(links, rows))[1])
+    packing.pack(df, bpe.read_vocabulary(name="byte_bpe_50k.json")).count()
+    key = {r.text: r.key for r in packing._keyed(df).collect()}
+    known, terms = packing.corpus(df), packing.terms_of([t.encode() for t in texts])
+    held = []
+    for i in range(len(texts)):
+        h, tf = terms.of(i)
+        n = known.df(h)
+        impact = np.rint(known.impact(n, tf, np.full(len(h), tf.sum())) * 1024).astype(int)
+        held.append({w: x for w, x, d in zip(h.tolist(), impact.tolist(), n.tolist(), strict=True) if d > 1})
+    for i, t in enumerate(texts):
+        scores = {key[u]: sum(held[j][w] for w in held[i].keys() & held[j].keys()) for j, u in enumerate(texts) if j != i}
+        top = max(scores.values())
+        assert (key[t] in found[0]) == (top > 0)
+        if top:
+            assert found[0][key[t]][1] == top == scores[found[0][key[t]][0]]
+
+
 def test_many_repeated_rows(spark):
     """20,000 copies under ids of their own, as many rows of one id, and others: searched once, dealt over tasks, packed all."""
     source = bpe.read_vocabulary(name="byte_bpe_50k.json")
