@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -77,19 +78,38 @@ def _dht(kind: int, slot: int, length: int, symbols: list[int]) -> bytes:
 
 def _stuffed(bits: np.ndarray) -> bytes:
     """Bits padded with ones to bytes, and a zero byte after each 255."""
-    bits = np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])
-    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+    packed = np.packbits(bits)
+    if len(packed):
+        packed[-1] |= (1 << -len(bits) % 8) - 1
+    return packed.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _scan(component: int, slots: int, ss: int, se: int, ah: int, al: int, data: bytes) -> bytes:
     return _segment(0xDA, bytes([1, component, slots, ss, se, ah << 4 | al])) + data
 
 
-def _variable(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The low bits of each value, most significant first, as one bit array."""
-    at = words.within(np.zeros(len(values), np.int64), lengths)
-    down = np.repeat(lengths, lengths) - 1 - at
-    return (np.repeat(values, lengths) >> down & 1).astype(np.uint8)
+@functools.cache
+def _differences() -> tuple[np.ndarray, np.ndarray]:
+    """The code and extra bits of DC differences -255 to 255, at 255 more, and which of the twelve places they take."""
+    bits, taken = np.zeros((511, 12), np.uint8), np.zeros((511, 12), bool)
+    for d in range(-255, 256):
+        size = abs(d).bit_length()
+        value = size << size | (d if d >= 0 else d + (1 << size) - 1)
+        bits[d + 255, : size + 4] = [value >> k & 1 for k in range(size + 3, -1, -1)]
+        taken[d + 255, : size + 4] = True
+    return bits, taken
+
+
+@functools.cache
+def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+    """Half the coefficient of each byte, and its refinement bit: two's complement, b - 255 is odd where b is even."""
+    b = np.arange(256)
+    return np.where(b >= 128, b, b - 255) >> 1, np.where(b >= 128, b & 1, 1 - (b & 1)).astype(np.uint8)
+
+
+@functools.cache
+def _tables() -> bytes:
+    return b"".join([_dht(0, 0, 4, list(range(12))), _dht(1, 0, 1, [0x07]), _dht(1, 1, 4, [n << 4 for n in range(15)])])
 
 
 def encode(payload: bytes) -> bytes:
@@ -100,38 +120,32 @@ def encode(payload: bytes) -> bytes:
     raw = np.full(total * 6 * 64, 255, np.uint8)
     raw[: len(payload)] = np.frombuffer(payload, np.uint8)
     raw = raw.reshape(-1, 64)
-    planes = (raw[: 4 * total], raw[4 * total : 5 * total], raw[5 * total :])
+    (halves, fixes), (bits, taken) = _coefficients(), _differences()
+    parts_of = lambda x: (x[: 4 * total], x[4 * total : 5 * total], x[5 * total :])
+    first, half, fix = parts_of(raw >> 1), parts_of(halves[raw[:, 0]]), parts_of(fixes[raw])
     out = [
         b"\xff\xd8",
         _segment(0xFE, struct.pack(">Q", len(payload))),
         _segment(0xDB, bytes([0]) + b"\x01" * 64),
         _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + b"".join(bytes([i, h << 4 | v, 0]) for i, h, v in COMPONENTS)),
-        _dht(0, 0, 4, list(range(12))),
-        _dht(1, 0, 1, [0x07]),
-        _dht(1, 1, 4, [n << 4 for n in range(15)]),
+        _tables(),
     ]
-    for (ident, _, _), plane in zip(COMPONENTS, planes, strict=True):
-        dc = plane[:, 0].astype(np.int64)
-        dc = np.where(dc >= 128, dc, dc - 255)
-        diff = np.diff(dc >> 1, prepend=0)
-        size = np.frexp(np.abs(diff).astype(float))[1].astype(np.int64)
-        extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
-        out.append(_scan(ident, 0x00, 0, 0, 0, 1, _stuffed(_variable(size << size | extra, size + 4))))
-    for (ident, _, _), plane in zip(COMPONENTS, planes, strict=True):
+    for (ident, _, _), dc in zip(COMPONENTS, half, strict=True):
+        diff = dc + 255
+        diff[1:] -= dc[:-1]
+        out.append(_scan(ident, 0x00, 0, 0, 0, 1, _stuffed(bits[diff][taken[diff]])))
+    for (ident, _, _), plane in zip(COMPONENTS, first, strict=True):
         for ss, se in BANDS:
             # One code bit 0 and seven bits of magnitude and sign: exactly a byte, never 255.
-            out.append(_scan(ident, 0x00, ss, se, 0, 1, (plane[:, ss : se + 1] >> 1).tobytes()))
-    for (ident, _, _), plane in zip(COMPONENTS, planes, strict=True):
-        b = plane[:, 0]
-        # Two's complement: b - 255 is odd where b is even.
-        out.append(_scan(ident, 0x00, 0, 0, 1, 0, _stuffed(np.where(b >= 128, b & 1, 1 - (b & 1)).astype(np.uint8))))
-        bits = np.where(plane >= 128, plane & 1, 1 - (plane & 1)).astype(np.uint8)[:, 1:]
+            out.append(_scan(ident, 0x00, ss, se, 0, 1, plane[:, ss : se + 1].tobytes()))
+    for (ident, _, _), plane in zip(COMPONENTS, fix, strict=True):
+        out.append(_scan(ident, 0x00, 0, 0, 1, 0, _stuffed(plane[:, 0])))
         parts = []
-        for s in range(0, len(bits), RUN):
-            run = bits[s : s + RUN]
+        for s in range(0, len(plane), RUN):
+            run = plane[s : s + RUN, 1:]
             n = len(run).bit_length() - 1
             head = n << n | len(run) - (1 << n)
-            parts += [_variable(np.array([head]), np.array([4 + n])), run.ravel()]
+            parts += [np.array([head >> k & 1 for k in range(n + 3, -1, -1)], np.uint8), run.ravel()]
         out.append(_scan(ident, 0x01, 1, 63, 1, 0, _stuffed(np.concatenate(parts))))
     return b"".join([*out, b"\xff\xd9"])
 
@@ -190,8 +204,9 @@ class _Bits:
         return v if size and v >> (size - 1) else v - (1 << size) + 1
 
 
-def _codes(body: bytes) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
-    at = 0
+@functools.lru_cache(maxsize=64)
+def _codes(body: bytes) -> list[tuple[int, dict[tuple[int, int], int]]]:
+    at, out = 0, []
     while at < len(body):
         slot, counts = body[at], body[at + 1 : at + 17]
         at += 17
@@ -201,7 +216,12 @@ def _codes(body: bytes) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
                 table[length, code] = body[at]
                 code, at = code + 1, at + 1
             code <<= 1
-        yield slot, table
+        out.append((slot, table))
+    return out
+
+
+#: What ends a scan: neither a stuffed byte nor a restart.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
 
 
 def decode(data: bytes, fast: bool = True) -> Image:
@@ -236,13 +256,9 @@ def decode(data: bytes, fast: bool = True) -> Image:
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            end = at
-            while True:  # to the next marker that is neither a stuffed byte nor a restart
-                end = data.index(b"\xff", end)
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
-                    continue
-                break
+            if (found := _MARKER.search(data, at)) is None:
+                raise ValueError("a scan without end")
+            end = found.start()
             _read_scan(image, body, data[at:end], tables, restart, fast)
             at = end
         elif marker in (0xC0, 0xC1, 0xC3):
@@ -356,30 +372,31 @@ def _fast_scan(comp: Component, slots: int, ss: int, se: int, ah: int, al: int,
         if {length for length, _ in table} != {4} or any(s > 16 for s in table.values()):
             return False
         size_of = np.array([table.get((4, c), 0) for c in range(16)])
-        bits = np.concatenate([np.unpackbits(stream), np.ones(32, np.uint8)]).astype(np.int64)
-        code = bits[:-31] << 3 | bits[1:-30] << 2 | bits[2:-29] << 1 | bits[3:-28]
-        step, at, starts = (size_of[code] + 4).tolist(), 0, []
+        padded = np.concatenate([stream, np.full(8, 255, np.uint8)])
+        bits = np.unpackbits(padded)[: 8 * len(stream) + 4]
+        step = (size_of + 4)[bits[:-3] << 3 | bits[1:-2] << 2 | bits[2:-1] << 1 | bits[3:]].tolist()
+        at, starts = 0, []
         for _ in range(blocks):
             if at >= len(step):
                 return False
             starts.append(at)
             at += step[at]
         starts = np.array(starts)
-        size = size_of[code[starts]]
-        value = np.zeros(blocks, np.int64)
-        for i in range(int(size.max(initial=0))):
-            more = size > i
-            value[more] = value[more] << 1 | bits[starts[more] + 4 + i]
+        # Four bytes hold a code and its extra bits wherever they start: 7 + 4 + 16 bits at most.
+        byte, wide = starts >> 3, padded.astype(np.int64)
+        four = wide[byte] << 24 | wide[byte + 1] << 16 | wide[byte + 2] << 8 | wide[byte + 3]
+        size = size_of[four >> 28 - (starts & 7) & 15]
+        value = four >> 28 - (starts & 7) - size & (1 << size) - 1
         diff = np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
         comp.coef[:, 0] = np.cumsum(diff) << al
         return True
     table = tables[16 | slots & 15]
     if not ah:
         # A one-bit code for "no zeros, then a value of seven bits": one byte a coefficient.
-        if table != {(1, 0): 0x07} or len(stream) != blocks * band or (stream >> 7).any():
+        if table != {(1, 0): 0x07} or len(stream) != blocks * band or stream.max(initial=0) > 127:
             return False
-        v = stream.reshape(blocks, band).astype(np.int32)
-        comp.coef[:, ss : se + 1] = np.where(v >= 64, v, v - 127) * (1 << al)
+        v = np.arange(128, dtype=np.int32)
+        comp.coef[:, ss : se + 1] = (np.where(v >= 64, v, v - 127) * (1 << al))[stream.reshape(blocks, band)]
         return True
     if {length for length, _ in table} != {4} or not comp.coef[:, ss : se + 1].all():
         return False
@@ -397,7 +414,8 @@ def _fast_scan(comp: Component, slots: int, ss: int, se: int, ah: int, al: int,
     if done != blocks or len(fix) != blocks * band:
         return False
     c = comp.coef[:, ss : se + 1]
-    c += np.where(c > 0, 1, -1) * (fix.reshape(blocks, band).astype(np.int32) << al)
+    fix = fix.reshape(blocks, band).astype(np.int32) << al
+    c += np.where(c > 0, fix, -fix)
     return True
 
 
@@ -421,7 +439,12 @@ def _plane(image: Image, comp: Component) -> np.ndarray:
     out = np.empty((len(comp.coef), 64), np.uint8)
     for s in range(0, len(comp.coef), 1 << 14):
         c = comp.coef[s : s + (1 << 14)] * image.quant[comp.quant]
-        out[s : s + len(c)] = np.clip(np.floor((c.astype(float) @ _inverse() + (1 << 19)) / (1 << 20)) + 128, 0, 255)
+        x = c.astype(float) @ _inverse()
+        x += 1 << 19
+        x *= 2.0**-20
+        np.floor(x, out=x)
+        x += 128
+        out[s : s + len(c)] = np.clip(x, 0, 255, out=x)
     return out.reshape(rows, comp.stride, 8, 8).swapaxes(1, 2).reshape(rows * 8, comp.stride * 8)
 
 
