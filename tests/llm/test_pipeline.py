@@ -1,7 +1,7 @@
 from pyspark.sql.types import IntegerType
 
 import corpus_pipeline
-from millrace.llm import minhash, nnpu, pii, quality_rules
+from millrace.llm import minhash, nnpu, packing, pii, quality_rules
 
 
 def test_stages(spark, sf):
@@ -29,6 +29,18 @@ def test_stages_decide_as_their_operators(spark, sf):
     assert {r.doc_id: r.text for r in run["pii"](spark, docs, sf).collect()} == {r.doc_id: r.text for r in pii.report(docs).collect()}
 
 
+def test_packing_stage_searches_without_limits(spark, sf, monkeypatch):
+    """The stage's neighbours are those of the exact search, over all words and all texts."""
+    found, grouped = [], packing.grouped
+    monkeypatch.setattr(packing, "grouped", lambda links, rows: (found.append({r.key: r.score for r in links.collect()}), grouped(links, rows))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dict(corpus_pipeline.STAGES)["packing"](spark, docs, sf)
+    keyed, held = packing._keyed(docs), spark.sparkContext.broadcast(packing.corpus(docs))
+    whole = {r.key: r.score for r in packing.neighbours(keyed, held, None, None).collect()}
+    capped = {r.key: r.score for r in packing.neighbours(keyed, held, packing.TERMS, packing.LIST).collect()}
+    assert found == [whole] and whole != capped
+
+
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {r.offset for r in rows} >= {0}
