@@ -6,7 +6,8 @@
 2. A corpus-wide inverted index finds each document's best neighbour, wherever that lies, by BM25 over all words
    that the two share. The index lies in blocks of about ``BLOCK`` texts, each of which meets each, and of every
    meeting a text keeps its best neighbour: the search is exact, and its time grows with the square of the texts.
-   Words that are frequent in both blocks go through one matrix product, the others through posting lists. Copies of
+   Words that are frequent in both blocks go through matrix products, which bound the scores of two texts in each number,
+   the others through posting lists; pairs whose bound reaches the best score are then worked out. Copies of
    a text are one entry, and have each other. Callers for whom that is too dear can limit the search: to the ``terms``
    rarest words of a document, in lists of about ``most`` documents (a word of more is salted, and a document meets a
    share of those that hold it). Tests measure the recall of that.
@@ -63,8 +64,10 @@ SHARD_TOKENS = 1 << 19
 BUCKETS = 1 << 24
 TERMS, LIST = 16, 32
 BLOCK, POSTINGS = 8192, 1 << 22  # texts, and about the most words of them, in a block of the exact search
-DENSE = 1 / 1024  # the share of a block's pairs of texts from which a word goes through the matrix product
-STEP = 1 << 17  # scores that are worked out at once
+DENSE = 1 / 512  # the share of a block's pairs of texts from which a word goes through the matrix product
+STEP = 1 << 18  # scores that are worked out at once
+FREQUENT = 256  # words of a block that tell its groups
+PRODUCT = 1 << 22  # numbers, of two scores each, of one matrix product
 GROUP = 4096
 SEEN = 1 << 18  # texts that a task remembers
 SMALL = 1 << 20  # (document, group) rows that may be broadcast: 16 MB
@@ -296,7 +299,8 @@ def _vectors(docs: DataFrame, held) -> DataFrame:
 
 @dataclass
 class Block:
-    """Texts by key and tie, those that ties prefer first, and their words in order: how many texts hold each, which, and its impact there."""
+    """Texts by key and tie, those that ties prefer first, and their words in order: how many texts hold each, which, and its
+    impact there. Texts of one ``group`` share frequent words, as those of one language do."""
 
     key: np.ndarray
     tie: np.ndarray
@@ -304,8 +308,9 @@ class Block:
     held: np.ndarray
     doc: np.ndarray
     impact: np.ndarray
+    group: np.ndarray
 
-    KINDS: ClassVar = {"key": "<i8", "tie": "<i8", "word": "<u8", "held": "<i4", "doc": "<u2", "impact": "<u2"}
+    KINDS: ClassVar = {"key": "<i8", "tie": "<i8", "word": "<u8", "held": "<i4", "doc": "<u2", "impact": "<u2", "group": "u1"}
 
     @classmethod
     def of(cls, rows: list[tuple[int, int, bytes, bytes]]) -> Block:
@@ -317,8 +322,8 @@ class Block:
         word = word.view("<u8").ravel()
         order = np.argsort(word, kind="stable")
         distinct, count = np.unique(word[order], return_counts=True)
-        impact = np.frombuffer(b"".join(r[3] for r in rows), "<u2")
-        return cls(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), distinct, count, doc[order], impact[order])
+        impact, doc = np.frombuffer(b"".join(r[3] for r in rows), "<u2"), doc[order]
+        return cls(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), distinct, count, doc, impact[order], _groups(count, doc, len(rows)))
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([getattr(self, c).astype(kind).tobytes()], pa.binary()) for c, kind in self.KINDS.items()], names=list(self.KINDS))
@@ -328,6 +333,38 @@ class Block:
         return cls(*(np.frombuffer(batch.column(f"{side}_{c}")[row].as_buffer(), kind) for c, kind in cls.KINDS.items()))
 
 
+    def of_group(self, rows: np.ndarray) -> Block:
+        """The texts at these places, which come in order."""
+        if len(rows) == len(self.key):
+            return self
+        place = np.full(len(self.key), -1, np.int32)
+        place[rows] = np.arange(len(rows))
+        doc = place[self.doc]
+        live = doc >= 0
+        held = np.diff(_starts(live)[_starts(self.held)])
+        some = held > 0
+        return Block(self.key[rows], self.tie[rows], self.word[some], held[some], doc[live], self.impact[live], self.group[rows])
+
+
+def _groups(held: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A group for each of ``n`` texts: of the block's ``FREQUENT`` words the most frequent one of a text names its kind, and
+    texts go to the frequent kind that they are most like. Neighbours are the same with any groups."""
+    if not len(held):
+        return np.zeros(n, np.uint8)
+    top = np.argsort(-held, kind="stable")[:FREQUENT]
+    has = np.zeros((n, len(top)), np.float32)
+    has[doc[words.within(_starts(held)[top], held[top])], np.repeat(np.arange(len(top)), held[top])] = 1
+    lead = has.argmax(1)
+    kinds = np.flatnonzero(np.bincount(lead) >= max(n / 32, 1))[:32]
+    centre = np.stack([has[lead == x].mean(0) for x in kinds]) if len(kinds) else has[:1]
+    return (has @ (centre / np.maximum(np.linalg.norm(centre, axis=1), 1e-9)[:, None]).T).argmax(1).astype(np.uint8)
+
+
+def _starts(held: np.ndarray) -> np.ndarray:
+    """Where lists of these lengths start, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+
+
 def _blocks(docs: DataFrame, held) -> DataFrame:
     """One row a block, with the columns of ``Block``. Partitions hold about one each."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -352,46 +389,138 @@ def _blocks(docs: DataFrame, held) -> DataFrame:
     return cut(dealt.mapInArrow(run, ", ".join(f"{c} binary" for c in Block.KINDS)))
 
 
+def _postings_of(a: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and word, as its place in ``which``, of all postings of these words of ``a``, text by text."""
+    held = a.held[which].astype(np.int64)
+    doc, term = a.doc[words.within(_starts(a.held)[which], held)], np.repeat(np.arange(len(which)), held)
+    order = np.argsort(doc.astype(np.uint16), kind="stable")
+    return doc[order].astype(np.int64), term[order]
+
+
+def _levels(row: np.ndarray, column: np.ndarray, impact: np.ndarray, half: int, n: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The impacts of ``n`` words in 2 * ``half`` texts as multiples of a step of each text's own, rounded up, and the steps. Text i shares its
+    numbers with text ``half`` + i, whose multiples come times 4096: all of a text's add up to less, so 32 bits, of which 24 are exact,
+    hold any sums of both. None where a text holds too many words for that."""
+    count = np.bincount(row, minlength=2 * half)
+    if count.max(initial=0) >= 2048:
+        return None, None
+    step = np.maximum(np.ceil(np.bincount(row, impact, 2 * half) / (4095 - count)), 1)
+    level, low, levels = np.ceil(impact / step[row]).astype(np.float32), row < half, np.zeros((half, n), np.float32)
+    levels[row[low], column[low]] = level[low]
+    levels[row[~low] - half, column[~low]] += 4096 * level[~low]
+    return levels, step
+
+
+class _Lists:
+    """The posting lists of words that go one by one, padded to ``WIDTHS``, so that lists of one width are rows of one table."""
+
+    WIDTHS = np.unique([1, *(2**k for k in range(1, 17)), *(3 * 2**k for k in range(16))])
+
+    def __init__(self, b: Block, first: np.ndarray, held: np.ndarray):
+        self.kind = np.searchsorted(self.WIDTHS, held).astype(np.uint8)
+        self.row, self.doc, self.impact = np.zeros(len(held), np.int64), {}, {}
+        self.cells, self.weights = np.zeros(0, np.int64), np.zeros(0)
+        for k in np.unique(self.kind).tolist():
+            own = np.flatnonzero(self.kind == k)
+            self.row[own] = np.arange(len(own))
+            place = np.arange(self.WIDTHS[k])
+            at = np.minimum(first[own][:, None] + place, max(len(b.doc) - 1, 0))
+            self.doc[k] = b.doc[at].astype(np.int64)
+            self.impact[k] = np.where(place < held[own][:, None], b.impact[at], 0).astype(np.float64)
+
+    def add(self, doc: np.ndarray, term: np.ndarray, n: int, wide: int) -> np.ndarray:
+        """The sums of the impacts for ``n`` texts, which hold the terms, in all texts."""
+        kind = self.kind[term]
+        order = np.argsort(kind, kind="stable")
+        row, base, many = self.row[term[order]], doc[order] * wide, np.bincount(kind, minlength=len(self.WIDTHS))
+        end = int((many * self.WIDTHS).sum())
+        if end > len(self.cells):
+            self.cells, self.weights = np.empty(2 * end, np.int64), np.empty(2 * end)
+        at = first = 0
+        for k in np.flatnonzero(many).tolist():
+            m, w = int(many[k]), int(self.WIDTHS[k])
+            cells, weights = (x[at : at + m * w].reshape(m, w) for x in (self.cells, self.weights))
+            np.take(self.doc[k], row[first : first + m], 0, cells, "clip")
+            np.take(self.impact[k], row[first : first + m], 0, weights, "clip")
+            cells += base[first : first + m, None]
+            at, first = at + m * w, first + m
+        return np.bincount(self.cells[:at], self.weights[:at], n * wide).reshape(n, wide)
+
+
 def best(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
     """For each text of ``a`` the place of its best neighbour in ``b``, and the score: the sum of the impacts there of all words that both hold."""
-    wide = len(b.key)
+    found, score = np.zeros(len(a.key), np.int64), np.zeros(len(a.key), np.int64)
+    for g in np.unique(a.group):
+        rows = np.flatnonzero(a.group == g)
+        found[rows], score[rows] = _meet(a.of_group(rows), b)
+    return found, score
+
+
+def _meet(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """``best`` for texts that share frequent words.
+
+    Frequent words go through a matrix product whose numbers hold two texts of ``b`` each, by impacts rounded up to steps of
+    the text's own. With the other words, which are summed up from lists, that bounds the score of each pair; pairs whose
+    bound reaches the score of the text with the highest one are worked out in whole numbers.
+    """
+    wide, half = len(b.key), -(-len(b.key) // 2)
     at = np.minimum(np.searchsorted(b.word, a.word), max(len(b.word) - 1, 0))
     x = np.flatnonzero(b.word[at] == a.word) if len(b.word) else np.zeros(0, np.int64)
     y = at[x]
-    of_a, of_b = a.held[x].astype(np.int64), b.held[y].astype(np.int64)
-    from_a, from_b = (words.offsets(z.held)[:-1][i] for z, i in ((a, x), (b, y)))
+    of_a, of_b, from_b = a.held[x].astype(np.int64), b.held[y].astype(np.int64), _starts(b.held)[y]
     dense = of_a * of_b >= max(len(a.key) * wide * DENSE, 1)
-    place = lambda n: np.repeat(np.arange(len(n)), n)
-    asked, answer = np.zeros((len(a.key), int(dense.sum())), np.float32), np.zeros((int(dense.sum()), wide), np.float32)
-    asked[a.doc[words.within(from_a[dense], of_a[dense])], place(of_a[dense])] = 1
-    own = words.within(from_b[dense], of_b[dense])
-    answer[place(of_b[dense]), b.doc[own]] = b.impact[own]
-    if answer.sum(0, dtype=np.float64).max(initial=0) >= 1 << 24:  # whole numbers that 32 bits hold no more
-        asked, answer = asked.astype(np.float64), answer.astype(np.float64)
-    from_b, of_b = from_b[~dense], of_b[~dense]
-    doc, term = a.doc[words.within(from_a[~dense], of_a[~dense])], place(of_a[~dense])
-    order = np.argsort(doc, kind="stable")
-    doc, term = doc[order].astype(np.int64), term[order]
-    b_doc, b_impact = b.doc.astype(np.int64), b.impact.astype(np.float64)
+    n_dense = int(dense.sum())
+    d_doc, d_term = _postings_of(a, x[dense])
+    d_first = np.searchsorted(d_doc, np.arange(len(a.key) + 1))
+    asked, answer = np.zeros((len(a.key), n_dense), np.float32), np.zeros((wide, n_dense), np.uint16)
+    asked[d_doc, d_term] = 1
+    own, column = words.within(from_b[dense], of_b[dense]), np.repeat(np.arange(n_dense), of_b[dense])
+    row, impact = b.doc[own].astype(np.int64), b.impact[own]
+    answer[row, column] = impact
+    levels, step = _levels(row, column, impact, half, n_dense)
+    packed = step is not None
+    if not packed:
+        levels, asked = answer.astype(np.float64), asked.astype(np.float64)
+    doc, term = _postings_of(a, x[~dense])
+    lists = _Lists(b, from_b[~dense], of_b[~dense])
     _, same_a, same_b = np.intersect1d(a.key, b.key, return_indices=True)
     itself = np.full(len(a.key), -1)
     itself[same_a] = same_b
+
+    def exactly(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n = d_first[i + 1] - d_first[i]
+        got = answer[np.repeat(j, n), d_term[words.within(d_first[i], n)]]
+        return np.diff(_starts(got)[_starts(n)])
+
     found, score = np.zeros(len(a.key), np.int64), np.zeros(len(a.key), np.int64)
-    lists = max(STEP // max(wide, 1), 1)
-    for s in range(0, len(a.key), 16 * lists):
-        whole = asked[s : s + 16 * lists] @ answer
-        for i in range(0, len(whole), lists):
-            n = min(lists, len(whole) - i)
+    some = max(STEP // max(wide, 1), 1)
+    rows = some * max(PRODUCT // (some * max(len(levels), 1)), 1)
+    for s in range(0, len(a.key), rows):
+        whole = asked[s : s + rows] @ levels.T
+        for i in range(0, len(whole), some):
+            n = min(some, len(whole) - i)
             lo, hi = np.searchsorted(doc, (s + i, s + i + n))
-            t = term[lo:hi]
-            own = words.within(from_b[t], of_b[t])
-            cell = np.repeat((doc[lo:hi] - (s + i)) * wide, of_b[t])
-            cell += b_doc[own]
-            total = whole[i : i + n] + np.bincount(cell, b_impact[own], n * wide).reshape(n, wide)
+            rare = lists.add(doc[lo:hi] - (s + i), term[lo:hi], n, wide)
+            if packed:
+                upper = np.floor(whole[i : i + n] * np.float32(1 / 4096))
+                total = np.empty((n, wide))
+                np.multiply(whole[i : i + n] - upper * np.float32(4096), step[:half], out=total[:, :half])
+                np.multiply(upper[:, : wide - half], step[half:wide], out=total[:, half:])
+                total += rare
+            else:
+                total = whole[i : i + n] + rare
             met = np.flatnonzero(itself[s + i : s + i + n] >= 0)
             total[met, itself[s + i : s + i + n][met]] = -1
-            at = total.argmax(1)
-            found[s + i : s + i + n], score[s + i : s + i + n] = at, total[np.arange(n), at]
+            own, at = np.arange(n), total.argmax(1)
+            most = total[own, at]
+            if packed:
+                reach = np.minimum(exactly(s + i + own, at) + rare[own, at], most)
+                row, column = np.divmod(np.flatnonzero(total >= reach[:, None]), wide)
+                exact = np.minimum(exactly(s + i + row, column) + rare[row, column], total[row, column])  # -1 for the text itself
+                order = np.lexsort((column, -exact, row))
+                first = np.flatnonzero(np.diff(row[order], prepend=-1))
+                at, most = column[order][first], exact[order][first]
+            found[s + i : s + i + n], score[s + i : s + i + n] = at, most
     return found, score
 
 

@@ -303,6 +303,31 @@ def test_block_meets_block(monkeypatch, dense, step):
     assert packing.best(none, b)[1].tolist() == [0] and set(packing.best(a, none)[1].tolist()) <= {0, -1}
 
 
+def test_two_texts_a_number():
+    """The matrix product bounds two texts in each number, from above and closely; where scores are nearer than its steps, they decide."""
+    rng = np.random.default_rng(6)
+    row, column = (x.ravel() for x in np.meshgrid(np.arange(9), np.arange(300), indexing="ij"))
+    impact = rng.integers(1, 1 << 16, len(row)).astype(np.uint16)
+    levels, step = packing._levels(row, column, impact, 5, 300)
+    assert levels.shape == (5, 300) and levels.dtype == np.float32
+    asked = (rng.random((40, 300)) < 0.3).astype(np.float32)
+    low, high = (asked @ levels.T) % 4096, (asked @ levels.T) // 4096
+    exact, bound = asked @ impact.reshape(9, 300).astype(np.float64).T, np.hstack([low, high])[:, :9] * step[:9]
+    assert (bound >= exact).all() and (bound <= exact + asked.sum(1)[:, None] * step[:9]).all()
+    assert packing._levels(np.zeros(2048, np.int64), np.arange(2048), np.ones(2048, np.uint16), 1, 2048) == (None, None)
+    text = lambda key, w, impacts: (key, 0, np.asarray(w, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.asarray(impacts, "<u2").tobytes())
+    for n in (2000, 2100):  # two texts a number, and one
+        w, base = np.arange(n), rng.integers(1, 1 << 15, n)
+        right = []
+        for key in range(31):
+            own = base.copy()
+            own[key] += key == 17  # one more than all others, by a word that is asked for
+            right.append(text(key, w, own))
+        found, score = packing.best(packing.Block.of([text(100 + i, w[: 20 + i], base[: 20 + i]) for i in range(50)]), packing.Block.of(right))
+        assert (30 - found == 17).all() and (49 + 20 - np.arange(50) >= 18).all()
+        assert score.tolist() == [int(base[: 69 - i].sum()) + 1 for i in range(50)]
+
+
 @pytest.mark.parametrize("block,postings", [(8192, 1 << 22), (40, 1 << 22), (300, 2000)])
 def test_packing_goes_by_the_best_neighbours(spark, monkeypatch, block, postings):
     """Without parameters too, every text gets its best neighbour by all words in all lists: here rare words that decoys share
