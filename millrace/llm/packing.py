@@ -65,9 +65,9 @@ BUCKETS = 1 << 24
 TERMS, LIST = 16, 32
 BLOCK, POSTINGS = 8192, 1 << 22  # texts, and about the most words of them, in a block of the exact search
 DENSE = 1 / 512  # the share of a block's pairs of texts from which a word goes through the matrix product
-STEP = 1 << 18  # scores that are worked out at once
+STEP = 1 << 17  # scores that are worked out at once
 FREQUENT = 256  # words of a block that tell its groups
-PRODUCT = 1 << 22  # numbers, of two scores each, of one matrix product
+PRODUCT = 1 << 20  # numbers, of two scores each, of one matrix product
 GROUP = 4096
 SEEN = 1 << 18  # texts that a task remembers
 SMALL = 1 << 20  # (document, group) rows that may be broadcast: 16 MB
@@ -392,9 +392,9 @@ def _blocks(docs: DataFrame, held) -> DataFrame:
 def _postings_of(a: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and word, as its place in ``which``, of all postings of these words of ``a``, text by text."""
     held = a.held[which].astype(np.int64)
-    doc, term = a.doc[words.within(_starts(a.held)[which], held)], np.repeat(np.arange(len(which)), held)
-    order = np.argsort(doc.astype(np.uint16), kind="stable")
-    return doc[order].astype(np.int64), term[order]
+    doc, term = a.doc[words.within(_starts(a.held)[which], held)].astype(np.uint16), np.repeat(np.arange(len(which), dtype=np.int32), held)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], term[order]
 
 
 def _levels(row: np.ndarray, column: np.ndarray, impact: np.ndarray, half: int, n: int) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -412,7 +412,8 @@ def _levels(row: np.ndarray, column: np.ndarray, impact: np.ndarray, half: int,
 
 
 class _Lists:
-    """The posting lists of words that go one by one, padded to ``WIDTHS``, so that lists of one width are rows of one table."""
+    """The posting lists of words that go one by one, padded to ``WIDTHS``, so that lists of one width are rows of one table.
+    The tables keep the blocks' 2 bytes a number, as each of the texts that are asked for together reads other rows."""
 
     WIDTHS = np.unique([1, *(2**k for k in range(1, 17)), *(3 * 2**k for k in range(16))])
 
@@ -425,8 +426,8 @@ class _Lists:
             self.row[own] = np.arange(len(own))
             place = np.arange(self.WIDTHS[k])
             at = np.minimum(first[own][:, None] + place, max(len(b.doc) - 1, 0))
-            self.doc[k] = b.doc[at].astype(np.int64)
-            self.impact[k] = np.where(place < held[own][:, None], b.impact[at], 0).astype(np.float64)
+            self.doc[k] = b.doc[at].astype(np.uint16)
+            self.impact[k] = np.where(place < held[own][:, None], b.impact[at], 0).astype(np.uint16)
 
     def add(self, doc: np.ndarray, term: np.ndarray, n: int, wide: int) -> np.ndarray:
         """The sums of the impacts for ``n`` texts, which hold the terms, in all texts."""
@@ -440,9 +441,8 @@ class _Lists:
         for k in np.flatnonzero(many).tolist():
             m, w = int(many[k]), int(self.WIDTHS[k])
             cells, weights = (x[at : at + m * w].reshape(m, w) for x in (self.cells, self.weights))
-            np.take(self.doc[k], row[first : first + m], 0, cells, "clip")
-            np.take(self.impact[k], row[first : first + m], 0, weights, "clip")
-            cells += base[first : first + m, None]
+            np.add(self.doc[k].take(row[first : first + m], 0), base[first : first + m, None], out=cells)
+            weights[:] = self.impact[k].take(row[first : first + m], 0)
             at, first = at + m * w, first + m
         return np.bincount(self.cells[:at], self.weights[:at], n * wide).reshape(n, wide)
 
@@ -471,17 +471,18 @@ def _meet(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
     dense = of_a * of_b >= max(len(a.key) * wide * DENSE, 1)
     n_dense = int(dense.sum())
     d_doc, d_term = _postings_of(a, x[dense])
-    d_first = np.searchsorted(d_doc, np.arange(len(a.key) + 1))
-    asked, answer = np.zeros((len(a.key), n_dense), np.float32), np.zeros((wide, n_dense), np.uint16)
-    asked[d_doc, d_term] = 1
+    d_first = _starts(np.bincount(d_doc, minlength=len(a.key)))
     own, column = words.within(from_b[dense], of_b[dense]), np.repeat(np.arange(n_dense), of_b[dense])
     row, impact = b.doc[own].astype(np.int64), b.impact[own]
+    answer = np.zeros((wide, n_dense), np.uint16)
     answer[row, column] = impact
     levels, step = _levels(row, column, impact, half, n_dense)
+    del own, row, column, impact
     packed = step is not None
     if not packed:
-        levels, asked = answer.astype(np.float64), asked.astype(np.float64)
+        levels = answer.astype(np.float64)
     doc, term = _postings_of(a, x[~dense])
+    first = _starts(np.bincount(doc, minlength=len(a.key)))
     lists = _Lists(b, from_b[~dense], of_b[~dense])
     _, same_a, same_b = np.intersect1d(a.key, b.key, return_indices=True)
     itself = np.full(len(a.key), -1)
@@ -496,11 +497,14 @@ def _meet(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
     some = max(STEP // max(wide, 1), 1)
     rows = some * max(PRODUCT // (some * max(len(levels), 1)), 1)
     for s in range(0, len(a.key), rows):
-        whole = asked[s : s + rows] @ levels.T
+        own = slice(d_first[s], d_first[min(s + rows, len(a.key))])
+        asked = np.zeros((min(rows, len(a.key) - s), n_dense), levels.dtype)
+        asked[d_doc[own].astype(np.int64) - s, d_term[own]] = 1
+        whole = asked @ levels.T
         for i in range(0, len(whole), some):
             n = min(some, len(whole) - i)
-            lo, hi = np.searchsorted(doc, (s + i, s + i + n))
-            rare = lists.add(doc[lo:hi] - (s + i), term[lo:hi], n, wide)
+            own = slice(first[s + i], first[s + i + n])
+            rare = lists.add(doc[own].astype(np.int64) - (s + i), term[own], n, wide)
             if packed:
                 upper = np.floor(whole[i : i + n] * np.float32(1 / 4096))
                 total = np.empty((n, wide))
@@ -518,8 +522,8 @@ def _meet(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
                 row, column = np.divmod(np.flatnonzero(total >= reach[:, None]), wide)
                 exact = np.minimum(exactly(s + i + row, column) + rare[row, column], total[row, column])  # -1 for the text itself
                 order = np.lexsort((column, -exact, row))
-                first = np.flatnonzero(np.diff(row[order], prepend=-1))
-                at, most = column[order][first], exact[order][first]
+                top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+                at, most = column[top], exact[top]
             found[s + i : s + i + n], score[s + i : s + i + n] = at, most
     return found, score
 
